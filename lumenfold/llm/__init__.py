@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 from importlib import import_module
 
+from pyspark import cloudpickle
+
+# Executors need not have this package: functions go to them by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: query name -> module
 NAMES = {
+    "op2_html_blocks": "html",
+    "op3_secret_links": "secrets",
+    "op5_min_bin_slack": "packing",
+    "op6_curriculum": "mixing",
     "op8_line_quality": "quality",
+    "op9_minmax_hash": "minmax",
+    "op10_toxicity": "toxicity",
 }
 MODULES = {name: import_module(f".{module}", __name__) for name, module in NAMES.items()}
 QUERIES = {name: module.query for name, module in MODULES.items()}
