@@ -8,7 +8,9 @@ confirmed on full shingle sets.
 Texts with equal sets are one class, and only class representatives go on. Connectivity is what
 is asked for, so three rounds confirm links: each class with the bucket minimum it shares most
 buckets with; with its other bucket minima, where components still differ; and pairs of
-bucket members whose components still differ. No pair inside a component is ever listed.
+bucket members whose components still differ. No pair inside a component is ever listed, and of
+the last pairs only those whose parity sketches differ in few enough bits: two sets differ in at
+least as many elements as their sketches differ in bits, so this bound drops no link.
 
 Null, empty and wordless texts have an empty set and are linked with nothing; so is a row with a
 null doc_id (its component is null, and it is kept). Rows with the same doc_id are one node. Other
@@ -35,6 +37,8 @@ MIX = np.random.RandomState(SEED)
 ODD = (MIX.randint(0, 2**62, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 ADD = MIX.randint(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 BAND_ODD = (MIX.randint(0, 2**62, (BANDS, ROWS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+#: Bits of a parity sketch.
+SKETCH = 2048
 #: Shingles that are hashed at once.
 BLOCK = 2048
 
@@ -100,14 +104,22 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, shingles)."""
+    """(doc_id, shingles, sketch): bit i of the sketch is the parity of the number of shingles that fall on i."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(x.as_py()).view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            found = [shingler(x.as_py()) for x in batch.column(1)]
+            sketched = [np.packbits(np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64) for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array(sketched, pa.list_(pa.int64()))], names=["doc_id", "shingles", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles array<long>, sketch array<long>")
+
+
+def may_be_alike(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
+    """Of two sketches and set sizes: false only where the sets cannot be alike."""
+    least = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return (100 + percent) * least <= (100 - percent) * (na + nb)
 
 
 def alike(a: Column, b: Column, percent: int) -> Column:
@@ -167,9 +179,11 @@ def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     roots = components(links)
     spread = rooted(spots, roots, "rep", "root")
     torn = spread.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
-    loose = c.cut(spread.filter("rep <> hub").join(torn, "bucket").select("bucket", "rep", "n_shingles", "root"))  # pairs with hubs are tested
+    sketches = sets.select(F.col("doc_id").alias("rep"), "sketch")
+    loose = spread.filter("rep <> hub").join(torn, "bucket").join(sketches, "rep")  # pairs with hubs are tested
+    loose = c.written(loose.select("bucket", "rep", "n_shingles", "root", "sketch"))
     x, y = loose.alias("x"), loose.alias("y")
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & (F.col("x.n_shingles") * 100 >= percent * F.col("y.n_shingles")) & (F.col("y.n_shingles") * 100 >= percent * F.col("x.n_shingles")))
+    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & (F.col("x.n_shingles") * 100 >= percent * F.col("y.n_shingles")) & (F.col("y.n_shingles") * 100 >= percent * F.col("x.n_shingles")) & may_be_alike(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n_shingles"), F.col("y.n_shingles"), percent))
     pairs = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     roots = components(c.cut(links.union(confirmed(pairs))))
 
