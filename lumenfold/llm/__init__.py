@@ -12,8 +12,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: query name -> module
 NAMES = {
+    "op1_pii_feistel": "pii",
     "op2_html_blocks": "html",
     "op3_secret_links": "secrets",
+    "op4_imatch": "imatch",
     "op5_min_bin_slack": "packing",
     "op6_curriculum": "mixing",
     "op8_line_quality": "quality",

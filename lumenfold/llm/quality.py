@@ -66,9 +66,9 @@ def scored(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_words", c.words_of(t)).withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: F.length(squeezed(x)) > 0))
     df = df.withColumn("_hashes", repeated_words(F.col("_words")))
     df = df.withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x)))
-    df = df.withColumn("_sorted", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    df = df.withColumn("_sorted", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     again = F.filter("_sorted", lambda x, j: (x["h"] == F.get(F.col("_sorted"), j - 1)["h"]) | (x["h"] == F.get(F.col("_sorted"), j + 1)["h"]))
-    df = df.withColumn("_at", F.array_sort(F.transform(again, lambda x: x["i"])))
+    df = df.withColumn("_at", F.sort_array(F.transform(again, lambda x: x["i"])))
     covered = F.aggregate(
         "_at",
         F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("total")),
