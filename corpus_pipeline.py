@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import common, quality
+from lumenfold.llm import common, minmax, mixing, packing, quality, secrets
 
 STAGES = [
     ("quality rules", quality.stage),
+    ("near duplicates", minmax.stage),
+    ("secret scan", secrets.stage),
+    ("source mix", mixing.stage),
+    ("packing", packing.stage),
 ]
 
 #: No SQL states tokenising, curriculum order and bin packing: tests/llm/test_pipeline.py holds run() against a plain version.
