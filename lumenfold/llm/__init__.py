@@ -18,6 +18,7 @@ NAMES = {
     "op4_imatch": "imatch",
     "op5_min_bin_slack": "packing",
     "op6_curriculum": "mixing",
+    "op7_suffix_cover": "suffixes",
     "op8_line_quality": "quality",
     "op9_minmax_hash": "minmax",
     "op10_toxicity": "toxicity",
