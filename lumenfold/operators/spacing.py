@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 #: Multiplier and modulus of the arithmetic hash that orders samples alike on every engine.
 HASH, MODULUS = 2654435761, 4294967296
 
@@ -46,29 +48,29 @@ def patch(points: DataFrame, fov: DataFrame, bins: DataFrame, n: int) -> DataFra
     return points.join(edges, "station_id").filter(F.col("elev").between(F.col("e0"), F.col("e1")) & F.col("azim").between(F.col("a0"), F.col("a1"))).drop("e0", "e1", "a0", "a1")
 
 
-def nearest(points: DataFrame, cell: float, most_rings: int = 40) -> DataFrame:
+def nearest(points: DataFrame, cell: float) -> DataFrame:
     """(station_id, point_id, d): distance in (elev, azim) to the nearest other point of the station, null for none.
 
     Points meet those of the 3 x 3 cells around them by an equi-join. A neighbour within one cell
-    width is the nearest; points without one go on with cells of twice the width, which only the
-    few lonely points reach. After most_rings doublings what is left has no other point.
+    width is the nearest; points without one go on with cells of four times the width, which only the
+    few lonely points reach. Once cells are wider than any view, what is left has no other point.
     """
-    todo, done = points.select("station_id", "point_id", "elev", "azim"), None
-    everything = todo
-    for _ in range(most_rings):
+    everything = cut(points.select("station_id", "point_id", "elev", "azim"))
+    todo, done = everything, None
+    while True:
         near = lambda k: F.floor(F.col(k) / F.lit(cell))
         fixed = everything.select("station_id", F.col("point_id").alias("q"), F.col("elev").alias("qe"), F.col("azim").alias("qa"), near("elev").alias("ce"), near("azim").alias("ca"))
         around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
         asked = todo.select("*", F.explode(F.transform(around, lambda i: near("elev") + i)).alias("ce")).select("*", F.explode(F.transform(around, lambda i: near("azim") + i)).alias("ca"))
         d = F.sqrt(F.pow(F.col("elev") - F.col("qe"), 2) + F.pow(F.col("azim") - F.col("qa"), 2))
         met = asked.join(fixed, ["station_id", "ce", "ca"]).filter("point_id <> q").groupBy("station_id", "point_id").agg(F.min(d).alias("d"))
-        found = todo.join(met, ["station_id", "point_id"], "left")
+        found = cut(todo.join(met, ["station_id", "point_id"], "left"))
         settled = found.filter(F.col("d") <= cell).select("station_id", "point_id", "d")
         done = settled if done is None else done.unionByName(settled)
         todo = found.filter(F.col("d").isNull() | (F.col("d") > cell)).select("station_id", "point_id", "elev", "azim")
-        cell *= 2
         if cell > 4 * math.pi or todo.isEmpty():
             break
+        cell *= 4
     return done.unionByName(todo.select("station_id", "point_id", F.lit(None).cast("double").alias("d")))
 
 
