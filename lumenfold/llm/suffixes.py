@@ -2,8 +2,8 @@
 
 Two suffixes count as one for `length` bytes, so suffixes are only told apart to that depth:
   cover    Sampled positions are a difference cover made by content: the least name of a
-           length/2-gram in each window of `length` bytes. Equal windows have their sampled position at
-           the same shift, which is all that a cover of residues is for, at 4 % of the positions
+           2/5 * length-gram in each window of `length` bytes. Equal windows have their sampled position at
+           the same shift, which is all that a cover of residues is for, at 3 % of the positions
            instead of 67 %.
   triples  The name of 3w bytes is that of the triple of the names of its w-byte parts, recursively
            from single bytes. A text lies whole in one task, so the names of a triple's parts are at hand
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from . import common as c
 
 LENGTH = 100
-#: Bytes of text that are named at once.
-CHUNK = 4_000_000
+#: Bytes of text that are named at once: few enough for a core's cache.
+CHUNK = 250_000
 LAST = (1 << 63) - 1
 U = np.uint64
 ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -97,7 +97,7 @@ class Spans:
         ends = np.cumsum(sizes)
         self.begin = ends - sizes
         levels = [CODES[np.frombuffer(b"".join(texts), np.uint8)]]
-        gram = length // 2
+        gram = max(1, length * 2 // 5)
         width = length - gram + 1
         if not len(texts) or ends[-1] < length:
             self.doc = self.start = self.stop = np.empty(0, np.int64)
@@ -136,15 +136,13 @@ def encoded(text: str | None) -> bytes:
 
 
 def chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """(doc_ids, fingerprints, texts) of about CHUNK bytes, each document once."""
-    seen, ids, prints, texts, size = set(), [], [], [], 0
-    for d, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-        if (d, t) in seen:
-            continue
-        seen.add((d, t))
+    """(doc_ids, fingerprints, texts) of about CHUNK bytes, in order, each document once."""
+    places = {k: i for i, k in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))}
+    ids, prints, texts, size = [], [], [], 0
+    for d, t in sorted(places):
         ids.append(d)
         prints.append(t)
-        texts.append(encoded(text.as_py()))
+        texts.append(encoded(batch.column(2)[places[d, t]].as_py()))
         size += len(texts[-1])
         if size >= CHUNK:
             yield np.array(ids), np.array(prints), texts
@@ -168,10 +166,9 @@ def sampled(docs: DataFrame, length: int, repeats: bool) -> DataFrame:
             if not parts:
                 continue
             gram, span, d, t, start, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((start, t, d, span, gram))
-            again = np.zeros(len(order), bool)
-            again[1:] = (gram[order][1:] == gram[order][:-1]) & (span[order][1:] == span[order][:-1])
-            pick = np.sort(order[again if repeats else ~again])
+            first = np.zeros(len(span), bool)  # rows are in the order of d, t, start
+            first[np.unique(span ^ mixed(gram.copy()), return_index=True)[1]] = True
+            pick = np.flatnonzero(~first if repeats else first)
             cols = [gram[pick].view(np.int64), span[pick].view(np.int64), d[pick], t[pick], start[pick].astype(np.int32), stop[pick].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["gram", "span", "d", "t", "start", "stop"])
 
@@ -183,7 +180,7 @@ def windows(docs: DataFrame, length: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            todo = dict(zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(3), strict=True))
+            todo = dict(zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(3), strict=True))  # equal keys have equal lists
             for ids, prints, texts in chunks(batch):
                 names = named([CODES[np.frombuffer(b"".join(texts), np.uint8)]], length)
                 begin = np.cumsum([0] + [len(x) for x in texts])
@@ -205,7 +202,10 @@ def listed(rows: DataFrame, into: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), c.text_of().alias("text")).withColumn("t", F.xxhash64("text"))
+    """(d, t, text): t tells apart the texts of one doc_id and is 0 where every doc_id has one row."""
+    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), c.text_of().alias("text"))
+    alone = keys.groupBy("d").count().filter("count > 1").isEmpty()
+    return keys.select("d", (F.lit(0).cast("long") if alone else F.xxhash64("text")).alias("t"), "text")
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -221,11 +221,11 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = told.filter("repeat").select("d", "t", "start", "stop").unionByName(sampled(keys, length, True).select("d", "t", "start", "stop"))
 
     open_ = listed(told.filter("not repeat"), "todo")
-    named_ = windows(keys.join(open_, ["d", "t"]), length).dropDuplicates(["name", "d", "t", "start"])
+    named_ = windows(keys.join(open_, ["d", "t"]), length)
     order = Window.partitionBy("name").orderBy("d", "t", "start")
     again = named_.withColumn("first", F.first(place).over(order)).filter(F.col("first") != place)
     every = listed(spans.unionByName(again.select("d", "t", "start", (F.col("start") + 1).alias("stop"))), "gone")
-    return finished(keys.join(every, ["d", "t"], "left"), length)
+    return finished(keys.join(every, ["d", "t"], "left"), length)  # both joins read one exchange of the texts
 
 
 def finished(docs: DataFrame, length: int) -> DataFrame:
@@ -247,9 +247,10 @@ def finished(docs: DataFrame, length: int) -> DataFrame:
                 runs = int(off[0]) + int((off[1:] & ~off[:-1]).sum()) if n else 0
                 out.append((n, int(off.sum()), runs, hashlib.sha256(said[~off].tobytes()).hexdigest()))
             n, gone_n, runs, sha = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            ids = pa.array([None if d == LAST else d for d in batch.column(0).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "gone").mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.select("d", "text", "gone").mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
