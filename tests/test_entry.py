@@ -1,7 +1,7 @@
 import subprocess
 import sys
 
-from conftest import ROOT
+from compare import ROOT
 
 import __spark_entry__ as entry
 

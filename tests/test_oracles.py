@@ -1,7 +1,7 @@
 """Every query with a SQL twin, on both engines."""
 
 import pytest
-from conftest import same
+from compare import same
 
 from lumenfold.plans import queries as Q
 
