@@ -1,0 +1,35 @@
+"""Odd tables: every query answers, for every row, without a crash."""
+
+import pytest
+
+import corpus_pipeline
+from lumenfold import llm
+
+PER_ROW = {"op1", "op2", "op3", "op4", "op6", "op7", "op8", "op9", "op10"}
+
+
+@pytest.mark.parametrize("name", sorted(llm.QUERIES))
+def test_odd_rows(spark, edge, name):
+    rows = llm.QUERIES[name](spark, edge[0]).collect()
+    if name.split("_")[0] in PER_ROW:
+        assert len(rows) == edge[2 if name.startswith("op2_") else 1]
+    else:
+        assert rows
+
+
+@pytest.mark.parametrize("name", sorted(llm.QUERIES))
+def test_no_rows(spark, nothing, name):
+    out = llm.QUERIES[name](spark, nothing)
+    assert out.count() == 0 and out.columns
+
+
+def test_stages_keep_the_columns(spark, edge):
+    docs = spark.read.parquet(f"{edge[0]}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, edge[0])
+        assert out.columns == docs.columns, name
+        out.collect()
+
+
+def test_pipeline_of_nothing(spark, nothing):
+    assert corpus_pipeline.run(spark, nothing).count() == 0
