@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 
 def raster(points: DataFrame, features: list[str], by: str = "station_id") -> DataFrame:
     """Mean of each feature in each pixel (v, u), all features in one aggregation: (by, feature, v, u, value, n)."""
@@ -107,3 +113,83 @@ def flow_colour(points: DataFrame, dx: str, dy: str, by: str = "station_id", sha
     cap = points.groupBy(by).agg(F.percentile(size, F.lit(share)).alias("cap"))
     hue = (F.atan2(F.col(dy), F.col(dx)) + math.pi) / (2 * math.pi)
     return points.join(cap, by).withColumns({"hue": hue, "strength": F.least(F.lit(1.0), F.coalesce(F.try_divide(size, F.col("cap")), F.lit(0.0)))}).drop("cap")
+
+
+def nearest_three(pixels: DataFrame, points: DataFrame, cell: float) -> DataFrame:
+    """pixels (station_id, v, u) with `near`: the three nearest points (d, point_id, pu, pv, value), nearest first, ties by point_id.
+
+    Pixels meet the points of the 3 x 3 cells around them by an equi-join; a third point within one
+    cell width settles a pixel, the others go on with cells of four times the width. A station of fewer
+    than three points leaves its pixels out.
+    """
+    place = lambda k: F.floor(F.col(k) / F.lit(cell))
+    todo, done = cut(pixels.select("station_id", "v", "u")), None
+    points = points.select("station_id", "point_id", "pu", "pv", "value")
+    widest = points.agg(F.max(F.greatest(F.abs("pu"), F.abs("pv")))).first()[0] or 0.0
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    order = Window.partitionBy("station_id", "v", "u").orderBy("d", "point_id")
+    while True:
+        asked = todo.select("*", F.explode(F.transform(around, lambda i: place("v") + i)).alias("cv")).select("*", F.explode(F.transform(around, lambda i: place("u") + i)).alias("cu"))
+        fixed = points.withColumns({"cv": place("pv"), "cu": place("pu")})
+        d = F.sqrt(F.pow(F.col("pu") - F.col("u"), 2) + F.pow(F.col("pv") - F.col("v"), 2))
+        met = asked.join(fixed, ["station_id", "cv", "cu"]).withColumn("d", d).withColumn("i", F.row_number().over(order)).filter("i <= 3")
+        near = met.groupBy("station_id", "v", "u").agg(F.sort_array(F.collect_list(F.struct("d", "point_id", "pu", "pv", "value"))).alias("near"))
+        found = cut(todo.join(near, ["station_id", "v", "u"], "left"))
+        settled = (F.size("near") == 3) & (F.get("near", 2)["d"] <= cell)
+        done = found.filter(settled) if done is None else done.unionByName(found.filter(settled))
+        todo = found.filter(~F.coalesce(settled, F.lit(False))).select("station_id", "v", "u")
+        if cell > 4 * widest + 4 or todo.isEmpty():
+            return done
+        cell *= 4
+
+
+def barycentric(near: DataFrame) -> DataFrame:
+    """nearest_three() to (station_id, v, u, value): barycentric weights, negative ones cut to 0; points in a line give the nearest's value."""
+    p = lambda i, k: F.get("near", i)[k]
+    (x1, y1), (x2, y2), (x3, y3) = ((p(i, "pu"), p(i, "pv")) for i in range(3))
+    x, y = F.col("u"), F.col("v")
+    det = (y2 - y3) * (x1 - x3) + (x3 - x2) * (y1 - y3)
+    a = F.try_divide((y2 - y3) * (x - x3) + (x3 - x2) * (y - y3), det)
+    b = F.try_divide((y3 - y1) * (x - x3) + (x1 - x3) * (y - y3), det)
+    cutoff = [F.greatest(F.lit(0.0), w) for w in (a, b, 1 - a - b)]
+    mean = sum((w * p(i, "value") for i, w in enumerate(cutoff)), F.lit(0.0)) / (cutoff[0] + cutoff[1] + cutoff[2])
+    return near.select("station_id", "v", "u", F.when(F.abs(det) < 1e-9, p(0, "value")).otherwise(mean).alias("value"))
+
+
+def checked(shape: tuple[int, ...], dtype: str) -> None:
+    """What an image must be before it is encoded: two axes, or three with three channels, of a known type."""
+    if len(shape) not in (2, 3) or (len(shape) == 3 and shape[2] != 3):
+        raise ValueError(f"not an image: shape {shape}")
+    if dtype not in ("uint8", "float32", "float64"):
+        raise ValueError(f"not an image: type {dtype}")
+
+
+def passes_through(shape: tuple[int, ...], low: float, high: float) -> bool:
+    """A three-channel image within 0..255 is encoded already."""
+    return len(shape) == 3 and shape[2] == 3 and 0 <= low and high <= 255
+
+
+def three_channels(image):
+    """A read-only view with the one channel three times; at the model boundary only."""
+    return np.broadcast_to(image[:, :, None], (*image.shape, 3))
+
+
+def png(image) -> bytes:
+    """A grey or colour image of bytes as a PNG file."""
+    image = np.ascontiguousarray(image, np.uint8)
+    raw = b"".join(b"\0" + row.tobytes() for row in image)
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 2 if image.ndim == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def encoded(cells: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, path, content): a PNG of each image of byte cells, row 0 at the bottom as in the raster. One image is one task's."""
+
+    def draw(cells_of: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((height, width), np.uint8)
+        image[cells_of["v"], cells_of["u"]] = cells_of["value"]
+        name = cells_of["image_id"].iloc[0]
+        return pd.DataFrame({"image_id": [str(name)], "path": [f"images/{name}.png"], "content": [png(image[::-1])]})
+
+    return cells.select("image_id", "v", "u", "value").groupBy("image_id").applyInPandas(draw, "image_id string, path string, content binary")

@@ -63,3 +63,20 @@ def inferred(tiles: DataFrame, models: Callable[[], tuple[Detector, Segmenter]],
             yield pd.DataFrame(rows, columns=["image_id", "tile_id", "det", "label", "score", "x0", "y0", "x1", "y1", "pixels"])
 
     return tiles.mapInPandas(stage, FOUND)
+
+
+def everything(tiles: DataFrame, model: Callable[[], Everything]) -> DataFrame:
+    """Masks without classes: (image_id, tile_id, det, area, pixels)."""
+
+    def stage(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        generate = model()
+        for frame in frames:
+            rows = []
+            for t in frame.itertuples():
+                image = np.full((t.y1 - t.y0, t.x1 - t.x0), np.nan, np.float32)
+                for x in t.cells:
+                    image[x["v"], x["u"]] = x["value"]
+                rows += [(t.image_id, t.tile_id, i, len(mask), [{"r": int(r), "c": int(c)} for r, c in mask]) for i, mask in enumerate(generate(image))]
+            yield pd.DataFrame(rows, columns=["image_id", "tile_id", "det", "area", "pixels"])
+
+    return tiles.mapInPandas(stage, "image_id int, tile_id int, det int, area long, pixels array<struct<r:int,c:int>>")

@@ -477,6 +477,26 @@ def raster_ortho(spark, d):
     return I.top_down(X.points(spark, d), "intensity", 0.5).withColumn("value", r6("value", 10))
 
 
+BW, BH = 28, 16
+NEAR = f"""{FOV}, pos AS (SELECT s.station_id, point_id, intensity, (azim-az_min)/(az_max-az_min)*{BW - 1} pu, (elev-el_min)/(el_max-el_min)*{BH - 1} pv FROM sph s JOIN fov USING (station_id)),
+ gri AS (SELECT station_id, CAST(v AS INT) v, CAST(u AS INT) u FROM fov, range({BH}) a(v), range({BW}) b(u)),
+ tri AS (SELECT *, row_number() OVER (PARTITION BY station_id, v, u ORDER BY sqrt((pu-u)**2 + (pv-v)**2), point_id) i FROM gri JOIN pos USING (station_id) QUALIFY i <= 3),
+ abc AS (SELECT station_id, v, u, {', '.join(f"max({k}) FILTER (i = {i}) {n}{i}" for i in (1, 2, 3) for k, n in (('pu', 'x'), ('pv', 'y'), ('intensity', 'f')))} FROM tri GROUP BY ALL HAVING count(*) = 3),
+ wgt AS (SELECT *, (y2-y3)*(x1-x3) + (x3-x2)*(y1-y3) det FROM abc),
+ bar AS (SELECT *, ((y2-y3)*(u-x3) + (x3-x2)*(v-y3))/det a, ((y3-y1)*(u-x3) + (x1-x3)*(v-y3))/det b FROM wgt)"""
+
+
+@query(f"WITH {NEAR} SELECT station_id, v, u, {o6('CASE WHEN abs(det) < 1e-9 THEN f1 ELSE (greatest(0,a)*f1 + greatest(0,b)*f2 + greatest(0,1-a-b)*f3)/(greatest(0,a) + greatest(0,b) + greatest(0,1-a-b)) END')} AS value FROM bar")
+def raster_bary_knn(spark, d):
+    p = spherical_points(spark, d)
+    p = P.with_view(p, P.field_of_view(p))
+    across = lambda k, lo, hi, n: F.try_divide(F.col(k) - F.col(lo), F.col(hi) - F.col(lo)) * (n - 1)
+    at = p.select("station_id", "point_id", across("azim", "az_min", "az_max", BW).alias("pu"), across("elev", "el_min", "el_max", BH).alias("pv"), F.col("intensity").alias("value"))
+    axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    grid = at.select("station_id").distinct().select("station_id", axis(BH).alias("v")).select("station_id", "v", axis(BW).alias("u"))
+    return I.barycentric(I.nearest_three(grid, at, 1.0)).withColumn("value", r6("value"))
+
+
 @query(f"WITH {CEL} SELECT c.image_id, c.v, c.u, CASE WHEN isnan(c.value) THEN coalesce({o6('avg(k.value)')}, any_value(c.value)) ELSE {o6('any_value(c.value)')} END AS value FROM cel c LEFT JOIN cel k ON isnan(c.value) AND NOT isnan(k.value) AND k.image_id = c.image_id AND abs(k.v-c.v) <= 1 AND abs(k.u-c.u) <= 1 GROUP BY c.image_id, c.v, c.u, c.value")
 def raster_nanconv(spark, d):
     return I.filled_from_neighbours(X.image_cells(spark, d)).withColumn("value", r6("value"))

@@ -227,3 +227,27 @@ def test_stream(spark, small, tmp_path):
 def test_reduction_limits(spark):
     got = spark.createDataFrame([(10.0,), (0.1,)], "r_max double").select(G.reduction(F.col("r_max"), 1.0, 0.5)).collect()
     assert got[0][0] == 0.35 and math.isnan(got[1][0])
+
+
+def test_png_and_guards(spark):
+    import zlib
+
+    cells = spark.createDataFrame([(1, v, u, (v * 40 + u) % 256) for v in range(3) for u in range(5)], "image_id int, v int, u int, value int")
+    out = I.encoded(cells, 5, 3).collect()
+    assert out[0].path == "images/1.png" and out[0].content.startswith(b"\x89PNG")
+    data = bytes(out[0].content)
+    at = data.index(b"IDAT") + 4
+    raw = zlib.decompress(data[at : data.index(b"IEND") - 8])
+    assert [list(raw[i * 6 + 1 : i * 6 + 6]) for i in range(3)] == [[80 + u for u in range(5)], [40 + u for u in range(5)], list(range(5))]
+    assert I.passes_through((2, 2, 3), 0, 255) and not I.passes_through((2, 2), 0, 255) and not I.passes_through((2, 2, 3), -1, 9)
+    assert I.three_channels(np.ones((2, 4))).shape == (2, 4, 3)
+    for bad in (((2,), "uint8"), ((2, 2, 4), "uint8"), ((2, 2), "int64")):
+        with pytest.raises(ValueError, match="image"):
+            I.checked(*bad)
+
+
+def test_everything_plugs_in(spark):
+    cells = spark.createDataFrame([(0, v, u, 1.0) for v in range(4) for u in range(4)], "image_id int, v int, u int, value double")
+    cut = D.tiles(spark.createDataFrame([(0, 4, 4)], "image_id int, width int, height int"), (4, 4), (0, 0))
+    masks = M.everything(M.tile_cells(cells, cut), lambda: lambda image: [np.argwhere(image > 0)])
+    assert [r.area for r in masks.collect()] == [16]
