@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, shared_dir
+
 #: Between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -26,23 +27,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one of this machine where the session names none (tests)."""
-    context = spark.sparkContext
-    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = tempfile.mkdtemp(prefix="lumenfold-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Runs df once and goes on from its rows in the shared folder; lost executors cost no rerun."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
     """As cut(), for larger results: columnar, compressed, read back by column."""
     spark = df.sparkSession
