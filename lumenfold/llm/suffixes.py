@@ -64,20 +64,30 @@ def triples(x: np.ndarray, step: int, last: int | None = None) -> np.ndarray:
     out += x[last : last + n] * ODD[2]
     if last != step:
         out += x[step : step + n] * ODD[1]
-    return mixed(out)
+    out ^= out >> U(29)
+    return out
+
 
+def named(levels: list[np.ndarray], length: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Names of the `length`-byte strings, all or those at some places; levels[j] holds those of 3**j bytes and is extended as needed.
 
-def named(levels: list[np.ndarray], length: int) -> np.ndarray:
-    """Names of all `length`-byte strings; levels[j] holds those of 3**j bytes and is extended as needed."""
+    For some places the last triples, of the longest parts, are named there alone.
+    """
     j = 0
-    while 3 ** (j + 1) <= length:
+    while 3 ** (j + 1) <= (length if at is None else length // 3):
         if len(levels) == j + 1:
             levels.append(triples(levels[j], 3**j))
         j += 1
-    rest = length - 3**j
-    if not rest:
-        return levels[j]
-    return triples(levels[j], min(rest, 3**j), rest)
+    if at is None:
+        rest = length - 3**j
+        return mixed(triples(levels[j], min(rest, 3**j), rest) if rest else levels[j].copy())
+    x, w = levels[j], 3**j
+    out, steps = np.zeros(len(at), U), range(0, length - w + 1, w)
+    for i, step in enumerate([*steps, length - w] if (length - w) % w else steps):
+        out *= ODD[i % 3]
+        out += x[at + step]
+        out ^= out >> U(29)
+    return mixed(out)
 
 
 def sliding(x: np.ndarray, width: int, least) -> np.ndarray:
@@ -104,14 +114,13 @@ class Spans:
             self.gram = self.span = np.empty(0, U)
             return
         g = named(levels, gram)
-        windows = named(levels, length)
         low = sliding(g, width, np.minimum)
         pad = np.zeros(width - 1, U)
         chosen = np.flatnonzero(g == sliding(np.concatenate([pad, low, pad]), width, np.maximum))
         mark = np.zeros(len(g), np.int64)
         mark[chosen] = 1
         # Windows within one text
-        inside = np.zeros(len(windows) + 1, np.int64)
+        inside = np.zeros(ends[-1] - length + 2, np.int64)
         fits = sizes >= length
         np.add.at(inside, self.begin[fits], 1)
         np.add.at(inside, ends[fits] - length + 1, -1)
@@ -126,7 +135,7 @@ class Spans:
         stop = np.append(first[1:], len(s))
         a, b = s[first], s[stop - 1]
         self.gram = g[at[first]]
-        self.span = mixed(windows[a] * ODD[0] + windows[b] * ODD[1] + (at[first] - a).astype(U) * ODD[2] + (b - a).astype(U) * ODD[3])
+        self.span = mixed(named(levels, length, a) * ODD[0] + named(levels, length, b) * ODD[1] + (at[first] - a).astype(U) * ODD[2] + (b - a).astype(U) * ODD[3])
         self.doc = np.searchsorted(ends, a, "right")
         self.start, self.stop = a - self.begin[self.doc], b + 1 - self.begin[self.doc]
 
@@ -182,14 +191,14 @@ def windows(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             todo = dict(zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(3), strict=True))  # equal keys have equal lists
             for ids, prints, texts in chunks(batch):
-                names = named([CODES[np.frombuffer(b"".join(texts), np.uint8)]], length)
+                levels = [CODES[np.frombuffer(b"".join(texts), np.uint8)]]
                 begin = np.cumsum([0] + [len(x) for x in texts])
                 out: list[np.ndarray] = []
                 for i, (d, t) in enumerate(zip(ids.tolist(), prints.tolist(), strict=True)):
                     packed = todo[d, t].values.to_numpy()
                     a, n = packed >> 8, packed & 255
                     start = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    out.append(np.stack([names[begin[i] + start].view(np.int64), np.full(len(start), d), np.full(len(start), t), start]))
+                    out.append(np.stack([named(levels, length, begin[i] + start).view(np.int64), np.full(len(start), d), np.full(len(start), t), start]))
                 all_ = np.concatenate(out, 1)
                 yield pa.RecordBatch.from_arrays([pa.array(all_[0]), pa.array(all_[1]), pa.array(all_[2]), pa.array(all_[3].astype(np.int32))], names=["name", "d", "t", "start"])
 
