@@ -23,6 +23,7 @@ from . import common as c
 SCHEDULES = (((0.0, 7.5), (1.0, 2.5)), ((0.0, 1.0), (0.5, 2.0), (1.0, 3.0)), ((0.0, 1.0), (1.0, 1.0)))
 MOST = 3
 SEED = 20240601
+#: Fewest buckets a source is summed in; as many as shuffle partitions where those are more.
 BUCKETS = 64
 
 
@@ -87,7 +88,7 @@ def mixed(docs: DataFrame, schedules=SCHEDULES, most: float = MOST, text: str =
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.lit(SEED), F.col(key)).alias("hash"))
-    rows = rows.withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod("hash", F.lit(max(BUCKETS, c.parts(docs.sparkSession)))).cast("int"))
     sums = c.cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("held")))
     per_source = targets(sums.groupBy("source").agg(F.sum("held").alias("source_size")), schedules, most)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
