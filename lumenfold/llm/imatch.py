@@ -33,7 +33,8 @@ LEAST_DOCS = 2
 DRAWS, LEVELS, SHRINK = 12, 4, 4
 SLOTS = 1 << 16
 MOST_TERMS = 1_000_000
-MOST_BUCKETS = 2000
+#: Ranges of the key: some for each shuffle partition, so that their sizes even out.
+RANGES_A_PARTITION, LEAST_RANGES, MOST_RANGES = 4, 64, 4000
 NONE = "------"
 
 
@@ -138,7 +139,7 @@ def with_next(docs: DataFrame, prepare: Callable[[DataFrame], DataFrame], *, key
     that no task sees more than its range. The range bounds are quantiles of the key.
     """
     spark = docs.sparkSession
-    n = max(16, min(c.parts(spark), MOST_BUCKETS))
+    n = max(LEAST_RANGES, min(RANGES_A_PARTITION * c.parts(spark), MOST_RANGES))
     bounds = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n)).first()[0] or []
     array = F.array(*[F.lit(x) for x in sorted(set(bounds))]).cast("array<bigint>")
     bucket = F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter(array, lambda b: b < F.col(key))))
