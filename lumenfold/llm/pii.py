@@ -39,7 +39,7 @@ FOUND = re.compile(
     | (?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d))
     | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
     | (?P<phone>(?<![\w+])(?:\+1[\x20.-]?)?(?:\(\d{3}\)\x20?|\d{3}[\x20.-])\d{3}[\x20.-]\d{4}(?!\d)|(?<![\w+])\+[1-9]\d{0,2}(?:[\x20.-]?\d{2,4}){2,4}(?!\d))
-    | (?P<card>(?<![\w-])\d(?:[\x20-]?\d){12,18}(?![\w-]))""",
+    | (?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<sep>[\x20-])\d{4}(?P=sep)\d{4}(?P=sep)\d{4}|\d{4}[\x20-]\d{6}[\x20-]\d{5})(?![\w-]))""",
     re.VERBOSE | re.ASCII,
 )
 
@@ -178,14 +178,15 @@ def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, dict[
     out, at = [], 0
     place = 0
     while m := FOUND.search(text, place):
-        new = replaced(m.lastgroup, m[0], permute)
+        kind = next(k for k in KINDS if m[k] is not None)
+        new = replaced(kind, m[0], permute)
         if new is None:
             # not valid as a whole: what lies within may be
             place = m.start() + 1
             continue
         out += [text[at : m.start()], new]
         at = place = m.end()
-        counts[m.lastgroup] += 1
+        counts[kind] += 1
     return "".join(out) + text[at:], counts
 
 

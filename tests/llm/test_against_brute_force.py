@@ -48,6 +48,7 @@ def test_pseudonyms_keep_formats():
     card = re.search(r"4\d{3}(?: \d{4}){3}", new)[0].replace(" ", "")
     assert pii.luhn(card[:-1]) == int(card[-1]) and card != "4" + "1" * 15
     assert pii.pseudonymised("x 4111 1111 1111 1111", key)[0][2:] == re.search(r"4\d{3}(?: \d{4}){3}", new)[0]
+    assert "4451718024887799" not in pii.pseudonymised("x 4451718024887799 27.65.93.1 y", key)[0]
     for invalid in ("4111 1111 1111 1112", "2024-02-30", "300.1.1.1", "000-12-3456", "DE00 3704 0044 0532 0130 00"):
         assert pii.pseudonymised(invalid, key)[0] == invalid
 
