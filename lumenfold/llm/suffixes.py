@@ -37,7 +37,7 @@ from . import common as c
 
 LENGTH = 100
 #: Bytes of text that are named at once: few enough for a core's cache.
-CHUNK = 250_000
+CHUNK = 100_000
 LAST = (1 << 63) - 1
 U = np.uint64
 ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -126,8 +126,10 @@ class Spans:
         np.add.at(inside, ends[fits] - length + 1, -1)
         s = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
         j = np.cumsum(mark)[s + width - 1] - 1
-        while (wrong := g[chosen[j]] != low[s]).any():
+        wrong = np.flatnonzero(g[chosen[j]] != low[s])
+        while len(wrong):
             j[wrong] -= 1
+            wrong = wrong[g[chosen[j[wrong]]] != low[s[wrong]]]
         at = chosen[j]
         new = np.ones(len(s), bool)
         new[1:] = (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)
