@@ -22,30 +22,33 @@ from . import common as c
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-SYMBOLS = "#*$%&|<>"
+SYMBOL = r"[#*$%&|<>]"
 #: Phrases of licence, cookie and copyright lines.
 BOILERPLATE = r"(?i)(licensed under the|all rights reserved|terms of (use|service)|privacy policy|cookie policy|use of cookies|copyright \(c\)|lorem ipsum|subscribe to our|sign up for our|javascript is disabled)"
 BOILERPLATE_WORDS = 20
+WORD = r"[^\x20\x09-\x0D]+"
 MENU = r"[\x20\x09-\x0D][|»›·•][\x20\x09-\x0D]"
 SENTENCE_MARK = r"[.!?…:;,]"
 MOST_LOST = 0.5
 
 
+def times(text: Column, pattern: str) -> Column:
+    """How often a pattern is found, left to right without overlap."""
+    return F.regexp_count(text, F.lit(pattern))
+
+
 def squeezed(text: Column) -> Column:
     """The text without white space."""
-    return F.translate(text, c.SPACE_CHARS, "")
+    return F.array_join(F.split(text, c.SPACE), "")
 
 
 def line_fails(line: Column) -> Column:
     """The rules of one line, as booleans of one expression."""
-    n = F.size(F.split(F.trim(F.regexp_replace(line, c.SPACE, " ")), " "))
-    marks = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    bangs = F.size(F.split(line, "!!")) - 1
-    menu = F.size(F.split(line, MENU)) - 1
+    n = times(line, WORD)
     return (
-        (menu * 4 >= n)
-        | (marks * 2 >= n)
-        | (bangs * 2 >= n)
+        (times(line, MENU) * 4 >= n)
+        | (times(line, SYMBOL) * 2 >= n)
+        | (times(line, "!!") * 2 >= n)
         | ((n >= 10) & ~line.rlike(SENTENCE_MARK))
         | ((n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
     )
@@ -63,7 +66,7 @@ def scored(docs: DataFrame, text: str = "text") -> DataFrame:
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_text, lost, kept."""
     t = F.col("_text")
     df = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns if x not in VERDICT]).alias("_row"), c.text_of(text).alias("_text"))
-    df = df.withColumn("_words", c.words_of(t)).withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: F.length(squeezed(x)) > 0))
+    df = df.withColumn("_words", c.words_of(t)).withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)))
     df = df.withColumn("_hashes", repeated_words(F.col("_words")))
     df = df.withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x)))
     df = df.withColumn("_sorted", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -76,14 +79,14 @@ def scored(docs: DataFrame, text: str = "text") -> DataFrame:
     )["total"]
     df = df.withColumns({
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(squeezed(t)).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": times(t, SYMBOL).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         "clean_text": F.array_join("_good", "\n"),
     })
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    df = df.withColumn("lost", F.when(F.col("word_chars") > 0, 1 - F.length(squeezed(F.col("clean_text"))) / F.col("word_chars")).otherwise(0.0))
+    df = df.withColumn("lost", F.when(F.size("_good") < F.size("_lines"), 1 - F.length(squeezed(F.col("clean_text"))) / F.col("word_chars")).otherwise(0.0))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= MOST_LOST))
     # A generator between: a filter on a verdict must not be pushed down and repeat all of the above for every line and word.
     return df.select("_row.*", F.inline(F.array(F.struct(*VERDICT))))
