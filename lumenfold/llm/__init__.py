@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import sys
 from importlib import import_module
 
-from pyspark import cloudpickle
-
-# Executors need not have this package: functions go to them by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 #: query name -> module
 NAMES = {
     "op1_pii_feistel": "pii",

@@ -25,6 +25,8 @@ MOST = 3
 SEED = 20240601
 #: Fewest buckets a source is summed in; as many as shuffle partitions where those are more.
 BUCKETS = 64
+#: Most ranges that the table of sources is sorted in.
+RANGES = 200
 
 
 def integrals(knots) -> list[float]:
@@ -53,7 +55,7 @@ def ranked_sources(sizes: DataFrame) -> DataFrame:
     """Adds `place`, the rank (from 0) of each source in code-point order, null last; no single sorter."""
     spark = sizes.sparkSession
     by = F.col("source").asc_nulls_last()
-    placed = c.cut(sizes.repartitionByRange(c.parts(spark), by).sortWithinPartitions(by))
+    placed = c.cut(sizes.repartitionByRange(min(c.parts(spark), RANGES), by).sortWithinPartitions(by))
     placed = placed.withColumn("_id", F.monotonically_increasing_id())
     part, inner = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
     starts, seen = {}, 0  # one entry a partition
