@@ -33,3 +33,18 @@ def test_stages_keep_the_columns(spark, edge):
 
 def test_pipeline_of_nothing(spark, nothing):
     assert corpus_pipeline.run(spark, nothing).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op4_imatch", "op8_line_quality"])
+def test_native_plans(spark, small, name):
+    plan = llm.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "NestedLoop"))
+
+
+def test_importing_needs_no_session():
+    import subprocess
+    import sys
+
+    from compare import ROOT
+
+    subprocess.run([sys.executable, "-c", "import corpus_pipeline, lumenfold.llm"], cwd=ROOT, check=True)
