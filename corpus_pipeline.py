@@ -14,7 +14,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: No SQL states tokenising, curriculum order and bin packing: tests/llm/test_pipeline.py holds run() against a plain version.
+#: No SQL states tokenising, curriculum order and bin packing: tests/llm/test_against_brute_force.py holds run() against a plain version.
 ORACLE_SQL = None
 
 

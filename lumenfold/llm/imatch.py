@@ -87,7 +87,7 @@ class Lexicon:
         every = lambda ts: F.when(F.size(ts) > 0, F.xxhash64(ts))
         if self.small:
             # An array of one names the terms. They and the subquery are referred to once, so that the projections
-            # become one and no row carries the lexicon: tests/llm/test_imatch.py looks at the plan.
+            # become one and no row carries the lexicon: tests/llm/test_against_brute_force.py looks at the plan.
             look = lambda t: F.try_element_at(F.get("_lexicon", slot(t)), t)
             found = lambda ts: F.filter(F.transform(ts, lambda t: F.struct(t.alias("term"), look(t).alias("mask"))), lambda x: x["mask"].isNotNull())
             met = F.transform(F.array(terms_of(F.col(text))), lambda ts: F.struct(found(ts).alias("found"), every(ts).alias("every")))
