@@ -120,16 +120,19 @@ def fingerprint(met: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two arrays of pieces."""
-    pairs = F.arrays_zip(F.slice(a, 2, DRAWS * LEVELS).alias("a"), F.slice(b, 2, DRAWS * LEVELS).alias("b"))
 
-    def agrees(d: Column) -> Column:
-        said = F.filter(F.slice(pairs, d * LEVELS + 1, LEVELS), lambda p: (p["a"] != NONE) | (p["b"] != NONE))
-        last = F.try_element_at(said, F.lit(-1))
-        return last["a"] == last["b"]
-
-    votes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), agrees), lambda v: v.isNotNull())
-    share = F.try_divide(F.size(F.filter(votes, lambda v: v)).cast("double"), F.size(votes))
-    return F.when(a == b, 1.0).otherwise(F.coalesce(share, F.lit(0.0)))
+    def vote(d: int) -> Column:
+        """Whether the smallest subset with a term of either agrees: 1 or 0, null where none has one."""
+        said = []
+        for level in reversed(range(LEVELS)):
+            x, y = (F.get(pieces, F.lit(1 + d * LEVELS + level)) for pieces in (a, b))
+            said.append(F.when((x != NONE) | (y != NONE), (x == y).cast("int")))
+        return F.coalesce(*said)
+
+    votes = [vote(d) for d in range(DRAWS)]
+    agreed = sum((F.coalesce(v, F.lit(0)) for v in votes), F.lit(0))
+    asked = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in votes), F.lit(0))
+    return F.when(a == b, 1.0).otherwise(F.coalesce(F.try_divide(agreed.cast("double"), asked.cast("double")), F.lit(0.0)))
 
 
 def with_next(docs: DataFrame, prepare: Callable[[DataFrame], DataFrame], *, key: str, order: list[str], carry: list[str]) -> DataFrame:
