@@ -202,3 +202,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays = grouped(docs).filter("kept").select(F.col("doc_id").alias("_stays")).filter("_stays is not null").distinct()
     named = docs.join(stays, F.col("doc_id") == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3])
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) g FROM d)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+e AS (SELECT a x, b y FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id x, doc_id root FROM d UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.x WHERE r.root < e.y),
+m AS (SELECT x, min(root) root FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) n_shingles, root component_id, d.doc_id = root kept FROM d JOIN m ON x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

@@ -22,8 +22,9 @@ from . import common as c
 #: Weight schedules, dealt to the sources in code-point order, repeating; the integrals are 5, 2 and 1.
 SCHEDULES = (((0.0, 7.5), (1.0, 2.5)), ((0.0, 1.0), (0.5, 2.0), (1.0, 3.0)), ((0.0, 1.0), (1.0, 1.0)))
 MOST = 3
-SEED = 20240601
-#: Fewest buckets a source is summed in; as many as shuffle partitions where those are more.
+#: Multiplier, fold and modulus of the arithmetic hash of doc_id by which a source's documents are ordered.
+HASH, FOLD, MODULUS = 2654435761, 1 << 31, 1 << 32
+#: Fewest ranges of the hash a source is summed in; as many as shuffle partitions where those are more. The order does not depend on it.
 BUCKETS = 64
 #: Most ranges that the table of sources is sorted in.
 RANGES = 200
@@ -82,6 +83,11 @@ def targets(sizes: DataFrame, schedules=SCHEDULES, most: float = MOST) -> DataFr
     return shares.withColumn("target", target).drop("weight")
 
 
+def hashed(key: Column) -> Column:
+    """0..2**32 - 1; a null key is 0."""
+    return F.coalesce(F.pmod(F.pmod(key.cast("long"), F.lit(FOLD)) * F.lit(HASH), F.lit(MODULUS)), F.lit(0).cast("long"))
+
+
 def mixed(docs: DataFrame, schedules=SCHEDULES, most: float = MOST, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """A row per document: `row` (its columns), size, source_size, target, taken, place, offset.
 
@@ -89,8 +95,8 @@ def mixed(docs: DataFrame, schedules=SCHEDULES, most: float = MOST, text: str =
     which the demand ends, the first words of it.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.lit(SEED), F.col(key)).alias("hash"))
-    rows = rows.withColumn("bucket", F.pmod("hash", F.lit(max(BUCKETS, c.parts(docs.sparkSession)))).cast("int"))
+    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), F.col(source).alias("source"), size.alias("size"), hashed(F.col(key)).alias("hash"))
+    rows = rows.withColumn("bucket", F.floor(F.col("hash") / (MODULUS // max(BUCKETS, c.parts(docs.sparkSession)))).cast("int"))
     sums = c.cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("held")))
     per_source = targets(sums.groupBy("source").agg(F.sum("held").alias("source_size")), schedules, most)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,7 +120,7 @@ def position(nth: Column, schedules=SCHEDULES) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = mixed(docs).select("row.doc_id", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, position(F.lit(0))).alias("position"))
+    rows = mixed(docs).select("row.doc_id", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.round(position(F.lit(0)), 9)).alias("position"))
     return rows.orderBy("position", "doc_id")
 
 
@@ -126,3 +132,27 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("_at", position(F.col("nth"))).withColumn("_text", text).orderBy("_at", "row.doc_id", "nth")
     cols = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return rows.select(*[(cols[x] if x in cols else F.col(f"row.`{x}`")).alias(x) for x in docs.columns])
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
+        coalesce(((doc_id % 2147483648) * 2654435761) % 4294967296, 0) h FROM documents),
+z AS (SELECT source, sum(size)::BIGINT z, row_number() OVER (ORDER BY source NULLS LAST) - 1 place FROM d GROUP BY source),
+w AS (SELECT *, [5e0, 2e0, 1e0][place % 3 + 1] w FROM z),
+o AS (SELECT *, 3 * z / w ratio, row_number() OVER q k, sum(3 * z) OVER q held, sum(w) OVER q gone FROM w WINDOW q AS (ORDER BY 3 * z / w, place ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT sum(z) total, sum(w) weight FROM w),
+l AS (SELECT k, (total - held) / nullif(weight - gone, 0) level FROM (SELECT 0 k, 0 held, 0 gone UNION ALL SELECT k, held, gone FROM o), t),
+v AS (SELECT level FROM l LEFT JOIN o ON o.k = l.k + 1 WHERE o.k IS NULL OR level < ratio ORDER BY l.k LIMIT 1),
+s AS (SELECT source s, z, place, CASE WHEN level IS NULL THEN 3 * z ELSE least(w * level, 3 * z) END::DOUBLE target FROM w, v),
+c AS (SELECT doc_id, size, z, place, target, floor(target)::BIGINT demand,
+        coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT c
+      FROM d JOIN s ON s.s IS NOT DISTINCT FROM source),
+k AS (SELECT *, CASE WHEN z > 0 THEN demand // z ELSE 0 END * size + greatest(0, least(size, demand - CASE WHEN z > 0 THEN demand // z ELSE 0 END * z - c)) taken,
+        least(1e0, CASE WHEN demand > 0 THEN c::DOUBLE / demand ELSE 0 END) u FROM c),
+y AS (SELECT *, u * [5e0, 2e0, 1e0][place % 3 + 1] y FROM k),
+p AS (SELECT *, CASE place % 3
+        WHEN 0 THEN 2 * y / (7.5e0 + sqrt(56.25e0 - 10 * y))
+        WHEN 1 THEN CASE WHEN y < 0.75e0 THEN 2 * y / (1 + sqrt(1 + 4 * y)) ELSE 0.5e0 + 2 * (y - 0.75e0) / (2 + sqrt(4 + 4 * (y - 0.75e0))) END
+        ELSE y END p FROM y)
+SELECT doc_id, size::BIGINT size, z source_size, target, taken::BIGINT taken, CASE WHEN taken > 0 THEN round(p, 9) END "position" FROM p
+"""

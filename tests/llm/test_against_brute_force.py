@@ -250,6 +250,21 @@ def test_times_invert_the_schedule(spark):
     assert [mixing.integrals(k)[-1] for k in mixing.SCHEDULES] == [5, 2, 1]
 
 
+@pytest.mark.parametrize("name", ["op6_curriculum", "op8_line_quality", "op9_minmax_hash"])
+def test_oracles(spark, duck, small, name):
+    same(llm.QUERIES[name](spark, small).toPandas(), duck.sql(llm.ORACLES[name]).df())
+
+
+def test_order_of_the_mix_is_the_same_on_any_cluster(spark, small):
+    key = lambda: sorted((r.doc_id, r.taken, r.position) for r in llm.QUERIES["op6_curriculum"](spark, small).collect())
+    before, kept = key(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        assert key() == before
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
 # 7
 
 
