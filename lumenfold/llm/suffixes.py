@@ -266,3 +266,15 @@ def finished(docs: DataFrame, length: int) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(c.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+w AS (SELECT doc_id, s, substr(h, (2 * s + 1)::BIGINT, 200) x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) s FROM d)),
+g AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) k FROM w) WHERE k > 1),
+b AS (SELECT doc_id, unnest(range(0, length(h) // 2)) t, unnest(string_split(regexp_replace(h, '(..)', '\1,', 'g'), ',')[:length(h) // 2]) v FROM d),
+c AS (SELECT b.doc_id, t, v, coalesce(t - max(s) OVER (PARTITION BY b.doc_id ORDER BY t) < 100, false) gone FROM b LEFT JOIN g ON g.doc_id = b.doc_id AND s = t),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY t), false) starts FROM c),
+f AS (SELECT doc_id, count(*) n, count_if(gone) r, count_if(starts) p, string_agg(v, '' ORDER BY t) FILTER (NOT gone) k FROM e GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT n_bytes, coalesce(r, 0)::BIGINT n_removed, coalesce(p, 0)::BIGINT n_spans, sha256(unhex(coalesce(k, ''))) kept_sha256 FROM d LEFT JOIN f USING (doc_id)
+"""

@@ -250,7 +250,7 @@ def test_times_invert_the_schedule(spark):
     assert [mixing.integrals(k)[-1] for k in mixing.SCHEDULES] == [5, 2, 1]
 
 
-@pytest.mark.parametrize("name", ["op6_curriculum", "op8_line_quality", "op9_minmax_hash"])
+@pytest.mark.parametrize("name", ["op6_curriculum", "op7_suffix_cover", "op8_line_quality", "op9_minmax_hash"])
 def test_oracles(spark, duck, small, name):
     same(llm.QUERIES[name](spark, small).toPandas(), duck.sql(llm.ORACLES[name]).df())
 
