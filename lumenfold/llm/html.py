@@ -38,6 +38,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Tags and words in class, id or role that name a region as furniture.
 FURNITURE_TAGS = frozenset("nav header footer aside form dialog menu".split())
 FURNITURE = frozenset("ad ads adv advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer contentinfo complementary sidebar widget cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus reply replies respond login search searchbox pagination pager toc skip hidden".split())
+#: The same, run together with other words.
+FURNITURE_PART = re.compile(r"sidebar|footer|navbar|(top|main|sub|side)(nav|menu)$|navigat|cookie|newsletter|advert|breadcrumb|masthead|sponsor|^comments?(list|form|area|box|section|thread|wrap)$|^ads?(box|slot|unit|banner|wrap)$")
 #: Furniture words that count on an article tag itself, whose class may tell of the page.
 FURNITURE_ARTICLE = frozenset("ad ads advert comment comments reply replies related promo sponsored teaser".split())
 ARTICLE = frozenset("article main".split())
@@ -59,6 +61,10 @@ def names(tag: str, attrs: str) -> tuple[set[str], bool]:
     return words, hidden
 
 
+def named_furniture(words: set[str]) -> bool:
+    return bool(words & FURNITURE) or any(FURNITURE_PART.search(w) for w in words)
+
+
 def blocks(html: str) -> list[dict]:
     """Flat text blocks in page order: text and the features of the block by itself."""
     out: list[dict] = []
@@ -101,7 +107,7 @@ def blocks(html: str) -> list[dict]:
         if tag in INLINE:
             if tag in ("span", "label") and not ends:
                 words, hidden = names(tag, m["attrs"] or m["attrs2"] or "")
-                if not (hidden or words & FURNITURE):
+                if not (hidden or named_furniture(words)):
                     continue
                 flush()
             elif not (tag in ("span", "label") and ends and any(x[0] == tag for x in stack[-1:])):
@@ -119,7 +125,8 @@ def blocks(html: str) -> list[dict]:
                     break
         elif tag not in VOID and tag != "p" and not (m["attrs"] or m["attrs2"] or "").endswith("/"):
             words, hidden = names(tag, m["attrs"] or m["attrs2"] or "")
-            own = hidden or tag in FURNITURE_TAGS or bool(words & (FURNITURE_ARTICLE if tag == "article" else set() if tag in ("html", "body", "main") else FURNITURE))
+            told = words & FURNITURE_ARTICLE if tag == "article" else tag not in ("html", "body", "main") and named_furniture(words)
+            own = hidden or tag in FURNITURE_TAGS or bool(told)
             stack.append((tag, furniture or own, article or (tag in ARTICLE and not own)))
         furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
     put(html[at:])

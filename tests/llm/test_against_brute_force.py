@@ -67,6 +67,9 @@ def test_main_text():
     <p>Ti.</p><div class="ad">Buy this very good thing today, it is cheap and everyone has it.</div><script>var a = "<p>no</p>";</script><form><p>Your name please</p></form>
     <section id="comments"><p>A reader says that this article is really quite wrong about it all.</p></section></article></main><aside>Side text of many words that goes on for some time here.</aside><footer>&copy; Me</footer>"""
     assert html.main_text(page) == "Title\n\nFirst bold text <here>. More.\n\nTi."
+    for name in ("commentlist", "cookiebar", "left-sidebar", "mainmenu", "adbox", "postfooter"):
+        assert html.main_text(f"<article><p>Kept text.</p><div class='{name}'><p>These are a dozen words of furniture that must not be kept here.</p></div></article>") == "Kept text."
+    assert html.main_text("<article class='commentary has-sidebar'><div class='commentary'><p>Kept text.</p></div></article>") == "Kept text."
     bare = "<div><a href=/>Home</a></div><p>" + "This page has no article but a long paragraph of running text. " * 3 + "</p><p>" + "Another one follows it with words. " * 4 + "</p>"
     assert html.main_text(bare).count("\n\n") == 1 and "Home" not in html.main_text(bare)
 
