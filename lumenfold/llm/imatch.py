@@ -129,10 +129,9 @@ def likeness(a: Column, b: Column) -> Column:
             said.append(F.when((x != NONE) | (y != NONE), (x == y).cast("int")))
         return F.coalesce(*said)
 
-    votes = [vote(d) for d in range(DRAWS)]
-    agreed = sum((F.coalesce(v, F.lit(0)) for v in votes), F.lit(0))
-    asked = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in votes), F.lit(0))
-    return F.when(a == b, 1.0).otherwise(F.coalesce(F.try_divide(agreed.cast("double"), asked.cast("double")), F.lit(0.0)))
+    votes = F.filter(F.array(*[vote(d) for d in range(DRAWS)]), lambda v: v.isNotNull())
+    agreed = F.aggregate(votes, F.lit(0), lambda n, v: n + v)
+    return F.when(a == b, 1.0).otherwise(F.coalesce(F.try_divide(agreed.cast("double"), F.size(votes).cast("double")), F.lit(0.0)))
 
 
 def with_next(docs: DataFrame, prepare: Callable[[DataFrame], DataFrame], *, key: str, order: list[str], carry: list[str]) -> DataFrame:
