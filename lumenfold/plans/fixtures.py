@@ -19,7 +19,7 @@ PARAMS = (
 POINTS_SQL = "SELECT event_id point_id, CAST(user_id % 3 AS INT) station_id, ((event_id*37) % 2003)/100e0 - 10.01e0 x, ((event_id*91) % 1999)/100e0 - 9.97e0 y, value/100e0 - 1e0 z, value intensity FROM events"
 DETECTIONS_SQL = """SELECT o_orderkey det_id, CAST(o_custkey % 8 AS INT) image_id, CAST(substr(o_orderpriority,1,1) AS INT) class_id, o_totalprice/1e6 score,
  CAST(o_orderkey % 97 AS INT) x0, CAST((o_orderkey*7) % 53 AS INT) y0, CAST(o_orderkey % 97 + 3 + o_custkey % 11 AS INT) x1, CAST((o_orderkey*7) % 53 + 3 + o_custkey % 7 AS INT) y1
- FROM orders WHERE o_orderkey < 1200"""
+ FROM orders"""
 
 
 def _view(spark: SparkSession, sf_dir: str, table: str, sql: str) -> DataFrame:
@@ -31,7 +31,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixture itself is the first 1,200 order keys: boxes of eight images."""
+    """One box an order, on eight images."""
     return _view(spark, sf_dir, "orders", DETECTIONS_SQL)
 
 

@@ -574,9 +574,9 @@ def matrix_text(spark, d):
     return spark.createDataFrame([(i, line) for i, line in enumerate(matrix_lines(TO_PROJECT))], "i int, line string")
 
 
-@query("SELECT o_orderkey det_id, 'scan_' || (o_custkey % 8) stem FROM orders WHERE o_orderkey < 1200")
+@query("SELECT o_orderkey det_id, 'scan_' || (o_custkey % 8) stem FROM orders")
 def path_stem(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey < 1200")
+    o = spark.read.parquet(f"{d}/orders.parquet")
     path = F.concat(F.lit("/data/run.1/scan_"), F.col("o_custkey") % 8, F.lit(".png"))
     return o.select(F.col("o_orderkey").alias("det_id"), S.file_stem(path).alias("stem"))
 

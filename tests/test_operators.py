@@ -251,3 +251,10 @@ def test_everything_plugs_in(spark):
     cut = D.tiles(spark.createDataFrame([(0, 4, 4)], "image_id int, width int, height int"), (4, 4), (0, 0))
     masks = M.everything(M.tile_cells(cells, cut), lambda: lambda image: [np.argwhere(image > 0)])
     assert [r.area for r in masks.collect()] == [16]
+
+
+def test_every_order_is_a_detection(spark, small):
+    orders = spark.read.parquet(f"{small}/orders.parquet").count()
+    assert orders > 1200
+    for found in (X.detections(spark, small), Q.path_stem(spark, small), Q.box_batches(spark, small), Q.size_rank(spark, small)):
+        assert found.select("det_id").distinct().count() == orders
