@@ -29,7 +29,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_MIN, ACCESS_MIN = 12, 18
-KEY = re.compile(r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])")
+#: A key may follow '=' at once (NAME=key); one before '=' is a longer, padded value.
+KEY = re.compile(r"(?<![A-Za-z0-9/+])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])")
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|(?<![\w.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}(?!\d)""")
 KINDS = ("assign", "access", "hex", "key", "endpoint")
 SCOPE = 300
