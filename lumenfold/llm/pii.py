@@ -38,10 +38,15 @@ FOUND = re.compile(
     | (?P<date>(?<![\d.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d-]|\.\d))
     | (?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d))
     | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
-    | (?P<phone>(?<![\w+])(?:\+1[\x20.-]?)?(?:\(\d{3}\)\x20?|\d{3}[\x20.-])\d{3}[\x20.-]\d{4}(?!\d)|(?<![\w+])\+[1-9]\d{0,2}(?:[\x20.-]?\d{2,4}){2,4}(?!\d))
+    | (?P<phone>(?<![\w+])(?:\+1[\x20.-]?)?(?:\(\d{3}\)\x20?|\d{3}[\x20.-])\d{3}[\x20.-]\d{4}(?!\d)|(?<![\w+])\+[1-9]\d{0,2}(?:(?:[\x20.-]\d(?=[\x20.-]))?[\x20.-]?\d{2,4}){2,4}(?!\d))
     | (?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<sep>[\x20-])\d{4}(?P=sep)\d{4}(?P=sep)\d{4}|\d{4}[\x20-]\d{6}[\x20-]\d{5})(?![\w-]))""",
     re.VERBOSE | re.ASCII,
 )
+#: Characters of an IBAN by country.
+IBAN_SIZES = {x[:2]: int(x[2:]) for x in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24
+    FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22
+    MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29
+    VA22 VG24 XK20 YE30""".split()}
 
 
 def permuted(x: int, size: int, key: bytes, tweak: bytes, back: bool = False) -> int:
@@ -112,13 +117,29 @@ def by_class(text: str, permute: Permute, tweak: bytes) -> str:
 
 
 def date_of(said: str) -> tuple[datetime.date | None, str]:
+    """The date and its form: a separator, or d/ for day/month, which is read only where month/day is no date."""
     sep = next(x for x in "-./" if x in said)
     n = [int(x) for x in said.split(sep)]
-    y, m, d = n if sep == "-" else (n[2], n[1], n[0]) if sep == "." else (n[2], n[0], n[1])
-    try:
-        return datetime.date(y, m, d), sep
-    except ValueError:
-        return None, sep
+    for form, (y, m, d) in {"-": {"-": n}, ".": {".": n[::-1]}, "/": {"/": (n[2], n[0], n[1]), "d/": n[::-1]}}[sep].items():
+        try:
+            return datetime.date(y, m, d), form
+        except ValueError:
+            pass
+    return None, sep
+
+
+def valid_iban(bare: str) -> bool:
+    return 15 <= len(bare) <= 34 and mod97(bare) == 1
+
+
+def ends(kind: str, said: str) -> list[str]:
+    """What a match may stand for, in the order of trial: IBANs and international numbers may have taken in the next words."""
+    if kind != "iban" and not (kind == "phone" and said[0] == "+" and said[1] != "1"):
+        return [said]
+    shorter = [said[: m.start()] for m in re.finditer(r"[\x20.-]", said)][::-1]
+    if kind == "iban" and (size := IBAN_SIZES.get(said[:2])):
+        return [x for x in shorter if len(x.replace(" ", "")) == size] + [said]
+    return [said, *shorter]
 
 
 def replaced(kind: str, said: str, permute: Permute) -> str | None:
@@ -135,7 +156,7 @@ def replaced(kind: str, said: str, permute: Permute) -> str | None:
         body = bare[0] + str(permute(int(bare[1:-1]), 10**n, tweak + bare[:1].encode())).zfill(n)
         return refilled(said, body + str(luhn(body)))
     if kind == "iban":
-        if not 15 <= len(bare) <= 34 or mod97(bare) != 1:
+        if not valid_iban(bare):
             return None
         body = by_class(bare[4:], permute, tweak + bare[:2].encode())
         return refilled(said, bare[:2] + f"{98 - mod97(bare[:2] + '00' + body):02d}" + body)
@@ -162,7 +183,13 @@ def replaced(kind: str, said: str, permute: Permute) -> str | None:
         day, sep = date_of(said)
         if day is None or not 0 <= (x := day.toordinal() - FIRST_DAY) < DAYS:
             return None
-        day = datetime.date.fromordinal(FIRST_DAY + permute(x, DAYS, tweak))
+        while True:
+            x = permute(x, DAYS, tweak)
+            day = datetime.date.fromordinal(FIRST_DAY + x)
+            if sep != "d/" or day.day > 12:  # walked on to a day that is again read as day/month
+                break
+        if sep == "d/":
+            return f"{day.day:02d}/{day.month:02d}/{day.year}"
         return day.isoformat() if sep == "-" else f"{day.day:02d}.{day.month:02d}.{day.year}" if sep == "." else f"{day.month:02d}/{day.day:02d}/{day.year}"
     octets = [int(x) for x in said.split(".")]
     if max(octets) > 255 or any(len(x) > 1 and x[0] == "0" for x in said.split(".")):
@@ -179,13 +206,16 @@ def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, dict[
     place = 0
     while m := FOUND.search(text, place):
         kind = next(k for k in KINDS if m[k] is not None)
-        new = replaced(kind, m[0], permute)
+        tried = ends(kind, m[0])
+        n, new = next(((i, x) for i, said in enumerate(tried) if (x := replaced(kind, said, permute)) is not None), (0, None))
+        while new is not None and kind == "iban" and any(valid_iban(x.replace(" ", "")) for x in ends(kind, new + m[0][len(new) :])[:n]):
+            new = replaced(kind, new, permute)  # walked on to where the same end is found again
         if new is None:
             # not valid as a whole: what lies within may be
             place = m.start() + 1
             continue
         out += [text[at : m.start()], new]
-        at = place = m.end()
+        at = place = m.start() + len(tried[n])
         counts[kind] += 1
     return "".join(out) + text[at:], counts
 

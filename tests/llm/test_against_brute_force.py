@@ -58,6 +58,46 @@ def test_permutation():
         assert sorted(pii.permuted(x, size, b"k", b"t") for x in range(size)) == list(range(size))
 
 
+def test_pseudonyms_before_other_words():
+    key = b"k"
+    ibans = ("AT61 1904 3002 3457 3201", "AT611904300234573201", "BE68539007547034", "PL61 1090 1014 0000 0712 1981 2874", "SE45 5000 0000 0583 9825 7466", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947")
+    for iban in ibans:
+        for tail in ("", " BIC", " BIC RZBAATWW", " 2024", " A", " HELLO", " 12", " DE89 3704 0044 0532 0130 00", " and 2024-02-29"):
+            new, counts = pii.pseudonymised(f"x {iban}{tail}", key)
+            assert counts["iban"] == 1 + tail.startswith(" DE") and iban not in new, (iban, tail)
+            assert tail.startswith((" DE", " and")) or new.endswith(tail)
+            assert pii.pseudonymised(new, key, back=True)[0] == f"x {iban}{tail}"
+    for n in range(400):  # no such country: the end is told by the check digits alone
+        body = f"{n * 7919 % 10**8:08d}{n:04d}"
+        text = f"ZZ{98 - pii.mod97('ZZ00' + body):02d}{body} 2024 AB"
+        new, counts = pii.pseudonymised(text, key)
+        assert counts["iban"] == 1 and pii.pseudonymised(new, key, back=True)[0] == text
+    for iban in ("AT61 1904 3002 3457 3202 BIC", "BE68539007547035 2024"):
+        assert pii.pseudonymised(iban, key)[0] == iban
+
+
+def test_days_before_months():
+    key = b"k"
+    for day in range(13, 32):
+        text = f"born {day:02d}/12/1990."
+        new, counts = pii.pseudonymised(text, key)
+        assert counts["date"] == 1 and new != text and pii.pseudonymised(new, key, back=True)[0] == text
+        d, m, _ = map(int, new[5:-1].split("/"))
+        assert d > 12 >= m
+    assert pii.pseudonymised("31/02/1990 13/13/1990", key)[0] == "31/02/1990 13/13/1990"
+
+
+def test_phones_with_single_digits():
+    key = b"k"
+    for phone in ("+33 6 12 34 56 78", "+33 1 23 45 67 89", "+33.6.12.34.56.78", "+46 8 123 456 78", "+61 2 9876 5432", "+31 6 12345678", "+55 11 9 1234 5678", "+33612345678", "+44 20 7946 0958"):
+        for tail in ("", ".", " a", " 2024-02-29 a"):
+            text = f"call {phone}{tail}"
+            new, counts = pii.pseudonymised(text, key)
+            assert counts["phone"] == 1 and phone not in new and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", text), text
+            assert pii.pseudonymised(new, key, back=True)[0] == text
+    assert pii.pseudonymised("+1 2 3 4", key)[0] == "+1 2 3 4"
+
+
 # 2
 
 
