@@ -1,9 +1,10 @@
 """Operator 8: quality rules, line first. DataFrame functions only; no shuffle.
 
 Every line with a word is judged on its own: it fails as
-  navigation   menu separators between its words, or nothing but short unpunctuated labels,
-  punctuation  symbol marks, shouting or doubled exclamation marks on much of its words, or
-               many words without one sentence mark,
+  navigation   menu separators between its words, or one of RUN or more short unpunctuated
+               labels that follow each other,
+  punctuation  symbol marks or doubled exclamation marks on much of its words, shouting (half or
+               more of its words in capitals), or many words without one sentence mark,
   boilerplate  a licence, cookie or copyright phrase in a short line.
 Failing lines are removed; a document that loses more than `most_lost` of its word characters
 is rejected, as is one that fails the base rules.
@@ -29,6 +30,14 @@ BOILERPLATE_WORDS = 20
 WORD = r"[^\x20\x09-\x0D]+"
 MENU = r"[\x20\x09-\x0D][|»›·•][\x20\x09-\x0D]"
 SENTENCE_MARK = r"[.!?…:;,]"
+#: A label has a letter, so many words and characters at most, and no mark of any script; so many in sequence are a menu.
+LABEL_WORDS, LABEL_CHARS, RUN = 4, 40, 4
+LABEL = r"^[^.!?…:;,。！？、，；：]*\p{L}[^.!?…:;,。！？、，；：]*$"
+#: A word in capitals (two of them, no small letter), and the fewest that are shouting.
+CAPITALS = r"(?<![^\x20\x09-\x0D])[^\p{Ll}\p{Lu}\x20\x09-\x0D]*\p{Lu}[^\p{Ll}\p{Lu}\x20\x09-\x0D]*\p{Lu}[^\p{Ll}\x20\x09-\x0D]*(?![^\x20\x09-\x0D])"
+SHOUTS = 3
+#: Of a text with a 1 for each label: the ones of runs of RUN or more, each at the start of a run or after the one before.
+IN_RUN = r"(?:\G(?!\A)|(?=1{%d}))1" % RUN
 MOST_LOST = 0.5
 
 
@@ -44,16 +53,28 @@ def squeezed(text: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """The rules of one line, as booleans of one expression."""
-    n = times(line, WORD)
+    n, shouts = times(line, WORD), times(line, CAPITALS)
     return (
         (times(line, MENU) * 4 >= n)
         | (times(line, SYMBOL) * 2 >= n)
         | (times(line, "!!") * 2 >= n)
         | ((n >= 10) & ~line.rlike(SENTENCE_MARK))
         | ((n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
+        | ((shouts >= SHOUTS) & (shouts * 2 >= n))
     )
 
 
+def is_label(line: Column) -> Column:
+    return (F.length(line) <= LABEL_CHARS) & (times(line, WORD) <= LABEL_WORDS) & line.rlike(LABEL)
+
+
+def good_lines(lines: Column) -> Column:
+    """The lines that no rule fails, in order."""
+    labels = F.array_join(F.transform(lines, lambda x: F.when(is_label(x), "1").otherwise("0")), "")
+    marks = F.split(F.regexp_replace(labels, IN_RUN, "x"), "")
+    return F.filter(F.zip_with(lines, marks, lambda x, m: F.when((m != "x") & ~line_fails(x), x)), lambda x: x.isNotNull())
+
+
 def repeated_words(words: Column) -> Column:
     """Words inside windows of WINDOW words that occur twice or more. Sorted, not paired: n log n."""
     last = F.size(words) - WINDOW
@@ -68,7 +89,7 @@ def scored(docs: DataFrame, text: str = "text") -> DataFrame:
     df = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns if x not in VERDICT]).alias("_row"), c.text_of(text).alias("_text"))
     df = df.withColumn("_words", c.words_of(t)).withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)))
     df = df.withColumn("_hashes", repeated_words(F.col("_words")))
-    df = df.withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x)))
+    df = df.withColumn("_good", good_lines(F.col("_lines")))
     df = df.withColumn("_sorted", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     again = F.filter("_sorted", lambda x, j: (x["h"] == F.get(F.col("_sorted"), j - 1)["h"]) | (x["h"] == F.get(F.col("_sorted"), j + 1)["h"]))
     df = df.withColumn("_at", F.sort_array(F.transform(again, lambda x: x["i"])))

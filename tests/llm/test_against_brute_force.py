@@ -368,6 +368,48 @@ def test_quality(spark, duck, small):
     same(quality.query(spark, small).toPandas(), duck.sql(quality.SQL).df())
 
 
+PROSE = ["The river rose in the night, and the bridge was closed until the morning.", "Nobody had seen it so high before; the old mill stood in the water.", "In May the fields were dry again."]
+MENU = ["Home", "About us", "Contact", "Log in"]
+
+
+def menus_and_shouts(text):
+    """The lines that remain, told by a plain loop. For texts that meet no other rule."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    label = [len(x) <= 40 and len(x.split()) <= 4 and not set(x) & set(".!?…:;,。！？、，；：") and any(ch.isalpha() for ch in x) for x in lines]
+    out = []
+    for i, x in enumerate(lines):
+        a = z = i
+        while a > 0 and label[a - 1]:
+            a -= 1
+        while z + 1 < len(lines) and label[z + 1]:
+            z += 1
+        words = x.split()
+        loud = sum(w.upper() == w and sum(ch.isupper() for ch in w) > 1 for w in words)
+        if not (label[i] and z - a + 1 >= 4) and not (loud >= 3 and 2 * loud >= len(words)):
+            out.append(x)
+    return out
+
+
+def test_planted_menus_and_shouting(spark):
+    texts = [
+        "\n".join([*MENU, *PROSE]), "\n".join([*PROSE, *MENU]), "\n".join([PROSE[0], *MENU, PROSE[1], "Next page", "Top", PROSE[2]]), "\n".join([*MENU, *(f"Label {i}" for i in range(30))]),
+        "\n".join(["A Heading", "By Somebody", "May 2020", *PROSE]), "\n\n".join([*MENU, *PROSE]), "\n".join([*PROSE, "BUY THESE CHEAP PILLS TODAY.", PROSE[0]]),
+        "\n".join([*PROSE, "ÇA ÉTAIT UN TRÈS GRAND BRUIT, dit-il."]), "\n".join(["CHAPTER ONE", *PROSE, "The NASA and the ESA met in the USA to speak of it."]), "\n".join([*PROSE, "今日は雨です。", "川が増水した。", "橋は閉まった。", "朝まで待った。"]),
+        "\n".join(["WE ARE OPEN NOW, COME IN.", "THIS IS THE LAST OFFER, BE QUICK.", *PROSE[2:]]), "\n".join([*MENU[:3], PROSE[0], *MENU[:3], PROSE[1]]), "\n".join(["1 2", "3 4", "5 6", "7 8", *PROSE]),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.scored(df).collect()}
+    for i, text in enumerate(texts):
+        want = menus_and_shouts(text)
+        assert [x for x in got[i].clean_text.split("\n") if x.strip()] == want, text
+        chars = lambda lines: len("".join("".join(lines).split()))
+        assert abs(got[i].lost - (1 - chars(want) / chars(text))) < 1e-9
+    assert len(menus_and_shouts(texts[0])) == 3 and len(menus_and_shouts(texts[6])) == 4 and len(menus_and_shouts(texts[4])) == 6
+    assert not got[3].kept and not got[10].kept and got[4].kept and got[9].kept
+    same_lines = {r.doc_id: [x for x in r.text.split("\n") if x.strip()] for r in quality.stage(spark, df, "").collect()}
+    assert same_lines[0] == PROSE and 3 not in same_lines
+
+
 # 9
 
 
