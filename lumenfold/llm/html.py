@@ -24,13 +24,23 @@ from . import common as c
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-    | <(?P<raw>script|style|noscript|template|textarea|select|button|svg|iframe|object|canvas|title)\b.*?(?:</(?P=raw)\s*>|\Z)
+    | <(?P<raw>script|style)(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)
     | <(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>
     | <(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*)(?P<attrs2>[^>]*)>
     | <[!?][^>]*>
     | <[/!?a-z][^<>]*\Z""",
     re.DOTALL | re.IGNORECASE | re.VERBOSE,
 )
+#: Elements, besides script and style, that go with what they hold.
+RAW = frozenset("noscript template textarea select button svg iframe object canvas title".split())
+RAW_TAG = re.compile(
+    rf"""<!--.*?(?:-->|\Z)
+    | <(?P<raw>script|style)(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)
+    | <(?P<end>/?)(?P<tag>{"|".join(sorted(RAW))})(?=[\s/>])(?:(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|(?P<attrs2>[^>]*)>)""",
+    re.DOTALL | re.IGNORECASE | re.VERBOSE,
+)
+#: The end of a tag that closes itself; a slash within an unquoted value does not.
+CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 ATTR = re.compile(r"""\b(class|id|role|style)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|\b(hidden)\b""", re.IGNORECASE)
 #: Tags that stay within a block; all others end it.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -65,6 +75,23 @@ def named_furniture(words: set[str]) -> bool:
     return bool(words & FURNITURE) or any(FURNITURE_PART.search(w) for w in words)
 
 
+def raw_ends(html: str) -> dict[int, int]:
+    """Where the elements of RAW end, by the place of their start tags; of one that is never closed, the tag alone."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in RAW_TAG.finditer(html):
+        if not m["tag"]:
+            continue
+        mine = opened.setdefault(m["tag"].lower(), [])
+        if not m["end"]:
+            out[m.start()] = m.end()
+            if not CLOSED.search(m["attrs"] or m["attrs2"] or ""):
+                mine.append(m.start())
+        elif mine:
+            out[mine.pop()] = m.end()
+    return out
+
+
 def blocks(html: str) -> list[dict]:
     """Flat text blocks in page order: text and the features of the block by itself."""
     out: list[dict] = []
@@ -72,6 +99,7 @@ def blocks(html: str) -> list[dict]:
     text: list[str] = []
     linked = links = heading = 0
     furniture = article = False
+    ends_of: dict[int, int] | None = None
     at = 0
 
     def flush() -> None:
@@ -91,15 +119,21 @@ def blocks(html: str) -> list[dict]:
             if links:
                 linked += len(piece)
 
-    for m in TOKEN.finditer(html):
+    while m := TOKEN.search(html, at):
         put(html[at : m.start()])
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if tag is None:
             if m["raw"]:
-                put(" " if m["raw"].lower() != "title" else "")
+                put(" ")
             continue
         tag, ends = tag.lower(), bool(m["end"] or m["end2"])
+        if tag in RAW and not ends:
+            if ends_of is None:
+                ends_of = raw_ends(html)
+            at = ends_of.get(m.start(), at)
+            put(" " if tag != "title" else "")
+            continue
         if tag == "a":
             links = 0 if ends else 1
         if tag == "br":

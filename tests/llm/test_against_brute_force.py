@@ -114,6 +114,23 @@ def test_main_text():
     assert html.main_text(bare).count("\n\n") == 1 and "Home" not in html.main_text(bare)
 
 
+def test_raw_elements_end():
+    tail = "<p>The rest of the article is here.</p><p>And its last words.</p></article>"
+    want = "Kept text.\n\nThe rest of the article is here.\n\nAnd its last words."
+    for raw in (
+        "<svg class='i' viewBox='0 0 1 1'/>", "<svg/>", "<object data='a.swf' />", "<button class='menu-toggle'>", "<select name=x>", "<button-group></button-group>", "<object-view x='1'></object-view>",
+        "<svg><path d='M0'/><svg><text>no</text></svg><text>no</text></svg>", "<button>no</button>", "<script>if (a < b) '<button>'</script>", "<style>p > b {}</style>", "<select><option>no</select>",
+        "<iframe src='x'/>", "<canvas id=c>", "<noscript>no</noscript>", "<script src='a' />no</script>", "<!-- <svg> -->", "<textarea>no</textarea>", "<template><p>no</p></template>", "<object><object>no</object>no</object>",
+    ):
+        assert html.main_text(f"<article><p>Kept text.</p>{raw}{tail}") == want, raw
+        assert html.main_text(f"<article><p>Kept text.</p>{raw}{tail}<svg><title>no</title></svg>") == want, raw
+        assert html.main_text(f"<article><p>Kept text.</p>{raw}{tail[:-10]}<button>no</button></article>") == want, raw
+    assert html.main_text(f"<article><p>Kept text.</p><iframe src=http://x.org/>no</iframe>{tail}") == want
+    for cut in ("<script>var a = 1", "<style>p {}"):
+        assert html.main_text(f"<article><p>Kept text.</p>{cut}") == "Kept text."
+    assert len(html.main_text("<article><p>Kept text.</p>" + "<button>" * 20_000 + tail)) == len(want)
+
+
 def test_labelled_blocks_are_learnt():
     assert np.mean([html.is_text(x) == bool(y) for x, y in html.LABELLED]) >= 0.95
 
