@@ -41,9 +41,11 @@ RAW_TAG = re.compile(
 )
 #: The end of a tag that closes itself; a slash within an unquoted value does not.
 CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
-ATTR = re.compile(r"""\b(class|id|role|style)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|\b(hidden)\b""", re.IGNORECASE)
+ATTR = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 #: Tags that stay within a block; all others end it.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Tags whose start ends a paragraph.
+ENDS_P = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags and words in class, id or role that name a region as furniture.
 FURNITURE_TAGS = frozenset("nav header footer aside form dialog menu".split())
@@ -60,13 +62,15 @@ def names(tag: str, attrs: str) -> tuple[set[str], bool]:
     """The words of class, id and role, and whether the element is hidden."""
     words: set[str] = set()
     hidden = False
+    if not attrs:
+        return words, hidden
     for m in ATTR.finditer(attrs):
-        value = (m[2] or "").strip("\"'").lower()
-        if m[3]:
+        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value != "false":
             hidden = True
-        elif m[1].lower() == "style":
+        elif name == "style":
             hidden |= "display:none" in value.replace(" ", "")
-        else:
+        elif name in ("class", "id", "role"):
             words |= set(re.split(r"[^a-z0-9]+", value))
     return words, hidden
 
@@ -100,6 +104,7 @@ def blocks(html: str) -> list[dict]:
     linked = links = heading = 0
     furniture = article = False
     ends_of: dict[int, int] | None = None
+    paragraph = None  # where in the stack an open paragraph is that counts as furniture
     at = 0
 
     def flush() -> None:
@@ -152,12 +157,23 @@ def blocks(html: str) -> list[dict]:
             flush()
         if re.fullmatch("h[1-6]", tag):
             heading = 0 if ends else 1
-        if ends:
+        if paragraph is not None and (tag == "p" or tag in ENDS_P and not ends):
+            del stack[paragraph:]
+            paragraph = None
+            furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        if tag == "p":
+            words, hidden = (set(), False) if ends else names(tag, m["attrs"] or m["attrs2"] or "")
+            if hidden or named_furniture(words):
+                paragraph = len(stack)
+                stack.append((tag, True, article))
+        elif ends:
             for i in reversed(range(len(stack))):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-        elif tag not in VOID and tag != "p" and not (m["attrs"] or m["attrs2"] or "").endswith("/"):
+            if paragraph is not None and paragraph >= len(stack):
+                paragraph = None
+        elif tag not in VOID and not (m["attrs"] or m["attrs2"] or "").endswith("/"):
             words, hidden = names(tag, m["attrs"] or m["attrs2"] or "")
             told = words & FURNITURE_ARTICLE if tag == "article" else tag not in ("html", "body", "main") and named_furniture(words)
             own = hidden or tag in FURNITURE_TAGS or bool(told)

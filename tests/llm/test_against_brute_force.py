@@ -131,6 +131,19 @@ def test_raw_elements_end():
     assert len(html.main_text("<article><p>Kept text.</p>" + "<button>" * 20_000 + tail)) == len(want)
 
 
+def test_attributes_of_paragraphs():
+    advert = "Buy this very good thing today, it is cheap and everyone has one of it at home."
+    for attrs in ("class='advert'", "class='cookie-notice'", "hidden", "style='display: none'", "role=navigation", "id='newsletter'", "class=ad", 'title="x" hidden=""', "aria-hidden='true'"):
+        for end in ("</p>", ""):
+            page = f"<article><p>Kept text.</p><p {attrs}>{advert} <b>Now</b> <span>and</span> <span class=ad>here</span>{end}<p>More of the text.</p><div>And in a box.</div></article>"
+            assert html.main_text(page) == "Kept text.\n\nMore of the text.\n\nAnd in a box.", page
+        for after in ("<div>And in a box.</div>", "<h2>And in a box.</h2>", "<ul><li>And in a box.</li></ul>", "<section><p>And in a box.</p></section>", "<hr>And in a box."):
+            assert html.main_text(f"<article><div><p>Kept text.</p><p {attrs}>{advert}{after}</div></article>") == "Kept text.\n\nAnd in a box."
+        assert html.main_text(f"<article><section><p {attrs}>{advert}</section><p>Kept text.</p></article>") == "Kept text."
+    for attrs in ("class='lead'", "title='a hidden gem'", "data-hidden='no'", "aria-hidden=false", "data-class='advert'", ""):
+        assert html.main_text(f"<article><p {attrs}>Kept text.</p></article>") == "Kept text.", attrs
+
+
 def test_labelled_blocks_are_learnt():
     assert np.mean([html.is_text(x) == bool(y) for x, y in html.LABELLED]) >= 0.95
 
