@@ -6,7 +6,7 @@ Every line with a word is judged on its own: it fails as
   punctuation  symbol marks or doubled exclamation marks on much of its words, shouting (half or
                more of its words in capitals), or many words without one sentence mark,
   boilerplate  a licence, cookie or copyright phrase in a short line.
-Failing lines are removed; a document that loses more than `most_lost` of its word characters
+Failing lines are removed, lines without a word stay, a text in which no line fails stays as it is; a document that loses more than `most_lost` of its word characters
 is rejected, as is one that fails the base rules.
 
 Null and empty texts have no words and are rejected. Repeated rows are judged alike. Columns
@@ -36,8 +36,8 @@ LABEL = r"^[^.!?…:;,。！？、，；：]*\p{L}[^.!?…:;,。！？、，；
 #: A word in capitals (two of them, no small letter), and the fewest that are shouting.
 CAPITALS = r"(?<![^\x20\x09-\x0D])[^\p{Ll}\p{Lu}\x20\x09-\x0D]*\p{Lu}[^\p{Ll}\p{Lu}\x20\x09-\x0D]*\p{Lu}[^\p{Ll}\x20\x09-\x0D]*(?![^\x20\x09-\x0D])"
 SHOUTS = 3
-#: Of a text with a 1 for each label: the ones of runs of RUN or more, each at the start of a run or after the one before.
-IN_RUN = r"(?:\G(?!\A)|(?=1{%d}))1" % RUN
+#: Of a text with a 1 for each label and a - for each line without a word: the ones of runs of RUN or more, each at the start of a run or after the one before.
+IN_RUN = r"(?:\G(?!\A)|(?=1(?:-*1){%d}))(-*)1" % (RUN - 1)
 MOST_LOST = 0.5
 
 
@@ -69,10 +69,10 @@ def is_label(line: Column) -> Column:
 
 
 def good_lines(lines: Column) -> Column:
-    """The lines that no rule fails, in order."""
-    labels = F.array_join(F.transform(lines, lambda x: F.when(is_label(x), "1").otherwise("0")), "")
-    marks = F.split(F.regexp_replace(labels, IN_RUN, "x"), "")
-    return F.filter(F.zip_with(lines, marks, lambda x, m: F.when((m != "x") & ~line_fails(x), x)), lambda x: x.isNotNull())
+    """The lines that no rule fails, in order, with those that have no word."""
+    labels = F.array_join(F.transform(lines, lambda x: F.when(is_label(x), "1").when(x.rlike(WORD), "0").otherwise("-")), "")
+    marks = F.split(F.regexp_replace(labels, IN_RUN, "$1x"), "")
+    return F.filter(F.zip_with(lines, marks, lambda x, m: F.when((m == "-") | ((m != "x") & ~line_fails(x)), x)), lambda x: x.isNotNull())
 
 
 def repeated_words(words: Column) -> Column:
@@ -87,9 +87,9 @@ def scored(docs: DataFrame, text: str = "text") -> DataFrame:
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_text, lost, kept."""
     t = F.col("_text")
     df = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns if x not in VERDICT]).alias("_row"), c.text_of(text).alias("_text"))
-    df = df.withColumn("_words", c.words_of(t)).withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)))
+    df = df.withColumn("_words", c.words_of(t)).withColumn("_all", F.split(t, "\n")).withColumn("_lines", F.filter("_all", lambda x: x.rlike(WORD)))
     df = df.withColumn("_hashes", repeated_words(F.col("_words")))
-    df = df.withColumn("_good", good_lines(F.col("_lines")))
+    df = df.withColumn("_good", good_lines(F.col("_all")))
     df = df.withColumn("_sorted", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     again = F.filter("_sorted", lambda x, j: (x["h"] == F.get(F.col("_sorted"), j - 1)["h"]) | (x["h"] == F.get(F.col("_sorted"), j + 1)["h"]))
     df = df.withColumn("_at", F.sort_array(F.transform(again, lambda x: x["i"])))
@@ -107,7 +107,7 @@ def scored(docs: DataFrame, text: str = "text") -> DataFrame:
         "clean_text": F.array_join("_good", "\n"),
     })
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    df = df.withColumn("lost", F.when(F.size("_good") < F.size("_lines"), 1 - F.length(squeezed(F.col("clean_text"))) / F.col("word_chars")).otherwise(0.0))
+    df = df.withColumn("lost", F.when(F.size("_good") < F.size("_all"), 1 - F.length(squeezed(F.col("clean_text"))) / F.col("word_chars")).otherwise(0.0))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= MOST_LOST))
     # A generator between: a filter on a verdict must not be pushed down and repeat all of the above for every line and word.
     return df.select("_row.*", F.inline(F.array(F.struct(*VERDICT))))

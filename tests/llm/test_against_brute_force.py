@@ -440,6 +440,17 @@ def test_planted_menus_and_shouting(spark):
     assert same_lines[0] == PROSE and 3 not in same_lines
 
 
+def test_clean_texts_stay_as_they_are(spark):
+    rule = "LICENSED under the terms, all rights reserved."
+    texts = ["\n\n".join(PROSE), "\n" + "\n \n".join(PROSE) + "\n\n", "\n\n".join([PROSE[0], rule, *PROSE[1:]]) + "\n", "\n\n".join([*MENU, *PROSE])]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in quality.stage(spark, df, "").collect()}
+    assert got[0].text == texts[0] and got[1].text == texts[1]
+    assert got[2].text == f"{PROSE[0]}\n\n\n{PROSE[1]}\n\n{PROSE[2]}\n"
+    assert got[3].text == "\n" * 4 + "\n\n".join(PROSE)
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 # 9
 
 
