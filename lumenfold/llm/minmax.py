@@ -13,8 +13,8 @@ the last pairs only those whose parity sketches differ in few enough bits: two s
 least as many elements as their sketches differ in bits, so this bound drops no link.
 
 Null, empty and wordless texts have an empty set and are linked with nothing; so is a row with a
-null doc_id (its component is null, and it is kept). Rows with the same doc_id are one node. Other
-columns pass through by name only in stage(), joined on doc_id.
+null doc_id (its component is null, and it is kept). Rows with the same doc_id are one node in query(); in stage()
+only if their texts are equal too. Other columns pass through by name only in stage().
 """
 
 from __future__ import annotations
@@ -199,9 +199,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of each group stays, the one with the smallest doc_id."""
-    stays = grouped(docs).filter("kept").select(F.col("doc_id").alias("_stays")).filter("_stays is not null").distinct()
-    named = docs.join(stays, F.col("doc_id") == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    known = docs.filter("doc_id is not null")
+    if not known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return judged_by_text(known).unionByName(docs.filter("doc_id is null"))
+    stays = grouped(docs).filter("kept").select(F.col("doc_id").alias("_stays")).filter("_stays is not null")
+    return known.join(stays, F.col("doc_id") == F.col("_stays"), "left_semi").unionByName(docs.filter("doc_id is null"))
+
+
+def judged_by_text(docs: DataFrame) -> DataFrame:
+    """stage() where ids repeat: each different text under an id is a node of its own; equal rows are one."""
+    key = ["doc_id", "_said"]
+    told = docs.withColumn("_said", F.concat_ws(" ", F.sha2("text", 256), F.col("text").isNull().cast("string")))
+    nodes = c.cut(c.numbered(told.select(*key).distinct(), [], key, "_node"))
+    one = c.written(told.select(*key, "text").join(nodes, key).dropDuplicates(["_node"]).select(F.col("_node").alias("doc_id"), "text"))
+    judged = grouped(one).select(F.col("doc_id").alias("_node"), "component_id").join(nodes, "_node")
+    stays = judged.groupBy("component_id").agg(F.min(F.struct(*key)).alias("s")).select("s.*")
+    return told.join(stays, key, "left_semi").dropDuplicates(key).select(*docs.columns)
 
 
 SQL = r"""

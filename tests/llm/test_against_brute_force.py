@@ -505,6 +505,14 @@ def test_chains_and_torn_groups(spark):
     assert got == components({i: shingles(t, 4) for i, t in enumerate(texts)}, 80)
 
 
+def test_different_texts_under_one_id(spark):
+    a, b, d = (" ".join(f"{k}{i * i % 97}" for i in range(60)) for k in "abd")
+    rows = [(5, a), (5, b), (5, b), (6, b + " more"), (4, a + " more"), (7, d), (7, None), (8, d.upper()), (None, a), (None, a), (9, "one"), (9, "")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string")
+    got = sorted(((r.doc_id, r.text) for r in minmax.stage(spark, df, "").collect()), key=str)
+    assert got == sorted([(4, a + " more"), (5, b), (7, d), (7, None), (None, a), (None, a), (9, "one"), (9, "")], key=str)
+
+
 # 10
 
 
