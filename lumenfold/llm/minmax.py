@@ -5,16 +5,19 @@ as many hash evaluations give a signature. Bands of `ROWS` signature values name
 similarity of 0.8 a pair shares none of the BANDS buckets with probability 5e-6. Links are
 confirmed on full shingle sets.
 
-Texts with equal sets are one class, and only class representatives go on. Connectivity is what
-is asked for, so three rounds confirm links: each class with the bucket minimum it shares most
-buckets with; with its other bucket minima, where components still differ; and pairs of
-bucket members whose components still differ. No pair inside a component is ever listed, and of
-the last pairs only those whose parity sketches differ in few enough bits: two sets differ in at
-least as many elements as their sketches differ in bits, so this bound drops no link.
-
-Null, empty and wordless texts have an empty set and are linked with nothing; so is a row with a
-null doc_id (its component is null, and it is kept). Rows with the same doc_id are one node in query(); in stage()
-only if their texts are equal too. Other columns pass through by name only in stage().
+Texts with equal sets are one class, whatever their doc_ids, and only classes go on, each under a
+number of its own. Connectivity is what is asked for, so links are confirmed in two rounds:
+  stars    each class with the first class of a bucket it shares most buckets with: one pair a class;
+  prefixes classes in a bucket whose components still differ. Their shingles are put in one order, those of
+           a single component first, then the rarer ones; two sets that are alike share a shingle among the first few
+           of the shorter and the first few of the longer, so only these are joined. That filter drops no link, and
+           documents of one template that are not alike share none of them. No pair within a component is joined.
+
+Defined results: null, empty and wordless texts have an empty set and are linked with nothing; so is a row
+with a null doc_id (its component is null, and it is kept). Rows that share a doc_id are judged each by its
+own text: both may link, and each has the smallest doc_id that its own links reach. Ties need no rule: equal sets are one
+class. A text is read whole, in one task: memory is 8 bytes a word, a few times over. An empty table gives an empty one. Only
+doc_id and text are read, so other columns cannot clash; stage() passes them on by name.
 """
 
 from __future__ import annotations
@@ -87,33 +90,51 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return mixed((mixed(rows) * BAND_ODD).sum(1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def set_key(shingles: np.ndarray) -> bytes | None:
+    """16 bytes that name a whole set; null for the empty one."""
+    return xxhash.xxh128_digest(shingles.tobytes()) if len(shingles) else None
+
+
+def said(text: Column) -> Column:
+    """What tells rows of one doc_id apart: a digest of the text, null for null."""
+    return F.md5(text.cast("binary"))
+
+
 def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands): set_key, 16 bytes, names the whole set."""
+    """(doc_id, said, n_shingles, set_key, bands) of (doc_id, said, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
             out: list[tuple] = []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingler(text.as_py())
-                out.append((len(s), xxhash.xxh128_digest(s.tobytes()) if len(s) else None, bands(s) if len(s) else None))
+                out.append((len(s), set_key(s), bands(s) if len(s) else None))
             n, key, band = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64()))], names=["doc_id", "said", "n_shingles", "set_key", "bands"])
+
+    return docs.select("doc_id", "said", "text").mapInArrow(sign, "doc_id long, said string, n_shingles long, set_key binary, bands array<long>")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
+def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
+    """(node, shingles, sketch) of (node, set_key, text), where the text has that set; each node once a task.
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, shingles, sketch): bit i of the sketch is the parity of the number of shingles that fall on i."""
+    Bit i of the sketch is the parity of the number of shingles that fall on i.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
+        shingler, done = Shingler(size), set()
         for batch in batches:
-            found = [shingler(x.as_py()) for x in batch.column(1)]
+            nodes, found = [], []
+            for node, key, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if node not in done and set_key(s := shingler(text.as_py())) == key.as_py():
+                    done.add(node)
+                    nodes.append(node)
+                    found.append(s)
             sketched = [np.packbits(np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64) for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array(sketched, pa.list_(pa.int64()))], names=["doc_id", "shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array(sketched, pa.list_(pa.int64()))], names=["node", "shingles", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles array<long>, sketch array<long>")
+    return rows.select("node", "set_key", "text").mapInArrow(sets, "node long, shingles array<long>, sketch array<long>")
 
 
 def may_be_alike(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -151,70 +172,97 @@ def rooted(df: DataFrame, roots: DataFrame, name: str, into: str) -> DataFrame:
     return df.join(r, F.col(name) == F.col("_node"), "left").withColumn(into, F.coalesce("_root", name)).drop("_node", "_root")
 
 
-def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    signed = c.written(signatures(docs, size))
-    members = signed.select("doc_id", "n_shingles", "set_key")
-    known = members.filter("doc_id is not null and set_key is not null")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    firsts = signed.join(classes, (signed["set_key"] == classes["set_key"]) & (F.col("doc_id") == F.col("rep"))).select("rep", "n_shingles", "bands").dropDuplicates(["rep", "n_shingles"])
-    buckets = firsts.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).filter("hub <> far").select("bucket", "hub")
+def prefixes(loose: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root, n, token, short): the first shingles of each loose set (node, root), as 32-bit tokens, in one order for all.
+
+    Tokens of one component come first and cannot join; then rarer ones. Of two alike sets the shorter
+    one's first n - ceil(2 * percent * n / (100 + percent)) + 1 (`short`) and the longer one's first
+    n - ceil(percent * n / 100) + 1 shingles meet: fewer shared ones than that leave no room for the overlap.
+    """
+    tokens = sets.join(loose, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).withColumn("token", F.col("s").bitwiseAND((1 << 31) - 1).cast("int")).drop("s")
+    torn = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token", "df")
+    shared = tokens.join(torn, "token").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
+    free = F.col("n") - F.size("list")  # tokens before the first shared one
+    room = lambda top, under: F.greatest(F.lit(0), (F.col("n") - F.ceil(top * F.col("n") / under) + 1 - free).cast("int"))
+    cut = shared.withColumns({"near": room(2 * percent, 100 + percent), "far": room(percent, 100)})
+    listed = cut.select("node", "root", "n", "near", F.posexplode(F.slice("list", F.lit(1), F.col("far"))).alias("i", "x"))
+    return listed.select("node", "root", "n", F.col("x.token").alias("token"), (F.col("i") < F.col("near")).alias("short")).distinct()
+
+
+def across(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of prefixes() of different components that share a token. Components meet first, then their members."""
+    short, long = rows.filter("short").alias("x"), rows.alias("y")
+    of = lambda df: df.select("token", "root").distinct()
+    met = of(rows.filter("short")).withColumnRenamed("root", "rx").join(of(rows).withColumnRenamed("root", "ry"), "token").filter("rx <> ry").alias("m")
+    some = met.join(short, (F.col("m.token") == F.col("x.token")) & (F.col("rx") == F.col("x.root"))).select("m.token", "ry", F.col("x.node").alias("a"), F.col("x.n").alias("na")).alias("s")
+    both = some.join(long, (F.col("s.token") == F.col("y.token")) & (F.col("ry") == F.col("y.root")) & (F.col("na") * 100 >= percent * F.col("y.n")) & ((F.col("na") < F.col("y.n")) | ((F.col("na") == F.col("y.n")) & (F.col("a") < F.col("y.node")))))
+    return both.select("a", F.col("y.node").alias("b")).distinct()
+
+
+def judged(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, said, n_shingles, component_id, first) for every row of docs; first: said of the row that stands for the component, among those of component_id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), said(F.col("text")).alias("said"), "text")
+    signed = c.written(signatures(rows, size))
+    known = signed.filter("doc_id is not null and set_key is not null")
+    classes = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "said")).alias("rep"), F.first("bands").alias("bands"))
+    classes = c.written(classes.select("set_key", "rep", "bands", F.monotonically_increasing_id().alias("node")))  # written, so the numbers stay
+    buckets = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far").select("bucket", "hub")
     spots = c.written(buckets.join(shared, "bucket"))  # only buckets of two classes or more
-    stars = c.cut(spots.filter("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n")))
-    nodes = spots.select(F.col("rep").alias("doc_id")).distinct()
-    sets = c.written(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, "doc_id"), size))
+    best = c.cut(spots.filter("node <> hub").groupBy("node").agg(F.mode("hub", True).alias("hub")))
+    nodes = classes.select("node", "set_key", F.col("rep.doc_id").alias("doc_id"), F.col("rep.said").alias("said")).join(spots.select("node").distinct(), "node")
+    sets = c.written(shingle_sets(rows.join(nodes, ["doc_id", "said"]), size))
+    if not sets.groupBy("node").count().filter("count > 1").isEmpty():  # equal rows that different tasks met
+        sets = c.written(sets.dropDuplicates(["node"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-        b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+        a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+        b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         near = (F.size("sa") * 100 >= percent * F.size("sb")) & (F.size("sb") * 100 >= percent * F.size("sa"))
         return pairs.join(a, "a").join(b, "b").filter(near & alike(F.col("sa"), F.col("sb"), percent)).select("a", "b")
 
-    best = stars.groupBy("rep").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
-    links = c.cut(confirmed(best.select(F.col("rep").alias("a"), F.col("hub").alias("b"))))
-    roots = components(links)
-    other = rooted(rooted(stars.join(best, ["rep", "hub"], "left_anti"), roots, "rep", "ra"), roots, "hub", "rb").filter("ra <> rb")
-    links = c.cut(links.union(confirmed(other.select(F.col("rep").alias("a"), F.col("hub").alias("b")))))
+    links = c.cut(confirmed(best.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
     roots = components(links)
-    spread = rooted(spots, roots, "rep", "root")
+    spread = rooted(spots, roots, "node", "root")
     torn = spread.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
-    sketches = sets.select(F.col("doc_id").alias("rep"), "sketch")
-    loose = spread.filter("rep <> hub").join(torn, "bucket").join(sketches, "rep")  # pairs with hubs are tested
-    loose = c.written(loose.select("bucket", "rep", "n_shingles", "root", "sketch"))
-    x, y = loose.alias("x"), loose.alias("y")
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & (F.col("x.n_shingles") * 100 >= percent * F.col("y.n_shingles")) & (F.col("y.n_shingles") * 100 >= percent * F.col("x.n_shingles")) & may_be_alike(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n_shingles"), F.col("y.n_shingles"), percent))
-    pairs = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    roots = components(c.cut(links.union(confirmed(pairs))))
+    loose = c.cut(spread.join(torn, "bucket", "left_semi").select("node", "root").distinct())
+    pairs = across(c.cut(prefixes(loose, sets, percent)), percent)
+    sketch = lambda k: sets.select(F.col("node").alias(k), F.col("sketch").alias(f"k{k}"), F.size("shingles").alias(f"n{k}"))
+    pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(may_be_alike(F.col("ka"), F.col("kb"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    roots = components(c.cut(links.union(confirmed(c.cut(pairs)))))
+
+    rooted_ = rooted(classes.select("set_key", "rep", "node"), roots, "node", "root")
+    least = rooted_.groupBy("root").agg(F.min("rep").alias("least"))
+    found = rooted_.join(least, "root").select(F.col("set_key").alias("k"), F.col("least.doc_id").alias("component_id"), F.col("least.said").alias("first"))
+    out = signed.select("doc_id", "said", "n_shingles", "set_key").join(found, (F.col("set_key") == F.col("k")) & F.col("doc_id").isNotNull(), "left")
+    return out.select("doc_id", "said", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "first")
 
-    found = rooted(classes, roots, "rep", "component_id").select(F.col("set_key").alias("k"), "component_id")
-    out = members.join(found, (F.col("set_key") == F.col("k")) & F.col("doc_id").isNotNull(), "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs; kept: doc_id is component_id, or null."""
+    return judged(docs, size, percent).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of four words, as this query's table is defined; stage() takes the usual five."""
     return grouped(c.table(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: one document of each group stays, the one with the smallest doc_id."""
-    known = docs.filter("doc_id is not null")
-    if not known.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return judged_by_text(known).unionByName(docs.filter("doc_id is null"))
-    stays = grouped(docs).filter("kept").select(F.col("doc_id").alias("_stays")).filter("_stays is not null")
-    return known.join(stays, F.col("doc_id") == F.col("_stays"), "left_semi").unionByName(docs.filter("doc_id is null"))
-
-
-def judged_by_text(docs: DataFrame) -> DataFrame:
-    """stage() where ids repeat: each different text under an id is a node of its own; equal rows are one."""
-    key = ["doc_id", "_said"]
-    told = docs.withColumn("_said", F.concat_ws(" ", F.sha2("text", 256), F.col("text").isNull().cast("string")))
-    nodes = c.cut(c.numbered(told.select(*key).distinct(), [], key, "_node"))
-    one = c.written(told.select(*key, "text").join(nodes, key).dropDuplicates(["_node"]).select(F.col("_node").alias("doc_id"), "text"))
-    judged = grouped(one).select(F.col("doc_id").alias("_node"), "component_id").join(nodes, "_node")
-    stays = judged.groupBy("component_id").agg(F.min(F.struct(*key)).alias("s")).select("s.*")
-    return told.join(stays, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    """Pipeline: one row of each group stays, that of the smallest doc_id; rows with a null doc_id or no word all stay.
+
+    Of rows of that doc_id with different texts it is the one of the least digest; of equal rows any one.
+    """
+    rows = judged(docs)
+    goes = c.cut(rows.filter((F.col("doc_id") != F.col("component_id")) | (F.col("said") != F.col("first"))).select("doc_id", "said").distinct())
+    twice = c.cut(rows.filter("first is not null").groupBy("doc_id", "said").count().filter("count > 1").select("doc_id", "said").join(goes, ["doc_id", "said"], "left_anti"))
+    told = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), said(F.col("text")).alias("_said"))
+    on = lambda keys: [F.col("_id") == keys["doc_id"], F.col("_said") == keys["said"]]
+    left = told.join(goes, on(goes), "left_anti")
+    if not twice.isEmpty():
+        one = left.join(twice, on(twice), "left_semi").dropDuplicates(["_id", "_said"])
+        left = left.join(twice, on(twice), "left_anti").unionByName(one)
+    return left.select("_row.*")
 
 
 SQL = r"""

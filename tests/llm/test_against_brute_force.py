@@ -513,6 +513,53 @@ def test_different_texts_under_one_id(spark):
     assert got == sorted([(4, a + " more"), (5, b), (7, d), (7, None), (None, a), (None, a), (9, "one"), (9, "")], key=str)
 
 
+def test_links_of_repeated_ids(spark):
+    """Rows that share a doc_id are nodes of their own, also where their sets are of one size."""
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [(5, a), (5, b), (9, b + " near"), (8, a + " near"), (3, "x " + b), (7, "alone it stands here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id) for r in minmax.grouped(df, 4).collect())
+    assert got == [(3, 3), (5, 3), (5, 5), (7, 7), (8, 5), (9, 3)]
+    rng = np.random.default_rng(8)
+    base = [[f"{k}{i}" for i in range(50)] for k in "abcdef"]
+    rows = []
+    for i in rng.integers(0, 40, 120).tolist():
+        words = list(base[rng.integers(6)])
+        for k in rng.integers(0, 50, rng.integers(0, 4)):
+            words[k] = f"n{rng.integers(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += rows[:20]
+    root = components({n: shingles(t, 4) for n, (_, t) in enumerate(rows)}, 80)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        least[root[n]] = min(i, least.get(root[n], i))
+    got = sorted((r.doc_id, r.component_id) for r in minmax.grouped(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4).collect())
+    assert got == sorted((i, least[root[n]]) for n, (i, _) in enumerate(rows))
+
+
+def template(n, rng, own=32, words=200):
+    """n texts of one template, with a run of their own words: alike by some 0.69."""
+    base = [f"t{i}" for i in range(words)]
+    return [" ".join([*base[:100], *(f"o{rng.integers(10**9)}" for _ in range(own)), *base[100 : words]]) for _ in range(n)]
+
+
+def test_documents_of_one_template_do_not_meet(spark):
+    """They share buckets, but no pair of them is a candidate, however many there are."""
+    rng = np.random.default_rng(3)
+    for n in (100, 400):
+        texts = template(n, rng)
+        x, y = (shingles(t, 4) for t in texts[:2])
+        assert 0.65 < len(x & y) / len(x | y) < 0.75
+        shingler = minmax.Shingler(4)
+        rows = [(i, shingler(t).view(np.int64).tolist()) for i, t in enumerate(texts)]
+        sets = spark.createDataFrame(rows, "node long, shingles array<long>")
+        loose = sets.select("node", sets.node.alias("root"))
+        assert minmax.prefixes(loose, sets, 80).filter("short").count() == 0
+    near = texts + [t + " and a few more" for t in texts[::40]]
+    got = {r.doc_id: r.component_id for r in minmax.grouped(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string"), 4).collect()}
+    assert got == {i: i if i < 400 else (i - 400) * 40 for i in range(len(near))}
+
+
 # 10
 
 
