@@ -39,13 +39,14 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], into: str, buckets: int = 64) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], into: str, buckets: int = 64, bucket: Column | None = None) -> DataFrame:
     """Adds the rank of each row (long, from 0) among the rows of its keys, in a fixed order.
 
     A key may hold any share of the rows: rows are ranked within (key, bucket) and the counts
-    of earlier buckets (at most `buckets` rows a key) are added. Equal rows share no rank.
+    of earlier buckets (at most `buckets` rows a key) are added. Equal rows share no rank. Buckets are
+    dealt by hash; with `bucket`, a number that never falls along `order`, ranks follow that order.
     """
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int") if bucket is None else bucket.cast("int"))
     counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -7,9 +7,12 @@ a fixed hashed order of its documents and as many passes as needed, are its supp
 demand of D words is trained at the time t where the schedule's integral up to t is x/D of the
 whole. Documents are range-sorted by that time.
 
+The ranking moves a few numbers a document, no text; only stage(), which gives out the texts, moves them.
+
 Defined results: null source is a source of its own, sorted last; null or empty texts have size 0
-and nothing is taken; equal rows are separate documents; an empty table gives an empty one.
-Clashing column names are safe: the row is carried as one struct.
+and nothing is taken; equal rows are separate documents, ranked side by side; an empty table gives an empty one. A
+long text is one document and may be cut at the end of its source's demand. Clashing column names
+are safe: only three columns are read, and stage() carries the row as one struct.
 """
 
 from __future__ import annotations
@@ -88,27 +91,30 @@ def hashed(key: Column) -> Column:
     return F.coalesce(F.pmod(F.pmod(key.cast("long"), F.lit(FOLD)) * F.lit(HASH), F.lit(MODULUS)), F.lit(0).cast("long"))
 
 
-def mixed(docs: DataFrame, schedules=SCHEDULES, most: float = MOST, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """A row per document: `row` (its columns), size, source_size, target, taken, place, offset.
+def mixed(docs: DataFrame, schedules=SCHEDULES, most: float = MOST, text: str = "text", source: str = "source", key: str = "doc_id", whole: bool = False) -> DataFrame:
+    """A row per document: `key`, size, source_size, target, taken, place, offset; with `whole` also `row`, all its columns.
 
     offset: words of the source before this document. taken: whole passes and, for the document at
     which the demand ends, the first words of it.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), F.col(source).alias("source"), size.alias("size"), hashed(F.col(key)).alias("hash"))
+    row = [F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")] if whole else []
+    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"), hashed(F.col(key)).alias("hash"), *row)
+    if not whole:
+        rows = c.written(rows)  # the texts are read once
     rows = rows.withColumn("bucket", F.floor(F.col("hash") / (MODULUS // max(BUCKETS, c.parts(docs.sparkSession)))).cast("int"))
     sums = c.cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("held")))
     per_source = targets(sums.groupBy("source").agg(F.sum("held").alias("source_size")), schedules, most)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0))).alias("a").join(per_source.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
     starts = starts.select(F.col("a.source").alias("s_source"), F.col("bucket").alias("s_bucket"), "start", "source_size", "target", "place")
-    inside = Window.partitionBy("source", "bucket").orderBy("hash", "row." + key, "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("hash", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("bucket") == F.col("s_bucket")))
     demand, offset = F.floor("target"), F.col("start") + F.col("within")
     passes = F.when(F.col("source_size") > 0, F.floor(F.try_divide(demand, F.col("source_size")))).otherwise(0)
     rest = F.greatest(F.lit(0), F.least(F.col("size"), demand - passes * F.col("source_size") - offset))
-    return rows.select("row", "size", "source_size", "target", (passes * F.col("size") + rest).cast("long").alias("taken"), "place", offset.cast("long").alias("offset"))
+    return rows.select("key", *["row"] * whole, "size", "source_size", "target", (passes * F.col("size") + rest).cast("long").alias("taken"), "place", offset.cast("long").alias("offset"))
 
 
 def position(nth: Column, schedules=SCHEDULES) -> Column:
@@ -119,21 +125,42 @@ def position(nth: Column, schedules=SCHEDULES) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """position, position_2, position_3: where each pass over the document is trained; null for a pass that is not made."""
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = mixed(docs).select("row.doc_id", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.round(position(F.lit(0)), 9)).alias("position"))
+    at = lambda n: F.when(F.col("taken") > n * F.col("size"), F.round(position(F.lit(n)), 9)).alias(f"position_{n + 1}" if n else "position")
+    rows = mixed(docs).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", *[at(n) for n in range(MOST)])
     return rows.orderBy("position", "doc_id")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The first n words of a text with the white space before and between them."""
+    return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), n), "")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: every document as often as it is taken, in training order; one cut short keeps its first words."""
-    rows = mixed(docs).filter("taken > 0").withColumn("nth", F.explode(F.sequence(F.lit(0), ((F.col("taken") - 1) / F.col("size")).cast("int"))))
+    rows = mixed(docs, whole=True).filter("taken > 0").withColumn("nth", F.explode(F.sequence(F.lit(0), ((F.col("taken") - 1) / F.col("size")).cast("int"))))
     words = F.least(F.col("size"), F.col("taken") - F.col("nth") * F.col("size"))
-    text = F.when(words == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(c.words_of(F.col("row.text")), 1, words.cast("int")), " "))
-    rows = rows.withColumn("_at", position(F.col("nth"))).withColumn("_text", text).orderBy("_at", "row.doc_id", "nth")
+    text = F.when(words == F.col("size"), F.col("row.text")).otherwise(first_words(F.col("row.text"), words.cast("int")))
+    rows = rows.withColumn("_at", position(F.col("nth"))).withColumn("_text", text).orderBy("_at", "key", "nth")
     cols = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return rows.select(*[(cols[x] if x in cols else F.col(f"row.`{x}`")).alias(x) for x in docs.columns])
 
 
+def _time(u: str) -> str:
+    """The position of a share of the demand, in SQL."""
+    y = f"({u}) * [5e0, 2e0, 1e0][place % 3 + 1]"
+    return f"""CASE place % 3
+        WHEN 0 THEN 2 * {y} / (7.5e0 + sqrt(56.25e0 - 10 * {y}))
+        WHEN 1 THEN CASE WHEN {y} < 0.75e0 THEN 2 * {y} / (1 + sqrt(1 + 4 * {y})) ELSE 0.5e0 + 2 * ({y} - 0.75e0) / (2 + sqrt(4 + 4 * ({y} - 0.75e0))) END
+        ELSE {y} END"""
+
+
+def _pass(n: int) -> str:
+    share = f"least(1e0, CASE WHEN demand > 0 THEN ({n} * z + c)::DOUBLE / demand ELSE 0 END)"
+    return f"CASE WHEN taken > {n} * size THEN round({_time(share)}, 9) END AS position{f'_{n + 1}' if n else ''}"
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
         coalesce(((doc_id % 2147483648) * 2654435761) % 4294967296, 0) h FROM documents),
@@ -147,12 +174,5 @@ s AS (SELECT source s, z, place, CASE WHEN level IS NULL THEN 3 * z ELSE least(w
 c AS (SELECT doc_id, size, z, place, target, floor(target)::BIGINT demand,
         coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT c
       FROM d JOIN s ON s.s IS NOT DISTINCT FROM source),
-k AS (SELECT *, CASE WHEN z > 0 THEN demand // z ELSE 0 END * size + greatest(0, least(size, demand - CASE WHEN z > 0 THEN demand // z ELSE 0 END * z - c)) taken,
-        least(1e0, CASE WHEN demand > 0 THEN c::DOUBLE / demand ELSE 0 END) u FROM c),
-y AS (SELECT *, u * [5e0, 2e0, 1e0][place % 3 + 1] y FROM k),
-p AS (SELECT *, CASE place % 3
-        WHEN 0 THEN 2 * y / (7.5e0 + sqrt(56.25e0 - 10 * y))
-        WHEN 1 THEN CASE WHEN y < 0.75e0 THEN 2 * y / (1 + sqrt(1 + 4 * y)) ELSE 0.5e0 + 2 * (y - 0.75e0) / (2 + sqrt(4 + 4 * (y - 0.75e0))) END
-        ELSE y END p FROM y)
-SELECT doc_id, size::BIGINT size, z source_size, target, taken::BIGINT taken, CASE WHEN taken > 0 THEN round(p, 9) END "position" FROM p
-"""
+k AS (SELECT *, CASE WHEN z > 0 THEN demand // z ELSE 0 END * size + greatest(0, least(size, demand - CASE WHEN z > 0 THEN demand // z ELSE 0 END * z - c)) taken FROM c)
+SELECT doc_id, size::BIGINT size, z source_size, target, taken::BIGINT taken, """ + ", ".join(_pass(n) for n in range(MOST)) + " FROM k\n"

@@ -8,9 +8,14 @@ backtracks how often it takes each length, and the pattern is used as often as t
 Pieces are then numbered within their length and looked up in the pattern plan, so no task sees
 more than its share.
 
+In the pipeline documents have places in training order, and the sequences follow it: a length is dealt to the
+patterns by hash, so a pattern that is used often gets pieces of all times; within a pattern the earliest pieces fill the
+first sequence; and sequences are numbered by their earliest piece. A place also tells the passes of a
+repeated document apart.
+
 Null and empty texts are the single id 0; equal rows are packed each for itself; an empty table
 gives an empty one. Sequences end padded to `window` tokens, or unpadded where their fill is a power
-of two. Only doc_id and text are read, so other columns cannot clash.
+of two. A text is tokenised whole, in one task. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -21,7 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -73,20 +79,38 @@ class Coder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, place): place numbers the rows in the order of the files they are read from, as a sorted table was written.
+
+    Rows that come from no file are numbered in the order of their partitions.
+    """
+    try:
+        rows = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return c.written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place")))
+    part = F.regexp_extract("_file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))  # a row for each file
+    before = Window.orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = c.cut(files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    return rows.join(starts, "_file").select("doc_id", "text", (F.col("_start") + F.col("_at")).alias("place"))
+
+
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): full windows of each document, then its remainder."""
+    """(doc_id, start, length, ids_crc32, doc_tokens): full windows of each document, then its remainder; and its place, if it has one."""
+    timed = "place" in docs.columns
+    fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["place"] * timed]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path)
         for batch in batches:
             rows: list[tuple] = []
-            names = batch.column(0).to_pylist()
-            for name, text in zip(names, batch.column(1), strict=True):
+            names = [batch.column(0).to_pylist(), *(x.to_pylist() for x in batch.columns[2:])]
+            for text, name, *place in zip(batch.column(1), *names, strict=True):
                 ids = np.append(coder(text.as_py() or ""), np.array([end], dtype="<u4"))
-                rows += [(name, a, len(part := ids[a : a + window]), zlib.crc32(part.tobytes()), len(ids)) for a in range(0, len(ids), window)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                rows += [(name, a, len(part := ids[a : a + window]), zlib.crc32(part.tobytes()), len(ids), *place) for a in range(0, len(ids), window)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(fields), names=fields)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), c.text_of().alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), c.text_of().alias("text"), *["place"] * timed).mapInArrow(cut, PIECES + ", place long" * timed)
 
 
 def closest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -136,24 +160,37 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int
 
 
 def packed(cuts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """pieces() with sequence_id and offset."""
+    """pieces() with sequence_id and offset; where they have places, the sequences follow them."""
     spark = cuts.sparkSession
     histogram = {r["length"]: r["count"] for r in cuts.groupBy("length").count().collect()}  # at most `window` rows
     rows = plan(histogram, window)
     schema = "p_length long, low long, high long, first long, side long, p_offset long"
     layout = F.broadcast(spark.createDataFrame(rows, schema))  # bounded by the window, not by the corpus
-    ranked = c.numbered(cuts, ["length"], ["doc_id", "start", "ids_crc32"], "_rank", max(64, c.parts(spark)))
+    buckets = max(64, c.parts(spark))
+    timed = ["place"] if "place" in cuts.columns else []
+    ranked = c.numbered(cuts, ["length"], ["doc_id", "start", "ids_crc32", *timed], "_rank", buckets)
     joined = ranked.join(layout, (F.col("length") == F.col("p_length")) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high")))
-    nth = F.col("_rank") - F.col("low")
-    sequence = F.col("first") + F.floor(nth / F.col("side"))
-    offset = F.col("p_offset") + (nth % F.col("side")) * F.col("length")
-    return joined.select(*cuts.columns, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
+    if timed:
+        total = (cuts.agg(F.max("place")).first()[0] or 0) + 1
+        slot = lambda place: F.floor(F.col(place).cast("double") * buckets / total)
+        joined = c.numbered(joined, ["length", "low"], ["place", "start"], "_nth", bucket=slot("place"))
+    else:
+        joined = joined.withColumn("_nth", F.col("_rank") - F.col("low"))
+    sequence = F.col("first") + F.floor(F.col("_nth") / F.col("side"))
+    offset = F.col("p_offset") + (F.col("_nth") % F.col("side")) * F.col("length")
+    out = joined.select(*cuts.columns, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
+    if not timed:
+        return out
+    out = c.written(out)
+    first = out.groupBy(F.col("sequence_id").alias("_old")).agg(F.min("place").alias("_first"))
+    order = c.numbered(first, [], ["_first", "_old"], "_new", bucket=slot("_first"))
+    return out.join(order, F.col("sequence_id") == F.col("_old")).withColumn("sequence_id", F.col("_new")).select(*out.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: the packed pieces. The last stage."""
-    return packed(c.written(pieces(docs, vocabulary_path())))
+    """Pipeline: the packed pieces, with the place of their document in the training order that docs is sorted by. The last stage."""
+    return packed(c.written(pieces(placed(docs), vocabulary_path())))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(spark, c.table(spark, sf_dir, "documents"), sf_dir)
+    return packed(c.written(pieces(c.table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())))

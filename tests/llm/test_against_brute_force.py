@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from compare import same
+from pyspark.sql import Row
 
 import corpus_pipeline
 from lumenfold import llm
@@ -258,6 +259,7 @@ def test_coder_agrees_with_the_tokenizer(docs):
 def check_packing(got, ids_of):
     pieces, used = defaultdict(list), defaultdict(list)
     for r in got:
+        r = Row(**r) if isinstance(r, dict) else r
         pieces[r.doc_id].append((r.start, r.length))
         used[r.sequence_id].append((r.offset, r.length))
         ids = ids_of[r.doc_id][r.start : r.start + r.length]
@@ -326,6 +328,23 @@ def test_mix(spark, small, docs):
     for i, r in got.items():
         assert r.source_size == held[source[i]] and abs(r.target - target[source[i]]) < 1e-6
     assert all(abs(taken[s] - target[s]) <= 1 for s in held)
+    for s in held:  # a source's passes, in order of time, come in the order of its words
+        times = sorted((r.position, r.size) for i, r in got.items() if source[i] == s and r.position is not None)
+        later = sorted((r.position_2, r.size) for i, r in got.items() if source[i] == s and r.position_2 is not None)
+        assert not later or later[0][0] >= times[-1][0]
+    assert sum((r.position is not None) + (r.position_2 is not None) + (r.position_3 is not None) for r in got.values()) == sum(-(-r.taken // r.size) for r in got.values() if r.taken)
+
+
+def test_ranking_moves_no_text(spark, small):
+    plan = mixing.query(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan
+
+
+def test_cut_texts_keep_their_lines(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("  a b\n\nc\td e\n", n) for n in range(7)] + [("", 0)], "t string, n int")
+    assert [r[0] for r in df.select(mixing.first_words(F.col("t"), F.col("n"))).collect()] == ["", "  a", "  a b", "  a b\n\nc", "  a b\n\nc\td", "  a b\n\nc\td e", "  a b\n\nc\td e\n", ""]
 
 
 def test_times_invert_the_schedule(spark):
@@ -621,3 +640,28 @@ def test_pipeline(spark, small, docs):
     for r in out:
         fills[r.sequence_id] += r.length
     assert max(fills.values()) <= packing.WINDOW
+
+
+def test_sequences_follow_the_schedule(spark, tmp_path):
+    """Pieces keep the place of their document and pass; sequences come in the order of their earliest piece, and hold pieces of about one time."""
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 700, 12)  # few lengths, so that each pattern is used often, as in a large corpus
+    texts = [" ".join(["the", *rng.choice(["and", "not", "all"], rng.choice(sizes))]) for _ in range(1500)]
+    rows = [(int(rng.integers(0, 900)), t) for t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(1).write.parquet(str(tmp_path / "d"))
+    sorted_ = spark.read.parquet(str(tmp_path / "d")).orderBy("doc_id", "text")
+    sorted_.repartitionByRange(7, "doc_id", "text").sortWithinPartitions("doc_id", "text").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    at = sorted((r.place, r.doc_id, r.text) for r in packing.placed(docs).collect())
+    assert [x[0] for x in at] == list(range(1500)) and [x[1:] for x in at] == sorted(rows)
+    out = packing.stage(spark, docs, "").collect()
+    assert {(r.place, r.doc_id) for r in out} == {x[:2] for x in at}
+    coder = packing.Coder(packing.vocabulary_path())
+    check_packing([r.asDict() | {"doc_id": r.place} for r in out], {p: [*coder.whole.encode(t, add_special_tokens=False).ids, 0] for p, _, t in at})
+    first, spread = {}, defaultdict(list)
+    for r in out:
+        first[r.sequence_id] = min(r.place, first.get(r.sequence_id, r.place))
+        spread[r.sequence_id].append(r.place)
+    assert sorted(first) == list(range(len(first))) and [first[k] for k in sorted(first)] == sorted(first.values())
+    wide = np.mean([max(p) - min(p) for p in spread.values() if len(p) > 1])
+    assert np.corrcoef([r.sequence_id for r in out], [r.place for r in out])[0, 1] > 0.9 and wide < 1500 / 3
