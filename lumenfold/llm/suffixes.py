@@ -15,11 +15,17 @@ Two suffixes count as one for `length` bytes, so suffixes are only told apart to
   compare  Neighbours in that order with an equal prefix of `length` bytes are one string; all but
            the earliest start are repeats. Every byte of a repeat goes.
 
-What repeats inside one batch of documents is settled there, before any shuffle, so that a passage
-in a third of all documents meets as one row a batch. No group is ever listed pairwise or held in memory.
+Names alone decide nothing: spans and windows also carry a digest of their bytes by another function, and
+only rows that agree in all of them are equal; each byte taken out stands behind 128 bits.
 
-Null and empty texts have no bytes. Order is by doc_id, null last, then a fingerprint of the text, then
-start; rows alike in doc_id and text are one document: they do not remove each other. Only doc_id
+What repeats inside one batch of documents is settled there, so that a passage in a third of all
+documents meets as one row a batch. A passage's first and last positions span its different surroundings, which no batch can
+settle: grams of that kind, those in a thousandth of all documents, are counted first (their number is bounded by that
+share) and spread over many tasks by the digest of their spans. No group is ever listed pairwise or held in memory.
+
+Defined results: null and empty texts have no bytes. Order is by doc_id, null last, then a fingerprint of the text, then
+start; rows alike in doc_id and text are one document: they do not remove each other. A long text lies whole in one task, at some
+60 bytes of memory a byte of its chunk. An empty table gives an empty one. Only doc_id
 and text are read, so other columns cannot clash.
 """
 
@@ -30,12 +36,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
 
 LENGTH = 100
+#: A gram is spread over tasks if it is in so many documents of a batch, and in this share of all.
+OFTEN, SHARE = 16, 0.001
 #: Bytes of text that are named at once: few enough for a core's cache.
 CHUNK = 100_000
 LAST = (1 << 63) - 1
@@ -99,19 +108,39 @@ def sliding(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
+def digests(data: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Of the bytes themselves, by a function that shares nothing with the names."""
+    view, of = memoryview(data), xxhash.xxh3_64_intdigest
+    return np.fromiter((of(view[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)), U, len(starts))
+
+
+def seen_before(*keys: np.ndarray) -> np.ndarray:
+    """Whether a row agrees in all keys with an earlier one, the first of its mixed key."""
+    mix = keys[0].copy()
+    for k in keys[1:]:
+        mix = mixed(mix) ^ k
+    _, index, inverse = np.unique(mix, return_index=True, return_inverse=True)
+    first = index[inverse]
+    again = first != np.arange(len(mix))
+    for k in keys:
+        again &= k == k[first]
+    return again
+
+
 class Spans:
-    """Of texts laid end to end: each sampled position's gram and span names, and its windows [start, stop)."""
+    """Of texts laid end to end: each sampled position's gram, span name and digest, and its windows [start, stop)."""
 
-    def __init__(self, texts: list[bytes], length: int = LENGTH):
+    def __init__(self, texts: list[bytes], length: int = LENGTH, check: bool = True):
         sizes = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(sizes)
         self.begin = ends - sizes
-        levels = [CODES[np.frombuffer(b"".join(texts), np.uint8)]]
+        data = b"".join(texts)
+        levels = [CODES[np.frombuffer(data, np.uint8)]]
         gram = max(1, length * 2 // 5)
         width = length - gram + 1
         if not len(texts) or ends[-1] < length:
             self.doc = self.start = self.stop = np.empty(0, np.int64)
-            self.gram = self.span = np.empty(0, U)
+            self.gram = self.span = self.check = np.empty(0, U)
             return
         g = named(levels, gram)
         low = sliding(g, width, np.minimum)
@@ -138,6 +167,7 @@ class Spans:
         a, b = s[first], s[stop - 1]
         self.gram = g[at[first]]
         self.span = mixed(named(levels, length, a) * ODD[0] + named(levels, length, b) * ODD[1] + (at[first] - a).astype(U) * ODD[2] + (b - a).astype(U) * ODD[3])
+        self.check = digests(data, a, b + length) if check else np.empty(0, U)
         self.doc = np.searchsorted(ends, a, "right")
         self.start, self.stop = a - self.begin[self.doc], b + 1 - self.begin[self.doc]
 
@@ -162,49 +192,90 @@ def chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list
         yield np.array(ids), np.array(prints), texts
 
 
-ROW = "gram long, span long, d long, t long, start int, stop int"
+def frequent(docs: DataFrame, length: int) -> np.ndarray:
+    """The grams that are in SHARE of all documents or more, sorted: at most the mean number of sampled positions a document, over SHARE."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, docs_ = [], 0
+            for ids, _, texts in chunks(batch):
+                grams.append(Spans(texts, length, False).gram)
+                docs_ += len(ids)
+            gram, n = np.unique(np.concatenate(grams), return_counts=True) if grams else (np.empty(0, U), np.empty(0, np.int64))
+            many = n >= OFTEN
+            yield pa.RecordBatch.from_arrays([pa.array([None, *gram[many].view(np.int64).tolist()], pa.int64()), pa.array([docs_, *n[many].tolist()], pa.int64())], names=["gram", "n"])
 
+    counts = c.cut(docs.select("d", "t", "text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    total = counts.filter("gram is null").first()
+    rows = counts.filter((F.col("gram").isNotNull()) & (F.col("n") >= SHARE * total["n"])).collect() if total else []
+    return np.sort(np.array([r["gram"] for r in rows], np.int64).view(U))
 
-def sampled(docs: DataFrame, length: int, repeats: bool) -> DataFrame:
-    """Sampled positions of keyed documents; the first of each span in a batch, or (repeats) the others."""
+
+ROW = "gram long, span long, check long, d long, t long, start int, stop int, salt int"
+
+
+def sampled(docs: DataFrame, length: int, often: np.ndarray, salts: int) -> DataFrame:
+    """Sampled positions of keyed documents. salt: below 0 for what repeats an earlier one of its batch, 1 and up for a frequent gram, else 0."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             for ids, prints, texts in chunks(batch):
                 s = Spans(texts, length)
-                parts.append((s.gram, s.span, ids[s.doc], prints[s.doc], s.start, s.stop))
+                parts.append((s.gram, s.span, s.check, ids[s.doc], prints[s.doc], s.start, s.stop))
             if not parts:
                 continue
-            gram, span, d, t, start, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
-            first = np.zeros(len(span), bool)  # rows are in the order of d, t, start
-            first[np.unique(span ^ mixed(gram.copy()), return_index=True)[1]] = True
-            pick = np.flatnonzero(~first if repeats else first)
-            cols = [gram[pick].view(np.int64), span[pick].view(np.int64), d[pick], t[pick], start[pick].astype(np.int32), stop[pick].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["gram", "span", "d", "t", "start", "stop"])
+            gram, span, check, d, t, start, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
+            spread = (check % U(salts)).astype(np.int32) + 1
+            salt = np.where(np.isin(gram, often), spread, 0)
+            again = seen_before(gram, span, check)  # rows are in the order of d, t, start
+            salt[again] = -1 - (start[again] + d[again]) % salts
+            cols = [gram.view(np.int64), span.view(np.int64), check.view(np.int64), d, t, start.astype(np.int32), stop.astype(np.int32), salt.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["gram", "span", "check", "d", "t", "start", "stop", "salt"])
 
     return docs.select("d", "t", "text").mapInArrow(rows, ROW)
 
 
+def runs(d: np.ndarray, t: np.ndarray, start: np.ndarray, most: int = 255) -> tuple[np.ndarray, ...]:
+    """Of windows in order, those that follow each other as (d, t, start, stop), up to `most` in one."""
+    new = np.ones(len(start), bool)
+    new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (start[1:] != start[:-1] + 1)
+    at = np.arange(len(start))
+    new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % most == 0
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(start)))
+    return d[first], t[first], start[first], start[first] + size
+
+
 def windows(docs: DataFrame, length: int) -> DataFrame:
-    """(name, d, t, start) of the windows in the lists `todo` of documents."""
+    """(name, check, d, t, start, stop) of the windows in the lists `todo` of documents, one a row; name is null for runs that repeat earlier ones of their batch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             todo = dict(zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(3), strict=True))  # equal keys have equal lists
+            out: list[tuple] = []
             for ids, prints, texts in chunks(batch):
-                levels = [CODES[np.frombuffer(b"".join(texts), np.uint8)]]
+                data = b"".join(texts)
+                levels = [CODES[np.frombuffer(data, np.uint8)]]
                 begin = np.cumsum([0] + [len(x) for x in texts])
-                out: list[np.ndarray] = []
                 for i, (d, t) in enumerate(zip(ids.tolist(), prints.tolist(), strict=True)):
-                    packed = todo[d, t].values.to_numpy()
+                    packed = np.sort(todo[d, t].values.to_numpy())
                     a, n = packed >> 8, packed & 255
                     start = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    out.append(np.stack([named(levels, length, begin[i] + start).view(np.int64), np.full(len(start), d), np.full(len(start), t), start]))
-                all_ = np.concatenate(out, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(all_[0]), pa.array(all_[1]), pa.array(all_[2]), pa.array(all_[3].astype(np.int32))], names=["name", "d", "t", "start"])
+                    at = begin[i] + start
+                    out.append((named(levels, length, at), digests(data, at, at + length), np.full(len(start), d), np.full(len(start), t), start))
+            if not out:
+                continue
+            name, check, d, t, start = (np.concatenate(x) for x in zip(*out, strict=True))
+            again = seen_before(name, check)
+            run = runs(d[again], t[again], start[again])
+            both = [np.concatenate([x[~again], y]) for x, y in zip((d, t, start, start + 1), run, strict=True)]
+            blank = np.arange(len(both[0])) >= (~again).sum()
+            pad = np.zeros(len(run[0]), np.int64)
+            names_ = [pa.array(np.concatenate([x[~again].view(np.int64), pad]), mask=blank) for x in (name, check)]
+            yield pa.RecordBatch.from_arrays([*names_, pa.array(both[0]), pa.array(both[1]), pa.array(both[2].astype(np.int32)), pa.array(both[3].astype(np.int32))], names=["name", "check", "d", "t", "start", "stop"])
 
-    return docs.select("d", "t", "text", "todo").mapInArrow(rows, "name long, d long, t long, start int")
+    return docs.select("d", "t", "text", "todo").mapInArrow(rows, "name long, check long, d long, t long, start int, stop int")
 
 
 def listed(rows: DataFrame, into: str) -> DataFrame:
@@ -223,19 +294,23 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs; length: 4 to 400."""
     keys = keyed(docs)
     place = F.struct("d", "t", "start")
-    firsts = sampled(keys, length, False)
-    by_gram, by_span = Window.partitionBy("gram"), Window.partitionBy("gram", "span").orderBy("d", "t", "start")
-    told = firsts.repartition(F.col("gram")).withColumn("first", F.first(place).over(by_span))
-    told = told.withColumns({"low": F.min("span").over(by_gram), "high": F.max("span").over(by_gram)})
-    told = told.select("d", "t", "start", "stop", (F.col("first") != place).alias("repeat"), (F.col("low") != F.col("high")).alias("differs"))
+    salts = max(64, c.parts(docs.sparkSession))
+    found = sampled(keys, length, frequent(keys, length), salts)
+    by_gram, by_span = Window.partitionBy("gram", "salt"), Window.partitionBy("gram", "salt", "span", "check").orderBy("d", "t", "start")
+    told = found.repartition(F.col("gram"), F.col("salt")).withColumn("first", F.first(place).over(by_span))
+    told = told.withColumns({"low": F.min("check").over(by_gram), "high": F.max("check").over(by_gram)})
+    told = told.select("d", "t", "start", "stop", ((F.col("salt") < 0) | (F.col("first") != place)).alias("repeat"), ((F.col("salt") > 0) | (F.col("low") != F.col("high"))).alias("differs"))
     told = c.written(told.filter("repeat or differs"))
-    spans = told.filter("repeat").select("d", "t", "start", "stop").unionByName(sampled(keys, length, True).select("d", "t", "start", "stop"))
+    spans = told.filter("repeat").select("d", "t", "start", "stop")
 
     open_ = listed(told.filter("not repeat"), "todo")
     named_ = windows(keys.join(open_, ["d", "t"]), length)
-    order = Window.partitionBy("name").orderBy("d", "t", "start")
-    again = named_.withColumn("first", F.first(place).over(order)).filter(F.col("first") != place)
-    every = listed(spans.unionByName(again.select("d", "t", "start", (F.col("start") + 1).alias("stop"))), "gone")
+    # Runs without a name go anywhere: the start stands in for it.
+    apart = F.when(F.col("name").isNull(), F.xxhash64("d", "start")).otherwise(0)
+    named_ = named_.withColumn("apart", apart)
+    order = Window.partitionBy("name", "check", "apart").orderBy("d", "t", "start")
+    again = named_.withColumn("first", F.first(place).over(order)).filter(F.col("name").isNull() | (F.col("first") != place))
+    every = listed(spans.unionByName(again.select("d", "t", "start", "stop")), "gone")
     return finished(keys.join(every, ["d", "t"], "left"), length)  # both joins read one exchange of the texts
 
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import same
 from pyspark.sql import Row
@@ -410,6 +411,48 @@ def test_repeats_in_poor_alphabets(spark, length):
     assert {r.doc_id: tuple(r)[1:] for r in suffixes.removed(df, length).collect()} == repeats(pairs, length)
 
 
+def test_equal_names_of_different_texts(spark, monkeypatch):
+    """Names that say nothing: the bytes decide. One task does it all, so that the patch is seen."""
+    rng = np.random.default_rng(1)
+    base = "".join(rng.choice(list("abcdef"), 300))
+    pairs = [(0, base), (1, base[:150] + "".join(rng.choice(list("abcdef"), 200))), (2, "".join(rng.choice(list("abcdef"), 260))), (3, "zz" + base[100:])]
+    batch = pa.RecordBatch.from_pydict({"d": [i for i, _ in pairs], "t": [0] * 4, "text": [t for _, t in pairs]})
+    monkeypatch.setattr(suffixes, "named", lambda levels, length, at=None: np.zeros(len(levels[0]) - length + 1 if at is None else len(at), np.uint64))
+    s = suffixes.Spans([t.encode() for _, t in pairs])
+    assert set(s.gram) == {0} and len(set(s.span)) < len(set(s.check)) and not suffixes.seen_before(s.gram, s.span)[0]
+    ids, _, texts = next(suffixes.chunks(batch))
+    data = b"".join(texts)
+    at = np.concatenate([np.arange(len(t) - 99) + b for t, b in zip(texts, s.begin, strict=True)])
+    again = suffixes.seen_before(suffixes.named([], 100, at), suffixes.digests(data, at, at + 100))
+    seen, want = set(), []
+    for a in at.tolist():
+        want.append(data[a : a + 100] in seen)
+        seen.add(data[a : a + 100])
+    assert again.tolist() == want and sum(want) == 51 + 101
+
+
+def test_one_passage_in_many_surroundings(spark, monkeypatch):
+    """The passage's outer positions have a span of their own in every document; frequent grams are spread by it."""
+    rng = np.random.default_rng(2)
+    some = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    passage = some(300)
+    pairs = [(i, some(150) + passage + some(150)) for i in range(300)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(6)
+    keys = suffixes.keyed(df).cache()
+    often = suffixes.frequent(keys, 100)
+    assert 0 < len(often) < 30
+    rows = suffixes.sampled(keys, 100, often, 64).groupBy("gram", "salt").count().toPandas()
+    assert rows["count"].max() < 40  # of 300
+    assert {r.doc_id: tuple(r)[1:] for r in suffixes.removed(df).collect()} == repeats(pairs)
+
+
+def test_runs():
+    d, start = np.array([1, 1, 1, 1, 2, 2]), np.array([5, 6, 7, 9, 10, 11])
+    assert [x.tolist() for x in suffixes.runs(d, d * 0, start)] == [[1, 1, 2], [0, 0, 0], [5, 9, 10], [8, 10, 12]]
+    assert [x.tolist() for x in suffixes.runs(d[:3], d[:3], start[:3], 2)[2:]] == [[5, 7], [7, 8]]
+    assert all(len(x) == 0 for x in suffixes.runs(d[:0], d[:0], start[:0]))
+
+
 # 8
 
 
