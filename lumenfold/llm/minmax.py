@@ -8,7 +8,7 @@ confirmed on full shingle sets.
 Texts with equal sets are one class, whatever their doc_ids, and only classes go on, each under a
 number of its own. Connectivity is what is asked for, so links are confirmed in two rounds:
   stars    each class with the first class of a bucket it shares most buckets with: one pair a class;
-  prefixes classes in a bucket whose components still differ. Their shingles are put in one order, those of
+  prefixes classes in a bucket whose components still differ, at first with one other a shingle, at last with all. Their shingles are put in one order, those of
            a single component first, then the rarer ones; two sets that are alike share a shingle among the first few
            of the shorter and the first few of the longer, so only these are joined. That filter drops no link, and
            documents of one template that are not alike share none of them. No pair within a component is joined.
@@ -42,6 +42,10 @@ ADD = MIX.randint(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 BAND_ODD = (MIX.randint(0, 2**62, (BANDS, ROWS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 #: Bits of a parity sketch.
 SKETCH = 2048
+#: How often loose classes meet the first of their shingle before they meet all.
+ROUNDS = 2
+#: A component with more members than this that share a token is not joined with itself.
+MEMBERS = 64
 #: Shingles that are hashed at once.
 BLOCK = 2048
 
@@ -137,9 +141,9 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("node", "set_key", "text").mapInArrow(sets, "node long, shingles array<long>, sketch array<long>")
 
 
-def may_be_alike(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
-    """Of two sketches and set sizes: false only where the sets cannot be alike."""
-    least = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+def may_be_alike(a: str, b: str, na: Column, nb: Column, percent: int) -> Column:
+    """Of two sketches and set sizes: false only where the sets cannot be alike. Two sets differ in at least as many elements as their sketches in bits."""
+    least = sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(SKETCH // 64)), F.lit(0))
     return (100 + percent) * least <= (100 - percent) * (na + nb)
 
 
@@ -189,14 +193,47 @@ def prefixes(loose: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return listed.select("node", "root", "n", F.col("x.token").alias("token"), (F.col("i") < F.col("near")).alias("short")).distinct()
 
 
+def torn(rows: DataFrame) -> DataFrame:
+    """Those of prefixes() whose token is still in several components; written."""
+    kept = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
+    return c.written(rows.join(kept, "token", "left_semi"))
+
+
+def fits(percent: int) -> Column:
+    """Whether x, the shorter, and y of different components may be alike, by size and sketch."""
+    na, nb = F.col("x.n"), F.col("y.n")
+    return (F.col("x.root") != F.col("y.root")) & (na * 100 >= percent * nb) & (nb * 100 >= percent * na) & may_be_alike("x.sketch", "y.sketch", na, nb, percent)
+
+
+PAIR = ("x.node a", "y.node b", "x.root ra", "y.root rb")
+
+
+def to_firsts(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ra, rb): each row with the first member of its token, if that is of another component: one pair a row."""
+    first = rows.groupBy("token").agg(F.min(F.struct("root", "node")).alias("f")).select("token", F.col("f.node").alias("node"))
+    y = rows.drop("short").distinct().join(first, ["token", "node"]).alias("y")
+    return rows.alias("x").join(y, (F.col("x.token") == F.col("y.token")) & fits(percent)).selectExpr(*PAIR).distinct()
+
+
 def across(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of prefixes() of different components that share a token. Components meet first, then their members."""
-    short, long = rows.filter("short").alias("x"), rows.alias("y")
-    of = lambda df: df.select("token", "root").distinct()
-    met = of(rows.filter("short")).withColumnRenamed("root", "rx").join(of(rows).withColumnRenamed("root", "ry"), "token").filter("rx <> ry").alias("m")
-    some = met.join(short, (F.col("m.token") == F.col("x.token")) & (F.col("rx") == F.col("x.root"))).select("m.token", "ry", F.col("x.node").alias("a"), F.col("x.n").alias("na")).alias("s")
-    both = some.join(long, (F.col("s.token") == F.col("y.token")) & (F.col("ry") == F.col("y.root")) & (F.col("na") * 100 >= percent * F.col("y.n")) & ((F.col("na") < F.col("y.n")) | ((F.col("na") == F.col("y.n")) & (F.col("a") < F.col("y.node")))))
-    return both.select("a", F.col("y.node").alias("b")).distinct()
+    """(a, b, ra, rb): pairs of prefixes() of different components that share a token.
+
+    Of a token, members of a component of more than MEMBERS meet only members of others, so that no
+    large component is joined with itself.
+    """
+    sizes = rows.groupBy("token", "root").agg((F.count(F.lit(1)) > MEMBERS).alias("large"))
+    rows = c.written(rows.join(sizes, ["token", "root"]))
+    x, y = rows.filter("short").alias("x"), rows.alias("y")
+    small, large = lambda df, k: df.filter(f"not {k}.large"), lambda df, k: df.filter(f"{k}.large")
+    na, nb = F.col("x.n"), F.col("y.n")
+    near = fits(percent) & ((na < nb) | ((na == nb) & (F.col("x.node") < F.col("y.node"))))
+    token = F.col("x.token") == F.col("y.token")
+    found = small(x, "x").join(y, token & near).selectExpr(*PAIR).unionByName(large(x, "x").join(small(y, "y"), token & near).selectExpr(*PAIR))
+    kinds = lambda df, k: df.filter("large").select("token", F.col("root").alias(k)).distinct()
+    met = kinds(rows.filter("short"), "rx").join(kinds(rows, "ry"), "token").filter("rx <> ry").alias("m")
+    both = large(x, "x").join(met, (F.col("m.token") == F.col("x.token")) & (F.col("rx") == F.col("x.root")))
+    both = both.join(large(y, "y"), token & (F.col("ry") == F.col("y.root")) & near)
+    return found.unionByName(both.selectExpr(*PAIR)).distinct()
 
 
 def judged(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -219,19 +256,22 @@ def judged(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
         a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         near = (F.size("sa") * 100 >= percent * F.size("sb")) & (F.size("sb") * 100 >= percent * F.size("sa"))
-        return pairs.join(a, "a").join(b, "b").filter(near & alike(F.col("sa"), F.col("sb"), percent)).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").filter(near & alike(F.col("sa"), F.col("sb"), percent)).select(*pairs.columns)
 
     links = c.cut(confirmed(best.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
     roots = components(links)
     spread = rooted(spots, roots, "node", "root")
-    torn = spread.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
-    loose = c.cut(spread.join(torn, "bucket", "left_semi").select("node", "root").distinct())
-    pairs = across(c.cut(prefixes(loose, sets, percent)), percent)
-    sketch = lambda k: sets.select(F.col("node").alias(k), F.col("sketch").alias(f"k{k}"), F.size("shingles").alias(f"n{k}"))
-    pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(may_be_alike(F.col("ka"), F.col("kb"), F.col("na"), F.col("nb"), percent)).select("a", "b")
-    roots = components(c.cut(links.union(confirmed(c.cut(pairs)))))
-
-    rooted_ = rooted(classes.select("set_key", "rep", "node"), roots, "node", "root")
+    open_ = spread.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
+    loose = c.cut(spread.join(open_, "bucket", "left_semi").select("node", "root").distinct())
+    rows = torn(prefixes(loose, sets, percent).join(sets.select("node", "sketch"), "node"))
+    merged = None  # links between components
+    for pairs in (to_firsts,) * ROUNDS + (across,):
+        new = c.cut(confirmed(c.cut(pairs(rows, percent))).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        merged = new if merged is None else merged.union(new)
+        if pairs is to_firsts:
+            rows = torn(rooted(rows.withColumnRenamed("root", "old"), components(new), "old", "root").drop("old"))
+
+    rooted_ = rooted(rooted(classes.select("set_key", "rep", "node"), roots, "node", "old"), components(merged), "old", "root")
     least = rooted_.groupBy("root").agg(F.min("rep").alias("least"))
     found = rooted_.join(least, "root").select(F.col("set_key").alias("k"), F.col("least.doc_id").alias("component_id"), F.col("least.said").alias("first"))
     out = signed.select("doc_id", "said", "n_shingles", "set_key").join(found, (F.col("set_key") == F.col("k")) & F.col("doc_id").isNotNull(), "left")

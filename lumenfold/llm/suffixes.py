@@ -211,11 +211,51 @@ def frequent(docs: DataFrame, length: int) -> np.ndarray:
     return np.sort(np.array([r["gram"] for r in rows], np.int64).view(U))
 
 
-ROW = "gram long, span long, check long, d long, t long, start int, stop int, salt int"
+#: A place: start << 10 | number of windows << 2 | flags; few bytes a row, in the order of start.
+AGAIN, HOT = 1, 2
+MOST_WINDOWS = 255
+ROW = "d long, t long, place long, gram long, span long, check long"
+
+
+def places(start: np.ndarray, stop: np.ndarray, flag: np.ndarray | int) -> np.ndarray:
+    return (start.astype(np.int64) << 10) | ((stop - start).astype(np.int64) << 2) | flag
+
+
+def runs(d: np.ndarray, t: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of windows [start, stop) in order, those that follow each other as one, while they are MOST_WINDOWS at most."""
+    if not len(start):
+        return d, t, start, stop
+    new = np.ones(len(start), bool)
+    new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (start[1:] != stop[:-1])
+    out, head = [], 0
+    for i in range(1, len(start)):
+        if new[i] or stop[i] - start[head] > MOST_WINDOWS:
+            out.append(head)
+            head = i
+    first = np.array([*out, head])
+    last = np.append(first[1:], len(start)) - 1
+    return d[first], t[first], start[first], stop[last]
+
+
+def spread(d: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Names for rows that meet no other: they go anywhere."""
+    return mixed((d.astype(U) + place.astype(U) * ODD[2]) * ODD[1])
+
+
+def rows_of(again: np.ndarray, flag: np.ndarray | int, keys: list[np.ndarray], d: np.ndarray, t: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[pa.Array]:
+    """d, t, place and keys: the rows that are new in their batch, then runs of those that are not, under names of their own."""
+    run = runs(d[again], t[again], start[again], stop[again])
+    place = np.concatenate([places(start, stop, flag)[~again], places(run[2], run[3], AGAIN)])
+    n = len(run[0])
+    keys = [np.concatenate([k[~again], np.zeros(n, U)]) for k in keys]
+    d, t = np.concatenate([d[~again], run[0]]), np.concatenate([t[~again], run[1]])
+    if n:
+        keys[0][-n:] = spread(d[-n:], place[-n:])
+    return [pa.array(x) for x in (d, t, place, *(k.view(np.int64) for k in keys))]
 
 
 def sampled(docs: DataFrame, length: int, often: np.ndarray, salts: int) -> DataFrame:
-    """Sampled positions of keyed documents. salt: below 0 for what repeats an earlier one of its batch, 1 and up for a frequent gram, else 0."""
+    """Sampled positions of keyed documents: what repeats in its batch is AGAIN; a frequent gram is HOT, and salted by the span's digest."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,32 +263,18 @@ def sampled(docs: DataFrame, length: int, often: np.ndarray, salts: int) -> Data
             for ids, prints, texts in chunks(batch):
                 s = Spans(texts, length)
                 parts.append((s.gram, s.span, s.check, ids[s.doc], prints[s.doc], s.start, s.stop))
-            if not parts:
-                continue
-            gram, span, check, d, t, start, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
-            spread = (check % U(salts)).astype(np.int32) + 1
-            salt = np.where(np.isin(gram, often), spread, 0)
-            again = seen_before(gram, span, check)  # rows are in the order of d, t, start
-            salt[again] = -1 - (start[again] + d[again]) % salts
-            cols = [gram.view(np.int64), span.view(np.int64), check.view(np.int64), d, t, start.astype(np.int32), stop.astype(np.int32), salt.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["gram", "span", "check", "d", "t", "start", "stop", "salt"])
+            if parts:
+                gram, span, check, d, t, start, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
+                again = seen_before(gram, span, check)  # rows are in the order of d, t, start
+                hot = np.isin(gram, often)
+                gram[hot] += (check[hot] % U(salts) + U(1)) * ODD[3]
+                yield pa.RecordBatch.from_arrays(rows_of(again, np.where(hot, HOT, 0), [gram, span, check], d, t, start, stop), names=["d", "t", "place", "gram", "span", "check"])
 
     return docs.select("d", "t", "text").mapInArrow(rows, ROW)
 
 
-def runs(d: np.ndarray, t: np.ndarray, start: np.ndarray, most: int = 255) -> tuple[np.ndarray, ...]:
-    """Of windows in order, those that follow each other as (d, t, start, stop), up to `most` in one."""
-    new = np.ones(len(start), bool)
-    new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (start[1:] != start[:-1] + 1)
-    at = np.arange(len(start))
-    new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % most == 0
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(start)))
-    return d[first], t[first], start[first], start[first] + size
-
-
 def windows(docs: DataFrame, length: int) -> DataFrame:
-    """(name, check, d, t, start, stop) of the windows in the lists `todo` of documents, one a row; name is null for runs that repeat earlier ones of their batch."""
+    """(d, t, place, name, check) of the windows in the lists `todo` of documents, one a row; runs of those that repeat in their batch are AGAIN."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,23 +290,16 @@ def windows(docs: DataFrame, length: int) -> DataFrame:
                     start = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
                     at = begin[i] + start
                     out.append((named(levels, length, at), digests(data, at, at + length), np.full(len(start), d), np.full(len(start), t), start))
-            if not out:
-                continue
-            name, check, d, t, start = (np.concatenate(x) for x in zip(*out, strict=True))
-            again = seen_before(name, check)
-            run = runs(d[again], t[again], start[again])
-            both = [np.concatenate([x[~again], y]) for x, y in zip((d, t, start, start + 1), run, strict=True)]
-            blank = np.arange(len(both[0])) >= (~again).sum()
-            pad = np.zeros(len(run[0]), np.int64)
-            names_ = [pa.array(np.concatenate([x[~again].view(np.int64), pad]), mask=blank) for x in (name, check)]
-            yield pa.RecordBatch.from_arrays([*names_, pa.array(both[0]), pa.array(both[1]), pa.array(both[2].astype(np.int32)), pa.array(both[3].astype(np.int32))], names=["name", "check", "d", "t", "start", "stop"])
+            if out:
+                name, check, d, t, start = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(rows_of(seen_before(name, check), 0, [name, check], d, t, start, start + 1), names=["d", "t", "place", "name", "check"])
 
-    return docs.select("d", "t", "text", "todo").mapInArrow(rows, "name long, check long, d long, t long, start int, stop int")
+    return docs.select("d", "t", "text", "todo").mapInArrow(rows, "d long, t long, place long, name long, check long")
 
 
 def listed(rows: DataFrame, into: str) -> DataFrame:
     """(d, t, list): windows of each document, start * 256 + number; spans hold fewer than 256."""
-    return rows.groupBy("d", "t").agg(F.collect_list(F.col("start").cast("long") * 256 + F.col("stop") - F.col("start")).alias(into))
+    return rows.groupBy("d", "t").agg(F.collect_list(F.shiftright("place", 2)).alias(into))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -293,24 +312,20 @@ def keyed(docs: DataFrame) -> DataFrame:
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs; length: 4 to 400."""
     keys = keyed(docs)
-    place = F.struct("d", "t", "start")
-    salts = max(64, c.parts(docs.sparkSession))
-    found = sampled(keys, length, frequent(keys, length), salts)
-    by_gram, by_span = Window.partitionBy("gram", "salt"), Window.partitionBy("gram", "salt", "span", "check").orderBy("d", "t", "start")
-    told = found.repartition(F.col("gram"), F.col("salt")).withColumn("first", F.first(place).over(by_span))
+    here = F.struct("d", "t", "place")
+    found = sampled(keys, length, frequent(keys, length), max(64, c.parts(docs.sparkSession)))
+    by_gram, by_span = Window.partitionBy("gram"), Window.partitionBy("gram", "span", "check").orderBy("d", "t", "place")
+    told = found.repartition(F.col("gram")).withColumn("first", F.first(here).over(by_span))
     told = told.withColumns({"low": F.min("check").over(by_gram), "high": F.max("check").over(by_gram)})
-    told = told.select("d", "t", "start", "stop", ((F.col("salt") < 0) | (F.col("first") != place)).alias("repeat"), ((F.col("salt") > 0) | (F.col("low") != F.col("high"))).alias("differs"))
+    has = lambda flag: F.col("place").bitwiseAND(flag) != 0
+    told = told.select("d", "t", "place", (has(AGAIN) | (F.col("first") != here)).alias("repeat"), (has(HOT) | (F.col("low") != F.col("high"))).alias("differs"))
     told = c.written(told.filter("repeat or differs"))
-    spans = told.filter("repeat").select("d", "t", "start", "stop")
+    spans = told.filter("repeat").select("d", "t", "place")
 
     open_ = listed(told.filter("not repeat"), "todo")
-    named_ = windows(keys.join(open_, ["d", "t"]), length)
-    # Runs without a name go anywhere: the start stands in for it.
-    apart = F.when(F.col("name").isNull(), F.xxhash64("d", "start")).otherwise(0)
-    named_ = named_.withColumn("apart", apart)
-    order = Window.partitionBy("name", "check", "apart").orderBy("d", "t", "start")
-    again = named_.withColumn("first", F.first(place).over(order)).filter(F.col("name").isNull() | (F.col("first") != place))
-    every = listed(spans.unionByName(again.select("d", "t", "start", "stop")), "gone")
+    order = Window.partitionBy("name", "check").orderBy("d", "t", "place")
+    again = windows(keys.join(open_, ["d", "t"]), length).withColumn("first", F.first(here).over(order)).filter(has(AGAIN) | (F.col("first") != here))
+    every = listed(spans.unionByName(again.select("d", "t", "place")), "gone")
     return finished(keys.join(every, ["d", "t"], "left"), length)  # both joins read one exchange of the texts
 
 
