@@ -41,9 +41,11 @@ ODD = (MIX.randint(0, 2**62, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | n
 ADD = MIX.randint(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 BAND_ODD = (MIX.randint(0, 2**62, (BANDS, ROWS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 #: Bits of a parity sketch.
-SKETCH = 2048
+SKETCH = 1024
 #: How often loose classes meet the first of their shingle before they meet all.
-ROUNDS = 2
+ROUNDS = 1
+#: So many earlier shingles of a prefix go along, so that a pair which shares several mostly comes once.
+HEAD = 16
 #: A component with more members than this that share a token is not joined with itself.
 MEMBERS = 64
 #: Shingles that are hashed at once.
@@ -177,7 +179,7 @@ def rooted(df: DataFrame, roots: DataFrame, name: str, into: str) -> DataFrame:
 
 
 def prefixes(loose: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root, n, token, short): the first shingles of each loose set (node, root), as 32-bit tokens, in one order for all.
+    """(node, root, n, token, short, before): the first shingles of each loose set (node, root), as 32-bit tokens, in one order for all.
 
     Tokens of one component come first and cannot join; then rarer ones. Of two alike sets the shorter
     one's first n - ceil(2 * percent * n / (100 + percent)) + 1 (`short`) and the longer one's first
@@ -189,8 +191,9 @@ def prefixes(loose: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     free = F.col("n") - F.size("list")  # tokens before the first shared one
     room = lambda top, under: F.greatest(F.lit(0), (F.col("n") - F.ceil(top * F.col("n") / under) + 1 - free).cast("int"))
     cut = shared.withColumns({"near": room(2 * percent, 100 + percent), "far": room(percent, 100)})
-    listed = cut.select("node", "root", "n", "near", F.posexplode(F.slice("list", F.lit(1), F.col("far"))).alias("i", "x"))
-    return listed.select("node", "root", "n", F.col("x.token").alias("token"), (F.col("i") < F.col("near")).alias("short")).distinct()
+    head = F.transform(F.slice("list", 1, HEAD), lambda x: x["token"])
+    listed = cut.select("node", "root", "n", "near", head.alias("head"), F.posexplode(F.slice("list", F.lit(1), F.col("far"))).alias("i", "x"))
+    return listed.select("node", "root", "n", F.col("x.token").alias("token"), (F.col("i") < F.col("near")).alias("short"), F.slice("head", F.lit(1), F.least("i", F.lit(HEAD))).alias("before"))
 
 
 def torn(rows: DataFrame) -> DataFrame:
@@ -211,7 +214,7 @@ PAIR = ("x.node a", "y.node b", "x.root ra", "y.root rb")
 def to_firsts(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b, ra, rb): each row with the first member of its token, if that is of another component: one pair a row."""
     first = rows.groupBy("token").agg(F.min(F.struct("root", "node")).alias("f")).select("token", F.col("f.node").alias("node"))
-    y = rows.drop("short").distinct().join(first, ["token", "node"]).alias("y")
+    y = rows.drop("short", "before").distinct().join(first, ["token", "node"]).alias("y")
     return rows.alias("x").join(y, (F.col("x.token") == F.col("y.token")) & fits(percent)).selectExpr(*PAIR).distinct()
 
 
@@ -222,11 +225,11 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     large component is joined with itself.
     """
     sizes = rows.groupBy("token", "root").agg((F.count(F.lit(1)) > MEMBERS).alias("large"))
-    rows = c.written(rows.join(sizes, ["token", "root"]))
+    rows = rows.join(sizes, ["token", "root"])
     x, y = rows.filter("short").alias("x"), rows.alias("y")
     small, large = lambda df, k: df.filter(f"not {k}.large"), lambda df, k: df.filter(f"{k}.large")
     na, nb = F.col("x.n"), F.col("y.n")
-    near = fits(percent) & ((na < nb) | ((na == nb) & (F.col("x.node") < F.col("y.node"))))
+    near = fits(percent) & ((na < nb) | ((na == nb) & (F.col("x.node") < F.col("y.node")))) & ~F.arrays_overlap("x.before", "y.before")
     token = F.col("x.token") == F.col("y.token")
     found = small(x, "x").join(y, token & near).selectExpr(*PAIR).unionByName(large(x, "x").join(small(y, "y"), token & near).selectExpr(*PAIR))
     kinds = lambda df, k: df.filter("large").select("token", F.col("root").alias(k)).distinct()
@@ -263,10 +266,10 @@ def judged(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     spread = rooted(spots, roots, "node", "root")
     open_ = spread.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
     loose = c.cut(spread.join(open_, "bucket", "left_semi").select("node", "root").distinct())
-    rows = torn(prefixes(loose, sets, percent).join(sets.select("node", "sketch"), "node"))
+    rows, sketches = torn(prefixes(loose, sets, percent)), sets.select("node", "sketch")
     merged = None  # links between components
     for pairs in (to_firsts,) * ROUNDS + (across,):
-        new = c.cut(confirmed(c.cut(pairs(rows, percent))).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        new = c.cut(confirmed(c.cut(pairs(rows.join(sketches, "node"), percent))).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         merged = new if merged is None else merged.union(new)
         if pairs is to_firsts:
             rows = torn(rooted(rows.withColumnRenamed("root", "old"), components(new), "old", "root").drop("old"))
