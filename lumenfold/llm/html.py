@@ -4,10 +4,13 @@ A page is cut into flat blocks at block-level tags. Each block gets its word cou
 density, those of its neighbours, whether it lies in a region that names itself as furniture
 (nav, footer, class "ad", ...) and whether it lies in, or outside of, the page's article. A decision
 tree classifies the blocks; it is trained on LABELLED, a small table of labelled blocks in
-this module. Kept blocks are joined in page order by two line feeds.
+this module. Where a page marks its article, text in it is never judged by its length, links or neighbours; where it marks none,
+they decide: a short or linked block is text between running text and menu between links. Kept blocks are joined in
+page order by two line feeds.
 
-Null, empty and textless pages give the empty string; broken and truncated markup is read as far
-as it goes; pages are read whole, one at a time, without a shuffle.
+Defined results: null, empty and textless pages give the empty string; broken and truncated markup is read as far
+as it goes; a page is read whole, in one task, in time and memory in proportion to it, without a shuffle; repeated
+rows are read each for itself; an empty table gives an empty one. Only the named column is read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -50,6 +53,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Tags and words in class, id or role that name a region as furniture.
 FURNITURE_TAGS = frozenset("nav header footer aside form dialog menu".split())
 FURNITURE = frozenset("ad ads adv advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer contentinfo complementary sidebar widget cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus reply replies respond login search searchbox pagination pager toc skip hidden".split())
+#: Words for a container, which leave the word before them in charge of a hyphenated name.
+CONTAINER = frozenset("area bar block box button buttons col column container content form group icons inner items item label link links list nav notice outer panel popup row section strip text thread toggle wrap wrapper".split())
 #: The same, run together with other words.
 FURNITURE_PART = re.compile(r"sidebar|footer|navbar|(top|main|sub|side)(nav|menu)$|navigat|cookie|newsletter|advert|breadcrumb|masthead|sponsor|^comments?(list|form|area|box|section|thread|wrap)$|^ads?(box|slot|unit|banner|wrap)$")
 #: Furniture words that count on an article tag itself, whose class may tell of the page.
@@ -71,7 +76,11 @@ def names(tag: str, attrs: str) -> tuple[set[str], bool]:
         elif name == "style":
             hidden |= "display:none" in value.replace(" ", "")
         elif name in ("class", "id", "role"):
-            words |= set(re.split(r"[^a-z0-9]+", value))
+            for said in re.split(r"[^a-z0-9_-]+", value):  # a hyphenated name is what it ends in, but for containers
+                parts = [x for x in re.split(r"[_-]+", said) if x]
+                while len(parts) > 1 and (parts[-1] in CONTAINER or parts[-1].isdigit()) and parts[-1] not in FURNITURE:
+                    parts.pop()
+                words |= set(parts[-1:])
     return words, hidden
 
 
@@ -197,33 +206,40 @@ def featured(page: list[dict]) -> list[list[float]]:
 
 #: Blocks of invented pages with their labels (1: main text), in the order of FEATURES.
 LABELLED = [
-    # menus and link lists
-    ([1, 0, 1, 0, 1, 1.0, 0, 0.0, 1, 1.0], 0), ([1, 0, 0, 0, 2, 1.0, 1, 1.0, 1, 1.0], 0), ([0, 0, 1, 0, 2, 1.0, 1, 1.0, 2, 1.0], 0),
-    ([0, 0, 0, 0, 2, 1.0, 2, 1.0, 3, 1.0], 0), ([0, 0, 0, 0, 6, 0.9, 5, 1.0, 4, 1.0], 0), ([0, 1, 0, 0, 5, 1.0, 6, 1.0, 40, 0.0], 0),
-    ([0, 1, 0, 0, 4, 0.8, 30, 0.0, 6, 1.0], 0), ([0, 0, 0, 0, 1, 1.0, 0, 0.0, 2, 1.0], 0), ([0, 1, 0, 0, 9, 0.95, 8, 1.0, 9, 1.0], 0),
-    # furniture with running text: adverts, notices, footers, comments
-    ([1, 0, 1, 0, 14, 0.0, 1, 1.0, 9, 0.0], 0), ([1, 1, 0, 0, 25, 0.0, 60, 0.0, 42, 0.0], 0), ([1, 0, 1, 0, 11, 0.0, 55, 0.0, 0, 0.0], 0),
-    ([1, 1, 0, 0, 80, 0.0, 31, 0.0, 24, 0.0], 0), ([1, 0, 0, 0, 45, 0.0, 0, 0.0, 18, 0.1], 0), ([1, 0, 0, 1, 3, 0.0, 70, 0.0, 20, 0.0], 0),
-    ([1, 0, 1, 1, 4, 0.0, 1, 1.0, 12, 0.0], 0), ([1, 1, 0, 1, 2, 0.0, 90, 0.0, 33, 0.0], 0), ([1, 0, 1, 0, 120, 0.05, 12, 0.0, 5, 0.0], 0),
+    # furniture, whatever it holds
+    ([1, 0, 1, 0, 1, 1.0, 0, 0.0, 1, 1.0], 0), ([1, 0, 0, 0, 2, 1.0, 1, 1.0, 1, 1.0], 0), ([1, 0, 1, 0, 14, 0.0, 1, 1.0, 9, 0.0], 0), ([1, 1, 0, 0, 25, 0.0, 60, 0.0, 42, 0.0], 0),
+    ([1, 0, 1, 0, 11, 0.0, 55, 0.0, 0, 0.0], 0), ([1, 1, 0, 0, 80, 0.0, 31, 0.0, 24, 0.0], 0), ([1, 0, 0, 0, 45, 0.0, 0, 0.0, 18, 0.1], 0), ([1, 0, 0, 1, 3, 0.0, 70, 0.0, 20, 0.0], 0),
+    ([1, 0, 1, 1, 4, 0.0, 1, 1.0, 12, 0.0], 0), ([1, 1, 0, 1, 2, 0.0, 90, 0.0, 33, 0.0], 0), ([1, 0, 1, 0, 120, 0.05, 12, 0.0, 5, 0.0], 0), ([1, 0, 0, 0, 60, 0.0, 50, 0.0, 70, 0.0], 0),
+    ([1, 1, 0, 0, 12, 0.0, 40, 0.0, 30, 0.0], 0), ([1, 1, 0, 0, 3, 1.0, 40, 0.0, 30, 0.0], 0), ([1, 0, 0, 1, 4, 0.0, 40, 0.0, 60, 0.0], 0),
     # text beside the article
-    ([0, 0, 1, 0, 20, 0.0, 3, 1.0, 60, 0.0], 0), ([0, 0, 1, 0, 4, 0.0, 44, 0.0, 2, 0.5], 0), ([0, 0, 1, 1, 3, 0.0, 1, 1.0, 5, 1.0], 0),
-    ([0, 0, 1, 0, 65, 0.0, 80, 0.0, 0, 0.0], 0), ([0, 0, 1, 0, 10, 0.3, 0, 0.0, 20, 0.0], 0),
-    # pages without an article: short scraps
-    ([0, 0, 0, 0, 3, 0.0, 2, 1.0, 1, 1.0], 0), ([0, 0, 0, 0, 2, 0.0, 0, 0.0, 3, 1.0], 0), ([0, 0, 0, 0, 4, 0.0, 5, 0.0, 3, 0.6], 0),
-    ([0, 0, 0, 0, 5, 0.5, 1, 1.0, 4, 0.0], 0), ([0, 0, 0, 1, 2, 0.0, 1, 1.0, 3, 1.0], 0),
-    # the article: long and short paragraphs, headings, some links
-    ([0, 1, 0, 1, 8, 0.0, 12, 0.0, 60, 0.0], 1), ([0, 1, 0, 1, 2, 0.0, 1, 1.0, 1, 0.0], 1), ([0, 1, 0, 0, 60, 0.0, 8, 0.0, 45, 0.0], 1),
-    ([0, 1, 0, 0, 1, 0.0, 60, 0.0, 1, 0.0], 1), ([0, 1, 0, 0, 1, 0.0, 1, 0.0, 10, 0.0], 1), ([0, 1, 0, 0, 2, 0.0, 9, 0.0, 12, 0.0], 1),
-    ([0, 1, 0, 0, 30, 0.2, 45, 0.0, 11, 0.0], 1), ([0, 1, 0, 0, 12, 0.4, 30, 0.0, 25, 0.1], 1), ([0, 1, 0, 0, 150, 0.02, 1, 0.0, 3, 1.0], 1),
-    ([0, 1, 0, 0, 3, 0.0, 5, 1.0, 2, 1.0], 1), ([0, 1, 0, 0, 400, 0.0, 0, 0.0, 0, 0.0], 1), ([0, 1, 0, 1, 5, 0.0, 80, 0.0, 70, 0.0], 1),
-    ([0, 1, 0, 0, 7, 0.0, 2, 0.0, 11, 0.0], 1), ([0, 1, 0, 0, 20, 0.3, 2, 1.0, 11, 0.0], 1), ([0, 1, 0, 0, 1, 0.0, 0, 0.0, 0, 0.0], 1),
-    # pages without an article: running text
-    ([0, 0, 0, 0, 60, 0.0, 2, 1.0, 50, 0.0], 1), ([0, 0, 0, 0, 35, 0.1, 60, 0.0, 3, 1.0], 1), ([0, 0, 0, 0, 14, 0.0, 40, 0.0, 30, 0.0], 1),
-    ([0, 0, 0, 0, 11, 0.0, 2, 1.0, 12, 0.0], 1), ([0, 0, 0, 0, 200, 0.05, 0, 0.0, 0, 0.0], 1), ([0, 0, 0, 0, 18, 0.2, 25, 0.0, 2, 1.0], 1),
-    ([0, 0, 0, 0, 5, 0.0, 40, 0.0, 35, 0.0], 1), ([0, 0, 0, 0, 4, 0.0, 22, 0.0, 60, 0.0], 1), ([0, 0, 0, 1, 4, 0.0, 3, 1.0, 45, 0.0], 1),
-    ([0, 0, 0, 1, 3, 0.0, 50, 0.0, 38, 0.0], 1),
+    ([0, 0, 1, 0, 20, 0.0, 3, 1.0, 60, 0.0], 0), ([0, 0, 1, 0, 4, 0.0, 44, 0.0, 2, 0.5], 0), ([0, 0, 1, 1, 3, 0.0, 1, 1.0, 5, 1.0], 0), ([0, 0, 1, 0, 2, 1.0, 1, 1.0, 2, 1.0], 0),
+    ([0, 0, 1, 0, 65, 0.0, 80, 0.0, 0, 0.0], 0), ([0, 0, 1, 0, 10, 0.3, 0, 0.0, 20, 0.0], 0), ([0, 0, 1, 0, 30, 0.0, 50, 0.0, 40, 0.0], 0), ([0, 0, 1, 1, 5, 0.0, 50, 0.0, 40, 0.0], 0),
+    # the article: long and short paragraphs, headings, lists of links, references
+    ([0, 1, 0, 1, 8, 0.0, 12, 0.0, 60, 0.0], 1), ([0, 1, 0, 1, 2, 0.0, 1, 1.0, 1, 0.0], 1), ([0, 1, 0, 0, 60, 0.0, 8, 0.0, 45, 0.0], 1), ([0, 1, 0, 0, 1, 0.0, 60, 0.0, 1, 0.0], 1),
+    ([0, 1, 0, 0, 1, 0.0, 1, 0.0, 10, 0.0], 1), ([0, 1, 0, 0, 2, 0.0, 9, 0.0, 12, 0.0], 1), ([0, 1, 0, 0, 30, 0.2, 45, 0.0, 11, 0.0], 1), ([0, 1, 0, 0, 12, 0.4, 30, 0.0, 25, 0.1], 1),
+    ([0, 1, 0, 0, 150, 0.02, 1, 0.0, 3, 1.0], 1), ([0, 1, 0, 0, 3, 0.0, 5, 1.0, 2, 1.0], 1), ([0, 1, 0, 0, 400, 0.0, 0, 0.0, 0, 0.0], 1), ([0, 1, 0, 1, 5, 0.0, 80, 0.0, 70, 0.0], 1),
+    ([0, 1, 0, 0, 7, 0.0, 2, 0.0, 11, 0.0], 1), ([0, 1, 0, 0, 20, 0.3, 2, 1.0, 11, 0.0], 1), ([0, 1, 0, 0, 1, 0.0, 0, 0.0, 0, 0.0], 1), ([0, 1, 0, 0, 11, 0.0, 0, 0.0, 2, 1.0], 1),
+    ([0, 1, 0, 0, 2, 1.0, 11, 0.0, 2, 1.0], 1), ([0, 1, 0, 0, 2, 1.0, 2, 1.0, 3, 1.0], 1), ([0, 1, 0, 0, 4, 0.7, 30, 0.0, 6, 1.0], 1), ([0, 1, 0, 0, 3, 1.0, 2, 1.0, 0, 0.0], 1),
+    # no article is marked: menus and scraps among links or other scraps
+    ([0, 0, 0, 0, 2, 1.0, 2, 1.0, 3, 1.0], 0), ([0, 0, 0, 0, 6, 0.9, 5, 1.0, 4, 1.0], 0), ([0, 0, 0, 0, 1, 1.0, 0, 0.0, 2, 1.0], 0), ([0, 0, 0, 0, 1, 1.0, 2, 1.0, 40, 0.0], 0),
+    ([0, 0, 0, 0, 3, 0.0, 2, 1.0, 1, 1.0], 0), ([0, 0, 0, 0, 2, 0.0, 0, 0.0, 3, 1.0], 0), ([0, 0, 0, 0, 4, 0.0, 5, 0.0, 3, 0.6], 0), ([0, 0, 0, 0, 5, 0.5, 1, 1.0, 4, 0.0], 0),
+    ([0, 0, 0, 1, 2, 0.0, 1, 1.0, 3, 1.0], 0), ([0, 0, 0, 0, 3, 1.0, 45, 0.0, 2, 1.0], 0), ([0, 0, 0, 0, 2, 0.0, 3, 0.0, 0, 0.0], 0), ([0, 0, 0, 0, 9, 0.95, 8, 1.0, 9, 1.0], 0),
+    ([0, 0, 0, 0, 4, 0.0, 2, 1.0, 2, 0.0], 0), ([0, 0, 0, 0, 12, 1.0, 10, 1.0, 11, 1.0], 0), ([0, 0, 0, 0, 14, 0.9, 12, 1.0, 30, 0.0], 0), ([0, 0, 0, 0, 3, 0.0, 1, 1.0, 2, 0.0], 0),
+    ([0, 0, 0, 0, 5, 1.0, 4, 1.0, 0, 0.0], 0), ([0, 0, 0, 0, 4, 0.0, 40, 0.0, 2, 1.0], 0), ([0, 0, 0, 0, 5, 0.0, 60, 0.0, 0, 0.0], 0),
+    ([0, 0, 0, 0, 20, 1.0, 20, 1.0, 5, 1.0], 0), ([0, 0, 0, 0, 13, 0.95, 3, 1.0, 2, 1.0], 0), ([0, 0, 0, 0, 18, 1.0, 2, 0.0, 0, 0.0], 0),
+    ([0, 0, 0, 0, 3, 1.0, 30, 0.0, 3, 1.0], 0), ([0, 0, 0, 0, 4, 0.9, 38, 0.0, 5, 1.0], 0), ([0, 0, 0, 0, 1, 0.0, 2, 0.0, 20, 0.0], 0), ([0, 0, 0, 0, 3, 0.0, 2, 1.0, 45, 0.0], 0),
+    # no article is marked: running text, and what stands between running text
+    ([0, 0, 0, 0, 60, 0.0, 2, 1.0, 50, 0.0], 1), ([0, 0, 0, 0, 35, 0.1, 60, 0.0, 3, 1.0], 1), ([0, 0, 0, 0, 14, 0.0, 40, 0.0, 30, 0.0], 1), ([0, 0, 0, 0, 11, 0.0, 2, 1.0, 12, 0.0], 1),
+    ([0, 0, 0, 0, 200, 0.05, 0, 0.0, 0, 0.0], 1), ([0, 0, 0, 0, 18, 0.2, 25, 0.0, 2, 1.0], 1), ([0, 0, 0, 0, 5, 0.0, 40, 0.0, 35, 0.0], 1), ([0, 0, 0, 0, 4, 0.0, 22, 0.0, 60, 0.0], 1),
+    ([0, 0, 0, 1, 4, 0.0, 3, 1.0, 45, 0.0], 1), ([0, 0, 0, 1, 3, 0.0, 50, 0.0, 38, 0.0], 1), ([0, 0, 0, 0, 12, 0.0, 0, 0.0, 2, 1.0], 1), ([0, 0, 0, 0, 16, 0.0, 1, 1.0, 1, 1.0], 1),
+    ([0, 0, 0, 0, 3, 1.0, 40, 0.0, 30, 0.0], 1), ([0, 0, 0, 0, 2, 0.6, 25, 0.0, 50, 0.0], 1), ([0, 0, 0, 0, 8, 0.0, 30, 0.0, 22, 0.1], 1), ([0, 0, 0, 1, 6, 0.0, 0, 0.0, 40, 0.0], 1),
+    ([0, 0, 0, 0, 22, 0.5, 40, 0.0, 30, 0.0], 1), ([0, 0, 0, 0, 1, 0.0, 30, 0.0, 30, 0.0], 1),
+    ([0, 0, 0, 0, 30, 0.05, 50, 0.0, 4, 1.0], 1), ([0, 0, 0, 0, 15, 0.0, 12, 0.0, 2, 1.0], 1), ([0, 0, 0, 0, 40, 0.0, 30, 0.0, 0, 0.0], 1), ([0, 0, 0, 0, 25, 0.0, 3, 0.0, 6, 0.0], 1),
+    ([0, 0, 0, 0, 13, 0.0, 40, 0.0, 1, 0.0], 1), ([0, 0, 0, 0, 50, 0.3, 8, 0.0, 1, 1.0], 1),
+    ([0, 0, 0, 0, 4, 1.0, 60, 0.0, 55, 0.0], 1), ([0, 0, 0, 0, 3, 1.0, 20, 0.0, 18, 0.0], 1), ([0, 0, 0, 1, 1, 0.0, 2, 0.0, 20, 0.0], 1), ([0, 0, 0, 0, 2, 0.0, 90, 0.0, 80, 0.0], 1),
+    ([0, 0, 0, 1, 1, 0.0, 1, 1.0, 20, 0.0], 1), ([0, 0, 0, 1, 3, 0.0, 2, 1.0, 60, 0.0], 1), ([0, 0, 0, 1, 2, 0.0, 2, 1.0, 35, 0.0], 1),
 ]
-DEPTH, LEAF = 6, 2
+DEPTH, LEAF = 8, 1
 
 
 def grown(rows: list[tuple[list[float], int]], depth: int = DEPTH):

@@ -146,6 +146,71 @@ def test_attributes_of_paragraphs():
         assert html.main_text(f"<article><p {attrs}>Kept text.</p></article>") == "Kept text.", attrs
 
 
+LONG = "The river rose in the night, and the old stone bridge was closed to all until the morning came."
+MORE = "Nobody in the village had seen it so high before; the mill by the weir stood in the water for days."
+#: Pages by hand with their main text; | parts blocks.
+PAGES = [
+    (f"<article><p>Two words and nine more make eleven of them here.</p><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></article>", "Two words and nine more make eleven of them here.|One|Two"),
+    ("<article><p>Short.</p><li><a href=1>A linked item</a></li></article>", "Short.|A linked item"),
+    ("<article><p>Short.</p><p>See <a href=1>the whole report</a></p></article>", "Short.|See the whole report"),
+    (f"<article><p><a href=1>{LONG}</a></p></article>", LONG),
+    (f"<article><p>{LONG}<svg/></p><p>{MORE}</p></article>", f"{LONG}|{MORE}"),
+    (f"<article><p>{LONG}</p><iframe src=x/><p>{MORE}</p></article>", f"{LONG}|{MORE}"),
+    (f"<article><p>{LONG}</p><textarea><p>{MORE}</p></article>", f"{LONG}|{MORE}"),
+    (f"<article><div title='the hidden valley'>{LONG}</div></article>", LONG),
+    (f"<article><div aria-hidden=false>{LONG}</div><div aria-hidden=true>{MORE}</div></article>", LONG),
+    (f"<article><section id='social-history'><p>{LONG}</p></section></article>", LONG),
+    (f"<article><div data-id=comment data-class='ad'>{LONG}</div></article>", LONG),
+    (f"<article><div class='related-work'>{LONG}</div><div class='reply-brief'>{MORE}</div></article>", f"{LONG}|{MORE}"),
+    (f"<article><p class=advert>{LONG}</p><p hidden>{LONG}</p><p>{MORE}</p></article>", MORE),
+    (f"<article><p>{LONG}</p><div class='comment-list'><p>{MORE}</p></div></article>", LONG),
+    (f"<article><p>{LONG}</p><div class='social-share-buttons'>{MORE}</div><div id=comment-12>{MORE}</div></article>", LONG),
+    (f"<article><p>{LONG}</p><div class='site-footer'>{MORE}</div><div id='main_nav'>{MORE}</div></article>", LONG),
+    (f"<article><p>{LONG}</p><div class='cookie-notice-wrapper'>{MORE}</div></article>", LONG),
+    (f"<main><h1>Title</h1><p>{LONG}</p></main><div class='nav-bar'><a href=/>Home</a></div>", f"Title|{LONG}"),
+    (f"<main><p>{LONG}</p><aside>{MORE}</aside></main>", LONG),
+    (f"<main><p>{LONG}</p><form><label>Your name</label><input></form><p>{MORE}</p></main>", f"{LONG}|{MORE}"),
+    (f"<header><p>{MORE}</p></header><article><header><h1>Title</h1></header><p>{LONG}</p></article>", LONG),
+    (f"<article><table><tr><td>One</td><td>2</td></tr></table><p>{LONG}</p></article>", f"One|2|{LONG}"),
+    (f"<article><p>a&amp;b &#233; &lt;i&gt;</p><pre>x\n  y</pre></article>", "a&b é <i>|x y"),
+    (f"<article><p>{LONG}<p>{MORE}</article>", f"{LONG}|{MORE}"),
+    (f"<article><p>{LONG}</p><blockquote>{MORE}</blockquote><figcaption>A mill</figcaption></article>", f"{LONG}|{MORE}|A mill"),
+    (f"<article><p>{LONG}</p><noscript>{MORE}</noscript><template>{MORE}</template><script>if (a<b) x()</script></article>", LONG),
+    (f"<article><p>{LONG}</p><!-- <p>{MORE}</p> --></article>", LONG),
+    (f"<ARTICLE><P>{LONG}</P><DIV CLASS=AD>{MORE}</DIV></ARTICLE>", LONG),
+    # no article is marked
+    (f"<div><a href=/>Home</a></div><div><a href=1>News</a></div><h1>Title</h1><p>{LONG}</p><p>{MORE}</p>", f"Title|{LONG}|{MORE}"),
+    (f"<p>{LONG}</p><p>See <a href=1>here</a></p><p>{MORE}</p>", f"{LONG}|See here|{MORE}"),
+    (f"<p>{LONG}</p><p>Yes.</p><p>{MORE}</p>", f"{LONG}|Yes.|{MORE}"),
+    (f"<li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li><p>{LONG}</p>", LONG),
+    (f"<p>{LONG}</p><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li>", LONG),
+    (f"<p>{LONG}</p><div>Page 2</div><div><a href=3>Next</a></div>", LONG),
+    (f"<div class=menu>{LONG}</div><p>{MORE}</p>", MORE),
+    (f"<div>Log in</div><div>Help</div><p>{LONG}</p><p>{MORE}</p>", f"{LONG}|{MORE}"),
+    (f"<p>{LONG}</p><footer>{MORE}</footer>", LONG),
+    ("<div>Log in</div><div><a href=1>Home</a></div>", ""),
+    ("", ""),
+]
+
+
+@pytest.mark.parametrize("page, want", PAGES)
+def test_pages_by_hand(page, want):
+    assert html.main_text(page).split("\n\n") == want.split("|")
+
+
+def test_neighbours_decide_where_no_article_is_marked():
+    """The same block is text between paragraphs and menu between links; in an article it is text in both."""
+    row = lambda inside, near, density: html.is_text([0, inside, 0, 0, 3, 1.0, near, density, near, density])
+    assert row(0, 40, 0.0) and not row(0, 3, 1.0) and row(1, 40, 0.0) and row(1, 3, 1.0)
+    for words in (1, 5, 11, 30, 300):
+        for density in (0.0, 0.4, 1.0):
+            for near in (0, 2, 12, 80):
+                for links in (0.0, 1.0):
+                    for heading in (0, 1):
+                        assert html.is_text([0, 1, 0, heading, words, density, near, links, near, links])
+                        assert not html.is_text([1, 1, 0, heading, words, density, near, links, near, links])
+
+
 def test_labelled_blocks_are_learnt():
     assert np.mean([html.is_text(x) == bool(y) for x, y in html.LABELLED]) >= 0.95
 
