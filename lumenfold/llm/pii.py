@@ -6,8 +6,14 @@ there by a keyed Feistel network with cycle walking, and written back in the sam
 again. The permutation depends on key, kind and format only, so equal values have equal
 pseudonyms in all documents, different values different ones, and the key's holder can invert them.
 
-One whole text at a time, without a shuffle. Null and empty texts give the empty text; repeated
-rows are treated alike; only doc_id and text are read, so other columns cannot clash.
+A format is kind, separators and widths: a day written with one digit stays one with one digit, so the same date in another
+width is another value. Mail names are permuted letter by letter within their case; Me@x.org and me@x.org are
+two values. A dotted quad after a word for a version is none of ours.
+
+One whole text at a time, in one task, without a shuffle; time and memory grow with the text alone. Defined results: null and
+empty texts give the empty text; repeated rows are treated alike; an empty table gives an empty one; of finds that overlap
+the first counts, at one place that of the kind tried first; only doc_id and text are read, so other columns cannot clash. The
+operator needs a key: treated() fails without one.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import types as T
 
 from . import common as c
 
-#: The session setting that holds the key, and what stands in for it where none is set (tests, trials).
+#: The session setting that holds the key, and the key of query() where none is set: its tables are invented.
 KEY_SETTING, TRIAL_KEY = "spark.lumenfold.pii.key", "trial key, not for production"
 ROUNDS = 8
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
@@ -128,6 +134,27 @@ def date_of(said: str) -> tuple[datetime.date | None, str]:
     return None, sep
 
 
+#: Words before a dotted quad that is a version.
+VERSION = re.compile(r"(?i)(?<![a-z])(?:v|ver|version|release|rev|build)[.:=]?[\x20\t]*\Z")
+
+
+def widths(said: str) -> tuple[int, int]:
+    """Digits of the day and month, in the order of writing; 2 and 2 for ISO dates."""
+    return (2, 2) if "-" in said else tuple(map(len, re.split(r"[./]", said)[:2]))
+
+
+def dated(day: datetime.date, form: str, size: tuple[int, int]) -> str | None:
+    """A date as form and widths write it; None where it does not fit."""
+    if form == "-":
+        return day.isoformat()
+    if form == "d/" and day.day <= 12:
+        return None  # would be read as month/day
+    two = (day.month, day.day) if form == "/" else (day.day, day.month)
+    if any(n == 1 and x > 9 for n, x in zip(size, two, strict=True)):
+        return None
+    return form[-1].join([*(str(x).zfill(n) for n, x in zip(size, two, strict=True)), str(day.year)])
+
+
 def valid_iban(bare: str) -> bool:
     return 15 <= len(bare) <= 34 and mod97(bare) == 1
 
@@ -183,14 +210,10 @@ def replaced(kind: str, said: str, permute: Permute) -> str | None:
         day, sep = date_of(said)
         if day is None or not 0 <= (x := day.toordinal() - FIRST_DAY) < DAYS:
             return None
-        while True:
+        while True:  # walked on to a day that the same form and widths can write
             x = permute(x, DAYS, tweak)
-            day = datetime.date.fromordinal(FIRST_DAY + x)
-            if sep != "d/" or day.day > 12:  # walked on to a day that is again read as day/month
-                break
-        if sep == "d/":
-            return f"{day.day:02d}/{day.month:02d}/{day.year}"
-        return day.isoformat() if sep == "-" else f"{day.day:02d}.{day.month:02d}.{day.year}" if sep == "." else f"{day.month:02d}/{day.day:02d}/{day.year}"
+            if new := dated(datetime.date.fromordinal(FIRST_DAY + x), sep, widths(said)):
+                return new
     octets = [int(x) for x in said.split(".")]
     if max(octets) > 255 or any(len(x) > 1 and x[0] == "0" for x in said.split(".")):
         return None
@@ -206,6 +229,9 @@ def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, dict[
     place = 0
     while m := FOUND.search(text, place):
         kind = next(k for k in KINDS if m[k] is not None)
+        if kind == "ip" and VERSION.search(text, max(0, m.start() - 12), m.start()):
+            place = m.end()
+            continue
         tried = ends(kind, m[0])
         n, new = next(((i, x) for i, said in enumerate(tried) if (x := replaced(kind, said, permute)) is not None), (0, None))
         while new is not None and kind == "iban" and any(valid_iban(x.replace(" ", "")) for x in ends(kind, new + m[0][len(new) :])[:n]):
@@ -226,16 +252,19 @@ ARROW = pa.struct([("text", pa.string())] + [(f"n_{k}", pa.int64()) for k in KIN
 HINT = re.compile(r"\d[\x20().-]*\d|@")
 
 
-def treated(spark: SparkSession, text: str = "text"):
+def treated(spark: SparkSession, text: str = "text", key: str | None = None):
     """A struct of the pseudonymised text and the counts."""
-    key = spark.conf.get(KEY_SETTING, TRIAL_KEY).encode()
+    key = key or spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"pseudonyms need a key: set {KEY_SETTING}")
+    secret = key.encode()
 
     @F.arrow_udf(RESULT)
     def treat(texts: pa.Array) -> pa.Array:
         rows = []
         for x in texts:
             said = x.as_py() or ""
-            new, counts = pseudonymised(said, key) if HINT.search(said) else (said, {})
+            new, counts = pseudonymised(said, secret) if HINT.search(said) else (said, {})
             rows.append({"text": new} | {f"n_{k}": counts.get(k, 0) for k in KINDS})
         return pa.array(rows, ARROW)
 
@@ -244,4 +273,4 @@ def treated(spark: SparkSession, text: str = "text"):
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", treated(spark).alias("_t")).select("doc_id", "_t.*")
+    return docs.select("doc_id", treated(spark, key=spark.conf.get(KEY_SETTING, None) or TRIAL_KEY).alias("_t")).select("doc_id", "_t.*")

@@ -1,6 +1,8 @@
 """Each operator on the small tables against a plain version."""
 
+import datetime
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -89,6 +91,68 @@ def test_days_before_months():
     assert pii.pseudonymised("31/02/1990 13/13/1990", key)[0] == "31/02/1990 13/13/1990"
 
 
+def test_dates_keep_their_widths():
+    key = b"k"
+    for text in ("5.3.2001", "15.3.2001", "5.11.2001", "05.03.2001", "31.12.1999", "3/4/2021", "03/04/2021", "12/4/2021", "25/4/2021", "25/12/2021", "2001-03-05"):
+        seen = set()
+        for year in range(1950, 2050):
+            said = text.replace("2001", str(year)).replace("2021", str(year)).replace("1999", str(year))
+            new, counts = pii.pseudonymised(f"on {said}, he", key)
+            assert counts["date"] == 1 and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", f"on {said}, he"), (said, new)
+            assert pii.pseudonymised(new, key, back=True)[0] == f"on {said}, he"
+            seen.add(new)
+        assert len(seen) == 100
+    iso, dots = (pii.pseudonymised(x, key)[0] for x in ("2001-03-05", "05.03.2001"))
+    assert iso.split("-")[::-1] == dots.split(".")  # one date, one pseudonym, in formats of one width
+
+
+def test_versions_are_no_addresses():
+    for text in ("version 1.2.3.4", "v1.2.3.4", "Release: 10.0.0.1", "build 1.2.3.4 and rev. 5.6.7.8"):
+        assert pii.pseudonymised(text, b"k")[0] == text
+    for text in ("at 1.2.3.4", "server 10.0.0.1", "dev 1.2.3.4"):
+        assert pii.pseudonymised(text, b"k")[1]["ip"] == 1
+
+
+def test_no_pseudonyms_without_a_key(spark):
+    with pytest.raises(ValueError, match="key"):
+        pii.treated(spark)
+
+
+def plain_finds(text):
+    """Cards, ISO dates and numbers of social security, each by a plain rule of its own."""
+    out = []
+    for m in re.finditer(r"(?<![\w-])\d{16}(?![\w-])", text):
+        n = [int(x) for x in m[0]]
+        if sum(n[1::2]) + sum(sum(divmod(2 * x, 10)) for x in n[::2]) and (sum(n[1::2]) + sum(sum(divmod(2 * x, 10)) for x in n[::2])) % 10 == 0 and len(set(n)) > 1:
+            out.append(m[0])
+    for m in re.finditer(r"(?<![\d.-])(\d{4})-(\d{2})-(\d{2})(?![\d-]|\.\d)", text):
+        try:
+            if 1900 <= datetime.date(*map(int, m.groups())).year < 2100:
+                out.append(m[0])
+        except ValueError:
+            pass
+    for m in re.finditer(r"(?<![\d-])(\d{3})-(\d{2})-(\d{4})(?![\d-])", text):
+        if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
+            out.append(m[0])
+    return out
+
+
+def test_finds_against_plain_rules():
+    """Random texts of parts that may stand alone: what the rules find is gone, all else stays."""
+    rng = np.random.default_rng(12)
+    digits = lambda n: "".join(str(x) for x in rng.integers(0, 10, n))
+    parts = [lambda: digits(16), lambda: (x := digits(15)) + str(pii.luhn(x)), lambda: f"{rng.integers(1890, 2110)}-{rng.integers(0, 14):02d}-{rng.integers(0, 33):02d}", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: "word", lambda: digits(4)]
+    for _ in range(2000):
+        text = " , ".join(parts[rng.integers(len(parts))]() for _ in range(4))
+        new, counts = pii.pseudonymised(text, b"k")
+        found = plain_finds(text)
+        assert counts["card"] + counts["date"] + counts["ssn"] == len(found) == sum(counts.values()), text
+        for a, b in zip(text.split(" , "), new.split(" , "), strict=True):
+            assert a not in found or len(a) == len(b)
+            assert a in found or a == b
+        assert pii.pseudonymised(new, b"k", back=True)[0] == text
+
+
 def test_phones_with_single_digits():
     key = b"k"
     for phone in ("+33 6 12 34 56 78", "+33 1 23 45 67 89", "+33.6.12.34.56.78", "+46 8 123 456 78", "+61 2 9876 5432", "+31 6 12345678", "+55 11 9 1234 5678", "+33612345678", "+44 20 7946 0958"):
