@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the session names in spark.checkpoint.dir; one of this machine where it names none, as in tests."""
+    """The folder the session names in spark.checkpoint.dir; on a local master, one of this machine where it names none."""
     context = spark.sparkContext
-    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenfold-")
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="lumenfold-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
