@@ -6,10 +6,13 @@ rows; every labelled sentence that names an identity term is also scored with th
 each other term of its group, and the squared change of score is penalised, so that a group's
 name alone moves no score.
 
-Training reads at most SAMPLE rows of either label, chosen by a hash of doc_id, so the driver's
-share is bounded; scoring reads every whole text where it lies, without a shuffle.
+Training reads at most SAMPLE rows of either label, chosen by a hash of doc_id. Their texts stay on the executors: features
+are counted and tested there, and the driver gets, for each row, which of at most MOST_FEATURES it has, and how often
+each swap changes which of them; so what it holds is bounded however long the texts are. Scoring reads every whole text where it
+lies, in one task, without a shuffle.
 
-Null and empty texts have the score of no feature at all; a row is scored by its text alone, so
+Defined results: an empty table gives an empty one; only named columns are read, so others cannot clash; of rows that tie for the
+last place of the sample or of the features the order of hash or name decides. Null and empty texts have the score of no feature at all; a row is scored by its text alone, so
 equal texts have equal scores; with no labelled row of either kind every score is the base rate
 (0.5 with no label at all). doc_ids that occur more than once are scored row by row.
 """
@@ -18,21 +21,23 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as c
 
-#: Most training rows of each label.
+#: Most training rows of each label: the bound of the sample that a classifier may be fitted on.
 SAMPLE = 4000
 FOLDS = 5
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
+#: The size of the model: its features, the strongest by the test.
 MOST_FEATURES = 4000
 LEAST_TEST, LEAST_ROWS = 10.8, 4
 L2, COUNTERFACTUAL, ROUNDS = 1e-3, 1.0, 300
@@ -94,45 +99,55 @@ def chosen(texts: list[str], labels: list[int]) -> list[str]:
     return [f for _, f in sorted(scored)[:MOST_FEATURES]]
 
 
-def sparse(rows: Iterable[set[str]], at: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of every present feature."""
-    r, k = [], []
-    for i, row in enumerate(rows):
-        for f in row:
-            if (j := at.get(f)) is not None:
-                r.append(i)
-                k.append(j)
-    return np.array(r, dtype=np.int64), np.array(k, dtype=np.int64)
+def swaps(texts: Iterable[str], at: dict[str, int]) -> Iterator[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """Of each counterfactual pair, the model's features that the swap takes away and brings."""
+    place = lambda fs: tuple(sorted(at[f] for f in fs if f in at))
+    for t in texts:
+        for mine, other in counterfactuals(t):
+            yield place(mine - other), place(other - mine)
 
 
-def trained(texts: list[str], labels: list[int], penalty: float = COUNTERFACTUAL) -> tuple[dict[str, float], float]:
-    """Weights by feature, and the intercept."""
+def fitted(size: int, rows: list[np.ndarray], labels: list[int], pairs: dict[tuple, int], penalty: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept. rows: the features of each text; pairs: how often a swap takes and brings features."""
     n1, n = sum(labels), len(labels)
-    if not n1 or n1 == n:
-        return {}, 0.0 if not n else (6.0 if n1 else -6.0)
-    names = chosen(texts, labels)
-    at = {f: j for j, f in enumerate(names)}
-    r, k = sparse((features(t) for t in texts), at)
+    r, k = np.repeat(np.arange(n), [len(x) for x in rows]), np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
     y = np.array(labels, dtype=float)
     weight = np.where(y > 0, 0.5 / n1, 0.5 / (n - n1))  # both labels count alike
-    pairs = [p for t in texts for p in counterfactuals(t)]
-    r0, k0 = sparse((a for a, _ in pairs), at)
-    r1, k1 = sparse((b for _, b in pairs), at)
-    w, bias = np.zeros(len(names)), 0.0
-    m, v, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
+    kinds = sorted(pairs)
+    often = np.array([pairs[x] for x in kinds], dtype=float)
+    r0, r1 = (np.repeat(np.arange(len(kinds)), [len(x[i]) for x in kinds]) for i in (0, 1))
+    k0, k1 = (np.array([j for x in kinds for j in x[i]], np.int64) for i in (0, 1))
+    w, bias = np.zeros(size), 0.0
+    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     score = lambda rows, cols, size: np.bincount(rows, w[cols], size)
     for step in range(1, ROUNDS + 1):  # Adam on the whole sample
         p = 1 / (1 + np.exp(-np.clip(score(r, k, n) + bias, -30, 30)))
         error = weight * (p - y)
-        grad = np.bincount(k, error[r], len(names)) + L2 * w
-        if pairs:
-            change = (score(r0, k0, len(pairs)) - score(r1, k1, len(pairs))) * (2 * penalty / len(pairs))
-            grad += np.bincount(k0, change[r0], len(names)) - np.bincount(k1, change[r1], len(names))
+        grad = np.bincount(k, error[r], size) + L2 * w
+        if kinds:
+            change = (score(r0, k0, len(kinds)) - score(r1, k1, len(kinds))) * often * (2 * penalty / often.sum())
+            grad += np.bincount(k0, change[r0], size) - np.bincount(k1, change[r1], size)
         gb = error.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         bias -= 0.1 * (mb / (1 - 0.9**step)) / (math.sqrt(vb / (1 - 0.999**step)) + 1e-8)
-    return {f: float(w[j]) for f, j in at.items()}, float(bias)
+    return w, float(bias)
+
+
+def one_sided(n: int, n1: int) -> float:
+    """The intercept where there is no label to tell from another."""
+    return 0.0 if not n else (6.0 if n1 else -6.0)
+
+
+def trained(texts: list[str], labels: list[int], penalty: float = COUNTERFACTUAL) -> tuple[dict[str, float], float]:
+    """Weights by feature, and the intercept, from texts at hand; model() gives the same from a table."""
+    n1, n = sum(labels), len(labels)
+    if not n1 or n1 == n:
+        return {}, one_sided(n, n1)
+    at = {f: j for j, f in enumerate(chosen(texts, labels))}
+    rows = [np.array(sorted(at[f] for f in features(t) if f in at), np.int64) for t in texts]
+    w, bias = fitted(len(at), rows, labels, Counter(swaps(texts, at)), penalty)
+    return {f: float(w[j]) for f, j in at.items()}, bias
 
 
 class Scorer:
@@ -155,18 +170,52 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def featured(texts: pa.Array) -> pa.Array:
+    return pa.array([sorted(features(x.as_py() or "")) for x in texts], pa.list_(pa.string()))
+
+
+def strongest(rows: DataFrame, n: int, n1: int) -> list[str]:
+    """chosen() of a table (text, toxic): at most MOST_FEATURES names."""
+    counts = rows.select("toxic", F.explode(featured("text")).alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("both"))
+    a, both = F.col("a").cast("double"), F.col("both").cast("double")
+    log = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
+    e = both / n
+    g = 2 * (log(a, e * n1) + log(both - a, e * (n - n1)) + F.when(both < n, log(n1 - a, (1 - e) * n1) + log((n - n1) - (both - a), (1 - e) * (n - n1))).otherwise(0.0))
+    strong = counts.filter(both >= LEAST_ROWS).withColumn("g", F.round(g, 9)).filter(F.col("g") >= LEAST_TEST)
+    return [r["f"] for r in strong.orderBy(F.col("g").desc(), "f").limit(MOST_FEATURES).collect()]
+
+
 def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
-    """Trains on rows out of the held-out fold: at most `sample` of either label, a bound for the driver."""
+    """Trains on rows out of the held-out fold: at most `sample` of either label, and 2 * sample where doc_ids repeat."""
     usable = labels.filter((held_out() == F.lit(False)) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     picks = [usable.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     picked = F.broadcast(picks[0].unionByName(picks[1]))  # at most 2 * sample rows of two numbers
     rows = docs.select("doc_id", c.text_of().alias("text")).join(picked, "doc_id").filter(F.length("text") > 0)
-    rows = rows.select("text", "toxic").orderBy(F.xxhash64("text"), "text", "toxic").limit(2 * sample).collect()
-    by = defaultdict(list)
-    for r in rows:
-        by[r["toxic"]].append(r["text"])
-    texts = by[0] + by[1]
-    return trained(texts, [0] * len(by[0]) + [1] * len(by[1]))
+    rows = c.written(rows.select("text", "toxic", F.xxhash64("text", "toxic").alias("h"), F.monotonically_increasing_id().alias("i")))
+    if rows.count() > 2 * sample:
+        rows = rows.join(F.broadcast(rows.select("h", "i").orderBy("h", "i").limit(2 * sample)), ["h", "i"])
+    n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n1 or n1 == n:
+        return {}, one_sided(n, n1)
+    at = {f: j for j, f in enumerate(strongest(rows, n, n1))}
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(at[f] for f in features(x.as_py()) if f in at) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "h", "has"])
+
+    def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = Counter(swaps((x.as_py() for x in batch.column(0)), at))
+            lost, gained = zip(*pairs, strict=True) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(lost, pa.list_(pa.int32())), pa.array(gained, pa.list_(pa.int32())), pa.array(list(pairs.values()), pa.int64())], names=["lost", "gained", "n"])
+
+    has = rows.select("text", "toxic", "h").mapInArrow(placed, "toxic int, h long, has array<int>").collect()
+    has = sorted((r["toxic"], r["h"], r["has"]) for r in has)
+    pairs = rows.select("text").mapInArrow(swapped, "lost array<int>, gained array<int>, n long").groupBy("lost", "gained").agg(F.sum("n").alias("n")).collect()
+    w, bias = fitted(len(at), [np.array(x[2], np.int64) for x in has], [x[0] for x in has], {(tuple(r["lost"]), tuple(r["gained"])): r["n"] for r in pairs}, COUNTERFACTUAL)
+    return {f: float(w[j]) for f, j in at.items()}, bias
 
 
 def held_out():

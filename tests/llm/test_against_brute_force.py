@@ -113,6 +113,18 @@ def test_versions_are_no_addresses():
         assert pii.pseudonymised(text, b"k")[1]["ip"] == 1
 
 
+def test_written_tables_can_be_removed(spark):
+    from pathlib import Path
+
+    from lumenfold.llm import common
+
+    common.written(spark.range(3))
+    path = Path(common.WRITTEN[-1].removeprefix("file:"))
+    assert path.exists()
+    common.forget(spark)
+    assert not path.exists() and not common.WRITTEN
+
+
 def test_no_pseudonyms_without_a_key(spark):
     with pytest.raises(ValueError, match="key"):
         pii.treated(spark)
@@ -771,6 +783,22 @@ def test_toxicity_is_learnt(spark):
     assert (zeros >= 0.5).mean() < 0.05
 
 
+def test_training_on_a_table_is_training_on_its_texts(spark, small, docs):
+    """The distributed counts give the model that a plain loop over the same texts gives."""
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    told = {r.doc_id: r.toxic for r in labels.collect() if r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5}
+    extra = [(10**6 + i, f"the {('muslim', 'christian')[i % 2]} neighbour {i} is {('awful', 'kind')[i % 2]} " + str(docs[i][1])[:200]) for i in range(60)]
+    texts = [(i, t) for i, t in docs if i in told] + extra
+    told |= {i: 1 - i % 2 for i, _ in extra}
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    more = labels.select("doc_id", "toxic").unionByName(spark.createDataFrame([(i, told[i]) for i, _ in extra if zlib.crc32(str(i).encode()) % 5], "doc_id long, toxic int"))
+    pairs = [(t, told[i]) for i, t in texts if t and zlib.crc32(str(i).encode()) % 5]
+    got, bias = toxicity.model(df, more)
+    want, bias_ = toxicity.trained(*map(list, zip(*pairs, strict=True)))
+    assert got.keys() == want.keys() and len(want) > 5 and abs(bias - bias_) < 1e-6
+    assert all(abs(got[f] - want[f]) < 1e-6 for f in want)
+
+
 def test_names_of_groups_do_not_score():
     """Labels that go with one group's name: without the penalty the name scores, with it hardly."""
     rng = np.random.default_rng(4)
