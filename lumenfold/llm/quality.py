@@ -6,10 +6,11 @@ Every line with a word is judged on its own: it fails as
   punctuation  symbol marks or doubled exclamation marks on much of its words, shouting (half or
                more of its words in capitals), or many words without one sentence mark,
   boilerplate  a licence, cookie or copyright phrase in a short line.
-Failing lines are removed, lines without a word stay, a text in which no line fails stays as it is; a document that loses more than `most_lost` of its word characters
-is rejected, as is one that fails the base rules.
+Failing lines are removed, lines without a word stay, a text in which no line fails stays as it is; a document that loses more than
+`most_lost` of its word characters is rejected, as is one that fails the base rules.
 
-Null and empty texts have no words and are rejected. Repeated rows are judged alike. Columns
+Defined results: null and empty texts have no words and are rejected. Repeated rows are judged alike; a loss of just `most_lost` is kept. A
+text is judged whole, in one task, in n log n of its words, with some 50 bytes of memory a word. An empty table gives an empty one. Columns
 with clashing names are safe: the row is carried as one struct beside the work columns.
 """
 
@@ -135,12 +136,16 @@ g AS (SELECT rid, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] ||
       FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) i FROM w)),
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) n FROM g) WHERE n > 1),
 p AS (SELECT rid, count(DISTINCT i + k) n FROM r, range(5) t(k) GROUP BY rid),
-l AS (SELECT rid, unnest(string_split(t, chr(10))) l FROM d),
-m AS (SELECT rid, l, len(string_split(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')), ' ')) n FROM l
-      WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+l AS (SELECT rid, unnest(string_split(t, chr(10))) l, generate_subscripts(string_split(t, chr(10)), 1) i FROM d),
+f AS (SELECT rid, l, i, list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+a AS (SELECT rid, l, i, len(ws) n, len(list_filter(ws, lambda x: regexp_full_match(x, '[^\p{Ll}\p{Lu}]*\p{Lu}[^\p{Ll}\p{Lu}]*\p{Lu}[^\p{Ll}]*'))) caps,
+        length(l) <= 40 AND len(ws) <= 4 AND regexp_full_match(l, '[^.!?…:;,。！？、，；：]*\p{L}[^.!?…:;,。！？、，；：]*') label FROM f),
+b AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) - row_number() OVER (PARTITION BY rid, label ORDER BY i) g FROM a),
+m AS (SELECT *, label AND count(*) OVER (PARTITION BY rid, label, g) >= 4 menu FROM b),
 q AS (SELECT rid, count(*) - count(DISTINCT l) dups,
         sum(length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g'))) FILTER (WHERE NOT (
-          (len(string_split_regex(l, '[\x20\x09-\x0D][|»›·•][\x20\x09-\x0D]')) - 1) * 4 >= n
+          menu OR (caps >= 3 AND caps * 2 >= n)
+          OR (len(string_split_regex(l, '[\x20\x09-\x0D][|»›·•][\x20\x09-\x0D]')) - 1) * 4 >= n
           OR length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) * 2 >= n
           OR (len(string_split(l, '!!')) - 1) * 2 >= n
           OR (n >= 10 AND NOT regexp_matches(l, '[.!?…:;,]'))

@@ -642,6 +642,11 @@ def test_planted_menus_and_shouting(spark):
         assert abs(got[i].lost - (1 - chars(want) / chars(text))) < 1e-9
     assert len(menus_and_shouts(texts[0])) == 3 and len(menus_and_shouts(texts[6])) == 4 and len(menus_and_shouts(texts[4])) == 6
     assert not got[3].kept and not got[10].kept and got[4].kept and got[9].kept
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    same(df.sparkSession.createDataFrame([tuple(got[i][k] for k in quality.COLUMNS) for i in got], "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean").toPandas(), con.sql(quality.SQL).df())
     same_lines = {r.doc_id: [x for x in r.text.split("\n") if x.strip()] for r in quality.stage(spark, df, "").collect()}
     assert same_lines[0] == PROSE and 3 not in same_lines
 
