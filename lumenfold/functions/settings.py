@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The forms of a setting.
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 WIDTH = r"^([0-9.]+)[ \t-]*scan_resolution$"
 AT = r"(?i)^\s*([0-9]+\.?[0-9]*|\.[0-9]+)\s*mm\s*@\s*([0-9]+\.?[0-9]*|\.[0-9]+)\s*m\s*$"
@@ -68,11 +69,23 @@ class PointSettings:
 
 @dataclass(frozen=True)
 class ImageSettings:
-    width: int = 112
-    height: int = 64
+    """width: as image_width() reads it. height: rows, 0 for the view's ratio rounded down, None for square pixels rounded up.
+    scan_resolution and rotate: texts as their parsers read them, with auto. reduce: whether images finer than the output shrink."""
+
+    width: int | str = 112
+    height: int | None = 64
+    scan_resolution: str = "auto"
+    rotate: str = "False"
+    method: str = "raw"
     features: Sequence[str] = ("intensity",)
     fill: str | float = "max"
     percentiles: tuple[float, float] = (0.05, 0.95)
+    patches: int = 10
+    reduce: bool = False
+
+    def __post_init__(self):
+        if self.method not in ("raw", "nanconv"):
+            raise ValueError(f"no such way to rasterise in a run: {self.method!r}")
 
 
 @dataclass(frozen=True)

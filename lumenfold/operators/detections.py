@@ -32,11 +32,12 @@ def boxes_to_image(found: DataFrame, cut: DataFrame) -> DataFrame:
     return found.join(at, ["image_id", "tile_id"]).withColumns(moved).drop("tx", "ty")
 
 
-def masks_to_image(pixels: DataFrame, cut: DataFrame, width: int, height: int) -> DataFrame:
-    """Mask pixels in tile pixels to image pixels; what falls outside of the image goes."""
-    at = cut.select("image_id", "tile_id", F.col("x0").alias("tx"), F.col("y0").alias("ty"))
+def masks_to_image(pixels: DataFrame, cut: DataFrame, width: int | Column, height: int | Column) -> DataFrame:
+    """Mask pixels in tile pixels to image pixels; what falls outside of the image goes. Fails on a tile that starts below 0."""
+    offset = lambda k, to: F.when(F.col(k) < 0, F.raise_error(F.lit("a tile starts outside of its image"))).otherwise(F.col(k)).alias(to)
+    at = cut.select("image_id", "tile_id", offset("x0", "tx"), offset("y0", "ty"))
     moved = pixels.join(at, ["image_id", "tile_id"]).withColumns({"r": F.col("r") + F.col("ty"), "c": F.col("c") + F.col("tx")}).drop("tx", "ty")
-    return moved.filter(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1))
+    return moved.filter(F.col("r").between(F.lit(0), height - F.lit(1)) & F.col("c").between(F.lit(0), width - F.lit(1)))
 
 
 # Classes and cuts
@@ -89,7 +90,8 @@ def suppressed(found: DataFrame, threshold: float, keys: Sequence[str] = ("image
     """Greedy non-maximum suppression by descending score (ties by det_id), within each image and class.
 
     Boxes meet in the grid cells that both touch. Each box then knows the better boxes that overlap
-    it; a fold over the ranked boxes of a group keeps those that no kept box suppresses.
+    it; a fold over the ranked boxes of a group keeps those that no kept box suppresses. A det_id names a box
+    within its image only.
     """
     keys = list(keys)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "det_id"))
@@ -103,8 +105,21 @@ def suppressed(found: DataFrame, threshold: float, keys: Sequence[str] = ("image
     boxes = F.sort_array(F.collect_list(F.struct("rank", "det_id", F.coalesce("better", F.array().cast("array<int>")).alias("better"))))
     start = F.struct(F.array().cast("array<int>").alias("ranks"), F.array().cast("array<bigint>").alias("ids"))
     step = lambda s, x: F.when(F.arrays_overlap(s["ranks"], x["better"]), s).otherwise(F.struct(F.array_append(s["ranks"], x["rank"]).alias("ranks"), F.array_append(s["ids"], x["det_id"].cast("bigint")).alias("ids")))
-    kept = listed.groupBy(*keys).agg(boxes.alias("boxes")).select(F.explode(F.aggregate("boxes", start, step)["ids"]).alias("det_id"))
-    return found.join(kept, "det_id", "left_semi")
+    kept = listed.groupBy(*keys).agg(boxes.alias("boxes")).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.explode(F.aggregate("boxes", start, step)["ids"]).alias("_k"))
+    return found.join(kept, [found[k].eqNullSafe(kept[f"_k_{k}"]) for k in keys] + [found["det_id"] == kept["_k"]], "left_semi")
+
+
+def area_ranked(found: DataFrame) -> DataFrame:
+    """Adds place: boxes of an image by area, largest first, ties by det_id."""
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy(box_area().desc(), "det_id")))
+
+
+def of_all_tiles(tables: Sequence[DataFrame]) -> DataFrame:
+    """Detections of several tiles in one table, nothing dropped."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 # Masks
@@ -114,6 +129,26 @@ def mask_pixels(found: DataFrame) -> DataFrame:
     return found.select("det_id", "image_id", "x0", "x1", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("r")).select("det_id", "image_id", "r", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("c"))
 
 
+def distinct_pixels(pixels: DataFrame) -> DataFrame:
+    """Each pixel of a mask once."""
+    return pixels.dropDuplicates(["det_id", "image_id", "r", "c"])
+
+
+def set_pixels(dense: DataFrame, values: str, width: int) -> DataFrame:
+    """(image_id, r, c) of what is above zero in row-major arrays; NaN is not."""
+    cells = dense.select("image_id", F.posexplode(values).alias("p", "e")).filter((F.col("e") > 0) & ~F.isnan("e"))
+    return cells.select("image_id", F.floor(F.col("p") / width).cast("int").alias("r"), (F.col("p") % width).cast("int").alias("c"))
+
+
+def contours(pixels: DataFrame) -> DataFrame:
+    """The pixels of each mask with a side on the outside of it: (image_id, det_id, r, c)."""
+    own = pixels.select("image_id", "det_id", "r", "c").distinct()
+    sides = F.array(*[F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))])
+    met = own.select("image_id", "det_id", F.explode(sides).alias("s")).select("image_id", "det_id", "s.r", "s.c")
+    inner = met.groupBy("image_id", "det_id", "r", "c").agg(F.count(F.lit(1)).alias("n")).filter("n = 4").drop("n")
+    return own.join(inner, ["image_id", "det_id", "r", "c"], "left_anti")
+
+
 def ranked_by_size(pixels: DataFrame, distinct: bool = False) -> DataFrame:
     """(image_id, det_id, n, instance): masks from 1 by pixel count, largest first, ties by the later det_id."""
     n = F.count_distinct("r", "c") if distinct else F.count(F.lit(1))
@@ -127,17 +162,17 @@ def painted(pixels: DataFrame, found: DataFrame) -> DataFrame:
 
     Painting from large to small leaves the mask of the largest rank, so a maximum says it all.
     """
-    ranks = ranked_by_size(pixels).join(found.select("det_id", "class_id", "score"), "det_id")
+    ranks = ranked_by_size(pixels).join(found.select("image_id", "det_id", "class_id", "score"), ["image_id", "det_id"])
     by = pixels.join(ranks.select("image_id", "det_id", "instance", "class_id", "score"), ["image_id", "det_id"])
     top = by.groupBy("image_id", "r", "c").agg(F.max("instance").alias("instance"), F.max_by("class_id", "instance").alias("class_id"), F.max_by("score", "instance").alias("confidence"))
     return top.withColumn("confidence", F.col("confidence").cast("float"))
 
 
-def lifted(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """Points with instance, class_id and confidence of their pixel: 0 on background, -1 out of view. One join for all."""
-    at = labels.select(F.col("image_id").alias("station_id"), F.col("r").alias("v"), F.col("c").alias("u"), "instance", "class_id", "confidence")
+def lifted(points: DataFrame, labels: DataFrame, by: str = "station_id") -> DataFrame:
+    """Points with instance, class_id and confidence of their pixel in the image that `by` names: 0 on background, -1 out of view. One join for all."""
+    at = labels.select(F.col("image_id").alias(by), F.col("r").alias("v"), F.col("c").alias("u"), "instance", "class_id", "confidence")
     got = lambda k: F.when(F.col("valid"), F.coalesce(k, F.lit(0))).otherwise(-1).alias(k)
-    return points.join(at, ["station_id", "v", "u"], "left").select(*points.columns, got("instance"), got("class_id"), got("confidence").cast("float").alias("confidence"))
+    return points.join(at, [by, "v", "u"], "left").select(*points.columns, got("instance"), got("class_id"), got("confidence").cast("float").alias("confidence"))
 
 
 # Run lengths

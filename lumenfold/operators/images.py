@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from .quantiles import quantiles
 
 
 def raster(points: DataFrame, features: list[str], by: str = "station_id") -> DataFrame:
@@ -75,7 +76,7 @@ def scaled(cells: DataFrame, top: float | None = 1.0) -> DataFrame:
 def percentile_scaled(cells: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Clips to two exact percentiles of the image and scales to 0..1; NaN stays."""
     real = F.when(~F.isnan("value"), F.col("value"))
-    cut = cells.groupBy("image_id").agg(F.percentile(real, F.lit(low)).alias("p0"), F.percentile(real, F.lit(high)).alias("p1"))
+    cut = quantiles(cells, "image_id", real, {"p0": low, "p1": high})
     inside = F.greatest("p0", F.least("p1", "value"))
     span = F.col("p1") - F.col("p0")
     out = F.when(F.isnan("value"), F.col("value")).when(span == 0, 0.0).otherwise((inside - F.col("p0")) / span)
@@ -92,25 +93,47 @@ def lanczos(x: Column, lobes: int = 3) -> Column:
     return F.when(F.abs(x) < 1e-12, 1.0).when(F.abs(x) >= lobes, 0.0).otherwise(lobes * F.sin(a) * F.sin(a / lobes) / (a * a))
 
 
-def resized(cells: DataFrame, width: int, height: int, factor: float) -> DataFrame:
-    """Shrinks images by a separable three-lobe filter: taps over the source cells in reach, border cells repeated, weights summing to one."""
-    reach = math.ceil(3 / factor)
-    out = filled(cells, "max").select("image_id", "v", "u", "value")
-    for axis, other, size in (("u", "v", width), ("v", "u", height)):
-        n = max(1, int(size * factor + 0.5))
-        taps = out.sparkSession.range(n).select(F.col("id").cast("int").alias("i"), ((F.col("id") + 0.5) / factor - 0.5).alias("centre"))
-        taps = taps.select("i", "centre", F.explode(F.sequence(F.ceil(F.col("centre") - reach).cast("int"), F.floor(F.col("centre") + reach).cast("int"))).alias("j"))
-        taps = taps.select("i", F.greatest(F.lit(0), F.least(F.lit(size - 1), "j")).alias(axis), lanczos((F.col("j") - F.col("centre")) * factor).alias("w"))
-        taps = taps.groupBy("i", axis).agg(F.sum("w").alias("w"))  # as many rows as taps of one axis
-        out = out.join(F.broadcast(taps), axis).groupBy("image_id", other, "i").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+def resized(cells: DataFrame, width: int | Column, height: int | Column, factor: float | Column) -> DataFrame:
+    """Shrinks images by a separable three-lobe filter: taps over the source cells in reach, border cells repeated, weights summing to one.
+
+    Sizes and factor may be columns of cells, one value an image. An image of factor 1 stays as it is.
+    """
+    value = lambda x: x if isinstance(x, Column) else F.lit(x)
+    images = cells.groupBy("image_id").agg(*[F.first(value(x)).alias(k) for k, x in (("w", width), ("h", height), ("f", factor))])
+    out = filled(cells.select("image_id", "v", "u", "value"), "max").select("image_id", "v", "u", "value")
+    for axis, other, size in (("u", "v", "w"), ("v", "u", "h")):
+        reach = F.ceil(3 / F.col("f"))
+        taps = images.select("image_id", "f", F.col(size).alias("size"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.floor(F.col(size) * F.col("f") + 0.5)).cast("int") - 1)).alias("i"))
+        taps = taps.withColumn("centre", (F.col("i") + 0.5) / F.col("f") - 0.5)
+        taps = taps.select("*", F.explode(F.sequence(F.ceil(F.col("centre") - reach).cast("int"), F.floor(F.col("centre") + reach).cast("int"))).alias("j"))
+        weight = F.when(F.col("f") == 1, (F.col("j") == F.col("i")).cast("double")).otherwise(lanczos((F.col("j") - F.col("centre")) * F.col("f")))
+        taps = taps.select("image_id", "i", F.greatest(F.lit(0), F.least(F.col("size") - 1, "j")).alias(axis), weight.alias("weight"))
+        taps = taps.groupBy("image_id", "i", axis).agg(F.sum("weight").alias("weight")).filter("weight <> 0")
+        out = out.join(taps, ["image_id", axis]).groupBy("image_id", other, "i").agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("value"))
         out = out.withColumnRenamed("i", axis)
     return out.select("image_id", "v", "u", "value")
 
 
+def shrunk(size: Column, factor: Column) -> Column:
+    """Cells of an axis after resized()."""
+    return F.greatest(F.lit(1), F.floor(size * factor + 0.5)).cast("int")
+
+
+def spread_to_neighbours(cells: DataFrame, width: Column, height: Column) -> DataFrame:
+    """Sparse cells: an empty cell beside known ones gets their mean, as filled_from_neighbours() gives to a NaN cell. width, height: columns of cells."""
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    known = cells.filter(~F.isnan("value"))
+    near = known.select("image_id", "v", "u", "value", width.alias("w"), height.alias("h"), F.explode(F.transform(steps, lambda i: F.col("v") + i)).alias("nv"))
+    near = near.select("*", F.explode(F.transform(steps, lambda i: F.col("u") + i)).alias("nu")).filter("nv >= 0 and nu >= 0 and nv < h and nu < w")
+    fill = near.groupBy("image_id", F.col("nv").alias("v"), F.col("nu").alias("u")).agg(F.avg("value").alias("fill"))
+    own = known.groupBy("image_id", "v", "u").agg(F.first("value").alias("value"))
+    return fill.join(own, ["image_id", "v", "u"], "left").select("image_id", "v", "u", F.coalesce("value", "fill").alias("value"))
+
+
 def flow_colour(points: DataFrame, dx: str, dy: str, by: str = "station_id", share: float = 0.95) -> DataFrame:
     """Adds hue (0..1, direction) and strength (0..1, magnitude up to a quantile of the station's)."""
     size = F.sqrt(F.col(dx) * F.col(dx) + F.col(dy) * F.col(dy))
-    cap = points.groupBy(by).agg(F.percentile(size, F.lit(share)).alias("cap"))
+    cap = quantiles(points, by, size, {"cap": share})
     hue = (F.atan2(F.col(dy), F.col(dx)) + math.pi) / (2 * math.pi)
     return points.join(cap, by).withColumns({"hue": hue, "strength": F.least(F.lit(1.0), F.coalesce(F.try_divide(size, F.col("cap")), F.lit(0.0)))}).drop("cap")
 
@@ -160,7 +183,7 @@ def checked(shape: tuple[int, ...], dtype: str) -> None:
     """What an image must be before it is encoded: two axes, or three with three channels, of a known type."""
     if len(shape) not in (2, 3) or (len(shape) == 3 and shape[2] != 3):
         raise ValueError(f"not an image: shape {shape}")
-    if dtype not in ("uint8", "float32", "float64"):
+    if dtype not in ("uint8", "float32"):
         raise ValueError(f"not an image: type {dtype}")
 
 
@@ -169,18 +192,34 @@ def passes_through(shape: tuple[int, ...], low: float, high: float) -> bool:
     return len(shape) == 3 and shape[2] == 3 and 0 <= low and high <= 255
 
 
+def model_input(image, fill: str | float = "max"):
+    """A tile for a model: NaN filled by the tile's max or min, zero, or a number, then scaled to 0..1; a constant tile is 0."""
+    image = np.asarray(image, np.float32)
+    known = image[~np.isnan(image)]
+    if not len(known):
+        return np.zeros_like(image)
+    low, high = float(known.min()), float(known.max())
+    if fill not in ("max", "min", "zero") and (isinstance(fill, (str, bool)) or not isinstance(fill, (int, float))):
+        raise ValueError(f"unknown fill: {fill!r}")
+    new = {"max": high, "min": low, "zero": 0.0}.get(fill, fill)
+    if not isinstance(fill, str):
+        high = max(high, float(fill))
+    image = np.where(np.isnan(image), np.float32(new), image)
+    return np.zeros_like(image) if high == low else (image - np.float32(low)) / np.float32(high - low)
+
+
 def three_channels(image):
     """A read-only view with the one channel three times; at the model boundary only."""
     return np.broadcast_to(image[:, :, None], (*image.shape, 3))
 
 
-def png(image) -> bytes:
-    """A grey or colour image of bytes as a PNG file."""
+def png(image, comment: str = "") -> bytes:
+    """A grey or colour image of bytes as a PNG file, with a comment if there is one."""
     image = np.ascontiguousarray(image, np.uint8)
     raw = b"".join(b"\0" + row.tobytes() for row in image)
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 2 if image.ndim == 3 else 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + (part(b"iTXt", b"Comment\0\0\0\0\0" + comment.encode()) if comment else b"") + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
 
 
 def encoded(cells: DataFrame, width: int, height: int) -> DataFrame:

@@ -111,9 +111,13 @@ def thinned(points: DataFrame, size: float, features: Sequence[str] = (), by: st
     return points.withColumns(cell).groupBy(by, *cell).agg(F.count(F.lit(1)).alias("n"), *means)
 
 
-def image_height(width: Column, fov_prefix: str = "") -> Column:
-    """Rows of an image of square pixels, from the view's spans."""
+def image_height(width: Column) -> Column:
+    """Rows of an image of square pixels, from the view's spans, rounded up."""
     span = lambda a: F.col(f"{a}_max") - F.col(f"{a}_min")
     return F.ceil(width * F.try_divide(span("el"), span("az"))).cast("int")
 
 
+def default_height(width: Column) -> Column:
+    """Rows where none are asked for: the width over the view's ratio of azimuth to elevation, rounded down."""
+    span = lambda a: F.col(f"{a}_max") - F.col(f"{a}_min")
+    return F.floor(F.try_divide(width, F.try_divide(span("az"), span("el")))).cast("int")

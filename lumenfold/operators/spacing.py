@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from .quantiles import quantiles
 
 #: Multiplier and modulus of the arithmetic hash that orders samples alike on every engine.
 HASH, MODULUS = 2654435761, 4294967296
@@ -48,29 +49,33 @@ def patch(points: DataFrame, fov: DataFrame, bins: DataFrame, n: int) -> DataFra
     return points.join(edges, "station_id").filter(F.col("elev").between(F.col("e0"), F.col("e1")) & F.col("azim").between(F.col("a0"), F.col("a1"))).drop("e0", "e1", "a0", "a1")
 
 
-def nearest(points: DataFrame, cell: float) -> DataFrame:
+def nearest(points: DataFrame, cell: float | str) -> DataFrame:
     """(station_id, point_id, d): distance in (elev, azim) to the nearest other point of the station, null for none.
 
     Points meet those of the 3 x 3 cells around them by an equi-join. A neighbour within one cell
     width is the nearest; points without one go on with cells of four times the width, which only the
-    few lonely points reach. Once cells are wider than any view, what is left has no other point.
+    few lonely points reach. Once cells are wider than any view, what is left has no other point. cell: a
+    width, or the name of a column that holds the station's.
     """
-    everything = cut(points.select("station_id", "point_id", "elev", "azim"))
-    todo, done = everything, None
+    own = F.col(cell) if isinstance(cell, str) else F.lit(float(cell))
+    everything = cut(points.select("station_id", "point_id", "elev", "azim", own.alias("cell")))
+    todo, done, wider = everything, None, 1.0
+    least = everything.agg(F.min("cell")).first()[0] or 1.0
     while True:
-        near = lambda k: F.floor(F.col(k) / F.lit(cell))
+        width = F.col("cell") * wider
+        near = lambda k: F.floor(F.col(k) / width)  # noqa: B023, E731
         fixed = everything.select("station_id", F.col("point_id").alias("q"), F.col("elev").alias("qe"), F.col("azim").alias("qa"), near("elev").alias("ce"), near("azim").alias("ca"))
         around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
         asked = todo.select("*", F.explode(F.transform(around, lambda i: near("elev") + i)).alias("ce")).select("*", F.explode(F.transform(around, lambda i: near("azim") + i)).alias("ca"))
         d = F.sqrt(F.pow(F.col("elev") - F.col("qe"), 2) + F.pow(F.col("azim") - F.col("qa"), 2))
         met = asked.join(fixed, ["station_id", "ce", "ca"]).filter("point_id <> q").groupBy("station_id", "point_id").agg(F.min(d).alias("d"))
         found = cut(todo.join(met, ["station_id", "point_id"], "left"))
-        settled = found.filter(F.col("d") <= cell).select("station_id", "point_id", "d")
+        settled = found.filter(F.col("d") <= width).select("station_id", "point_id", "d")
         done = settled if done is None else done.unionByName(settled)
-        todo = found.filter(F.col("d").isNull() | (F.col("d") > cell)).select("station_id", "point_id", "elev", "azim")
-        if cell > 4 * math.pi or todo.isEmpty():
+        todo = found.filter(F.col("d").isNull() | (F.col("d") > width)).select("station_id", "point_id", "elev", "azim", "cell")
+        if least * wider > 4 * math.pi or todo.isEmpty():
             break
-        cell *= 4
+        wider *= 4
     return done.unionByName(todo.select("station_id", "point_id", F.lit(None).cast("double").alias("d")))
 
 
@@ -78,9 +83,17 @@ def spacing(points: DataFrame, fov: DataFrame, n: int) -> DataFrame:
     """(station_id, n_patch, spacing): median distance of the patch's points to their nearest neighbour; null below two points."""
     bins = median_bin(view_histogram(points, fov, n))
     inside = patch(points, fov, bins, n)
-    size = inside.agg(F.count(F.lit(1)), F.max("elev") - F.min("elev"), F.max("azim") - F.min("azim")).first()
-    cell = max(math.sqrt(max((size[1] or 0) * (size[2] or 0), 1e-12) / max(size[0], 1)), 1e-6)
-    return nearest(inside, cell).groupBy("station_id").agg(F.count(F.lit(1)).alias("n_patch"), F.median("d").alias("spacing"))
+    area = (F.max("elev") - F.min("elev")) * (F.max("azim") - F.min("azim"))
+    sizes = inside.groupBy("station_id").agg(F.greatest(F.sqrt(F.greatest(area, F.lit(1e-12)) / F.count(F.lit(1))), F.lit(1e-6)).alias("cell"))
+    far = nearest(inside.join(sizes, "station_id"), "cell")
+    counts = far.groupBy("station_id").agg(F.count(F.lit(1)).alias("n_patch"))
+    return counts.join(quantiles(far, "station_id", F.col("d"), {"spacing": 0.5}), "station_id")
+
+
+def edge_and_least(histogram: DataFrame, width: float = 1.0) -> DataFrame:
+    """(station_id, edge_n, min_n): points in the bins on the image border, and in the emptiest bin."""
+    last = math.ceil(360 / width) - 1
+    return histogram.groupBy("station_id").agg(F.sum(F.when(F.col("bin").isin(0, last), F.col("n"))).alias("edge_n"), F.min("n").alias("min_n"))
 
 
 def azimuth_histogram(points: DataFrame, width: float = 1.0) -> DataFrame:
@@ -124,7 +137,12 @@ def sampled(points: DataFrame, share: float, key: str = "point_id", buckets: int
     return ranked.join(starts, ["station_id", "_b"]).filter("_start + _i <= _m").select(*points.columns)
 
 
-def reduction(r_max: Column, spacing_degrees: float, resolution: float) -> Column:
+def reduction(r_max: Column, spacing_degrees: float | Column, resolution: float) -> Column:
     """The factor by which an image may shrink at the wanted resolution; NaN where that is beyond the range."""
     angle = F.asin(F.try_divide(F.lit(resolution), r_max))
-    return F.bround(F.try_divide(F.radians(F.lit(spacing_degrees)), angle), 2)
+    return F.bround(F.try_divide(F.radians(spacing_degrees if isinstance(spacing_degrees, Column) else F.lit(spacing_degrees)), angle), 2)
+
+
+def gate(coefficient: Column) -> Column:
+    """The factor that an image is resized by: only one below 1 shrinks it; none else, NaN or null included, changes it."""
+    return F.when((coefficient < 1) & (coefficient > 0), coefficient).otherwise(F.lit(1.0))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import settings as S
 from ..operators import detections as D
 from ..operators import images as I
+from ..operators import pictures
 from ..operators import points as P
 from ..operators import spacing as G
 from . import fixtures as X
@@ -212,8 +213,7 @@ def azimuth_hist(spark, d):
 
 @query(f"WITH {AZH} SELECT station_id, CAST(sum(n) FILTER (bin IN (0, 359)) AS BIGINT) edge_n, min(n) min_n FROM azh GROUP BY station_id")
 def edge_zone(spark, d):
-    h = G.azimuth_histogram(spherical_points(spark, d))
-    return h.groupBy("station_id").agg(F.sum(F.when(F.col("bin").isin(0, 359), F.col("n"))).alias("edge_n"), F.min("n").alias("min_n"))
+    return G.edge_and_least(G.azimuth_histogram(spherical_points(spark, d)))
 
 
 @query(f"WITH {RUN} SELECT station_id, s AS start, l AS len, centre FROM run")
@@ -248,6 +248,26 @@ def image_size(spark, d):
     return f.select("station_id", "width", P.image_height(F.col("width")).alias("height"))
 
 
+@query(f"WITH {FOV} SELECT station_id, 2048 width, CAST(floor(2048/((az_max-az_min)/(el_max-el_min))) AS INT) height FROM fov")
+def default_image_size(spark, d):
+    f = P.field_of_view(spherical_points(spark, d)).withColumn("width", F.lit(2048))
+    return f.select("station_id", "width", P.default_height(F.col("width")).alias("height"))
+
+
+@query(f"WITH {SPH}, m AS (SELECT station_id, max(r) r FROM sph GROUP BY station_id), c AS (SELECT station_id, s, CAST(round_even(radians(s)/asin(0.5e0/r), 2) AS DOUBLE) coef FROM m, (VALUES (1e0), (6e0)) t(s)) SELECT station_id, s spacing, CASE WHEN coef < 1 AND coef > 0 THEN coef ELSE 1e0 END factor FROM c")
+def resize_gate(spark, d):
+    """Fine scans shrink, coarse ones stay."""
+    r = P.max_range(spherical_points(spark, d)).select("*", F.explode(F.array(F.lit(1.0), F.lit(6.0))).alias("spacing"))
+    return r.select("station_id", "spacing", G.gate(G.reduction(F.col("r_max"), F.col("spacing"), 0.5)).alias("factor"))
+
+
+@query(f"WITH {PAT}, nns AS (SELECT a.station_id, a.point_id, min(sqrt((a.elev-b.elev)**2 + (a.azim-b.azim)**2)) nd FROM pat a LEFT JOIN pat b ON a.station_id = b.station_id AND a.point_id <> b.point_id GROUP BY ALL), spc AS (SELECT station_id, median(nd) s FROM nns GROUP BY station_id), siz AS (SELECT station_id, s, CAST(ceil(ceil((az_max-az_min)/s)*0.5e0) AS INT) w, el_max-el_min e, az_max-az_min a FROM fov JOIN spc USING (station_id)) SELECT station_id, {o6('s', 9)} spacing, w width, CAST(ceil(w*(e/a)) AS INT) height FROM siz")
+def auto_image_size(spark, d):
+    """The spacing is estimated (auto), the width is half of the full resolution, the height keeps pixels square."""
+    settings = S.ImageSettings(width="0.5-scan_resolution", height=None, scan_resolution="auto", patches=4)
+    return labelling.sized(spherical_points(spark, d), settings, 0.5).select("station_id", r6("spacing", 9).alias("spacing"), "width", "height")
+
+
 WID = r"lower(trim(image_width))"
 
 
@@ -346,18 +366,18 @@ def shift_masks(spark, d):
 def tile_union(spark, d):
     """Detections of all tiles in one table: even and odd tiles by UNION ALL."""
     t = tiled_detections(spark, d)
-    return t.filter("tile_id % 2 = 0").unionByName(t.filter("tile_id % 2 = 1")).groupBy("image_id", "tile_id").agg(F.count(F.lit(1)).alias("n"))
+    return D.of_all_tiles([t.filter("tile_id % 2 = 0"), t.filter("tile_id % 2 = 1")]).groupBy("image_id", "tile_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-NMS = f"""WITH RECURSIVE {DET}, rk AS (SELECT *, row_number() OVER (PARTITION BY image_id, class_id ORDER BY score DESC, det_id) k FROM det),
+KEPT = """rk AS (SELECT *, row_number() OVER (PARTITION BY image_id, class_id ORDER BY score DESC, det_id) k FROM det),
  iou AS (SELECT a.image_id, a.class_id, a.k ka, b.k kb, greatest(0, least(a.x1,b.x1)-greatest(a.x0,b.x0)) * greatest(0, least(a.y1,b.y1)-greatest(a.y0,b.y0)) i, (a.x1-a.x0)*(a.y1-a.y0) + (b.x1-b.x0)*(b.y1-b.y0) s
   FROM rk a JOIN rk b ON a.image_id = b.image_id AND a.class_id = b.class_id AND a.k < b.k),
  sup AS (SELECT image_id, class_id, kb, list(ka) l FROM iou WHERE i::DOUBLE/(s-i) > 0.3e0 GROUP BY ALL),
  nxt AS (SELECT rk.image_id, rk.class_id, rk.k, coalesce(l, []::BIGINT[]) l FROM rk LEFT JOIN sup ON sup.image_id = rk.image_id AND sup.class_id = rk.class_id AND sup.kb = rk.k),
  rec AS (SELECT DISTINCT image_id, class_id, 0::BIGINT k, []::BIGINT[] kept FROM rk
   UNION ALL SELECT n.image_id, n.class_id, n.k, CASE WHEN list_has_any(rec.kept, n.l) THEN rec.kept ELSE list_append(rec.kept, n.k) END FROM rec JOIN nxt n ON n.image_id = rec.image_id AND n.class_id = rec.class_id AND n.k = rec.k + 1),
- fin AS (SELECT image_id, class_id, unnest(kept) k FROM (SELECT *, max(k) OVER (PARTITION BY image_id, class_id) m FROM rec) WHERE k = m)
- SELECT det_id, image_id, class_id FROM rk JOIN fin USING (image_id, class_id, k)"""
+ fin AS (SELECT image_id, class_id, unnest(kept) k FROM (SELECT *, max(k) OVER (PARTITION BY image_id, class_id) m FROM rec) WHERE k = m)"""
+NMS = f"WITH RECURSIVE {DET}, {KEPT} SELECT det_id, image_id, class_id FROM rk JOIN fin USING (image_id, class_id, k)"
 
 
 @query(NMS)
@@ -378,10 +398,47 @@ def picture_sample(spark, d):
 
 @query(f"WITH {DET} SELECT det_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY (x1-x0)*(y1-y0) DESC, det_id) AS INT) place FROM det")
 def area_order(spark, d):
-    from pyspark.sql import Window
+    return D.area_ranked(X.detections(spark, d)).select("det_id", "place")
+
+
+# The run
+
+TILE, OVERLAP = (40, 32), (10, 7)
+RAN = f"""WITH RECURSIVE {PIX}, ras AS (SELECT station_id image_id, v, u, avg(intensity) x FROM pix GROUP BY ALL),
+ pct AS (SELECT image_id, quantile_cont(x, 0.05) a, quantile_cont(x, 0.95) b FROM ras GROUP BY image_id),
+ nor AS (SELECT image_id, v, u, CASE WHEN a = b THEN 0 ELSE (greatest(a, least(b, x)) - a)/(b-a) END x FROM ras JOIN pct USING (image_id)),
+ cor AS (SELECT CAST(q*4 + p AS INT) tile_id, CAST(p*30 AS INT) tx, CAST(q*25 AS INT) ty FROM range(3) a(p), range(2) b(q)),
+ fst AS (SELECT image_id, tile_id, tx, ty, v-ty r, u-tx c, row_number() OVER (PARTITION BY image_id, tile_id ORDER BY x, v, u) k FROM nor JOIN cor ON u >= tx AND u < tx+40 AND v >= ty AND v < ty+32),
+ det AS (SELECT image_id, tile_id::BIGINT*16777216 det_id, CAST((r+c) % 3 + 1 AS INT) class_id, 0.3e0 + 0.001e0*(r*40+c)/1.28e0 score,
+   greatest(0, c-3) + tx x0, greatest(0, r-2) + ty y0, least(40, c+4) + tx x1, least(32, r+3) + ty y1 FROM fst WHERE k = 1 AND (r+c) % 3 <> 2), {KEPT},
+ kpt AS (SELECT rk.* FROM rk JOIN fin USING (image_id, class_id, k)),
+ msk AS (SELECT image_id, det_id, CAST(r AS INT) r, CAST(c AS INT) c FROM kpt, unnest(range(y0, y1)) a(r), unnest(range(x0, x1)) b(c)),
+ rnk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, det_id DESC) instance FROM (SELECT image_id, det_id, count(*) n FROM msk GROUP BY ALL)),
+ pnt AS (SELECT image_id, r, c, max(instance) instance, arg_max(class_id, instance) class_id, arg_max(score, instance) confidence FROM msk JOIN rnk USING (image_id, det_id) JOIN kpt USING (image_id, det_id) GROUP BY ALL)"""
+
+
+def stub_models():
+    """Models that need no weights: a box around a tile's darkest cell, named and scored by the cell's row and column; all of its cells."""
+
+    def detect(image, prompt):
+        r, c = (int(x) for x in np.argwhere(image == image.min())[0])
+        label = ("pine tree", "car", "house")[(r + c) % 3]
+        return [(label, 0.3 + 0.001 * (r * 40 + c) / 1.28, (max(0, c - 3), max(0, r - 2), min(image.shape[1], c + 4), min(image.shape[0], r + 3)))]
 
-    by = Window.partitionBy("image_id").orderBy(D.box_area().desc(), "det_id")
-    return X.detections(spark, d).select("det_id", F.row_number().over(by).alias("place"))
+    return detect, lambda image, boxes: [box_cells(b) for b in boxes]
+
+
+def box_cells(box):
+    x0, y0, x1, y1 = map(int, box)
+    return np.stack(np.meshgrid(np.arange(y0, y1), np.arange(x0, x1), indexing="ij"), -1).reshape(-1, 2)
+
+
+@query(f"{RAN} SELECT p.point_id, p.station_id, p.u, p.v, CAST(coalesce(q.instance, 0) AS INT) instance, CAST(coalesce(q.class_id, 0) AS INT) class_id, {o6('coalesce(q.confidence, 0)::FLOAT::DOUBLE')} confidence FROM pix p LEFT JOIN pnt q ON q.image_id = p.station_id AND q.r = p.v AND q.c = p.u")
+def whole_run(spark, d):
+    """From points to labelled points: images, tiles, stub models, suppression across tiles, merging, lifting."""
+    settings = S.DetectionSettings(prompt="tree.car", tile=TILE, overlap=OVERLAP, iou_threshold=0.3, large_share=0.5)
+    out = labelling.run(X.points(spark, d), stub_models, detection_settings=settings)
+    return out.select("point_id", "station_id", "u", "v", "instance", "class_id", r6(F.col("confidence").cast("double")).alias("confidence"))
 
 
 # Masks
@@ -409,7 +466,32 @@ def doubled(spark, d):
 
 @query(f"WITH {DUP} SELECT DISTINCT det_id, image_id, r, c FROM dup")
 def mask_distinct(spark, d):
-    return doubled(spark, d).dropDuplicates(["det_id", "image_id", "r", "c"])
+    return D.distinct_pixels(doubled(spark, d))
+
+
+@query(f"WITH {DUP}, own AS (SELECT DISTINCT image_id, det_id, r, c FROM dup) SELECT image_id, det_id, r, c FROM own o WHERE (SELECT count(*) FROM own i WHERE i.det_id = o.det_id AND i.image_id = o.image_id AND abs(i.r-o.r) + abs(i.c-o.c) = 1) < 4")
+def mask_contours(spark, d):
+    return D.contours(doubled(spark, d))
+
+
+FRM = f"""{DET}, lin AS (SELECT image_id, det_id, class_id, CAST(v AS INT) v, CAST(u AS INT) u FROM det, unnest(range(x0, x1)) a(u), unnest([y0, y1-1]) b(v)
+ UNION ALL SELECT image_id, det_id, class_id, CAST(v AS INT), CAST(u AS INT) FROM det, unnest(range(y0, y1)) a(v), unnest([x0, x1-1]) b(u))"""
+
+
+@query(f"WITH {FRM} SELECT image_id, v, u, arg_max(class_id, det_id) class_id FROM lin GROUP BY ALL")
+def box_frames(spark, d):
+    """What is drawn of boxes: their outlines."""
+    return pictures.framed(X.detections(spark, d))
+
+
+@query(f"WITH {PIX}, {PNT}, ras AS (SELECT station_id image_id, v, u, CAST(floor(least(255, greatest(0, avg(least(1, greatest(0, z/4))) * 255))) AS INT) g FROM pix GROUP BY ALL) SELECT x.image_id, x.v, x.u, " + ", ".join(f"CAST(CASE WHEN class_id IS NULL THEN g ELSE floor(g*0.5e0 + ((class_id*{k} + 64) % 256)*0.5e0) END AS INT) {c}" for c, k in pictures.COLOUR.items()) + " FROM ras x LEFT JOIN pnt q ON q.image_id = x.image_id AND q.r = x.v AND q.c = x.u")
+def mask_picture(spark, d):
+    """Masks blended over a raster of heights."""
+    at = placed_points(spark, d)
+    level = F.avg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("z") / 4))).alias("value")
+    cells = at.groupBy(F.col("station_id").alias("image_id"), "v", "u").agg(level)
+    found = X.detections(spark, d)
+    return pictures.drawn(cells, found, X.mask_pixels(spark, d), boxes=False)
 
 
 @query(f"WITH {DUP} SELECT det_id, count(*) n, count(DISTINCT (r, c)) n_distinct FROM dup GROUP BY det_id")
@@ -584,6 +666,5 @@ def path_stem(spark, d):
 @query(f"WITH {CEL} SELECT image_id, v r, u c FROM cel WHERE value > 0 AND NOT isnan(value)")
 def nonzero(spark, d):
     """Dense rows to sparse pixels, row-major."""
-    dense = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("p", "e"))
-    on = dense.filter((F.col("e") > 0) & ((F.col("image_id") + F.col("p")) % 17 != 0))
-    return on.select("image_id", F.floor(F.col("p") / 8).cast("int").alias("r"), (F.col("p") % 8).cast("int").alias("c"))
+    dense = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), F.transform("embedding", lambda x, i: F.when((F.col("vec_id") + i) % 17 == 0, F.lit(float("nan"))).otherwise(x.cast("double"))).alias("values"))
+    return D.set_pixels(dense, "values", 8)

@@ -123,6 +123,13 @@ def test_parsers(spark):
     assert deg == [12.0, None, None, 500.0, None, None, None]
 
 
+@pytest.mark.parametrize(("limits", "error"), [((0, 0, 0, 1, 1), ValueError), ((0, 0, 0, 1, 1, "1"), TypeError), ((0, 0, 2, 1, 1, 1), ValueError)])
+def test_region_settings(limits, error):
+    with pytest.raises(error):
+        S.PointSettings(roi_limits=limits)
+    assert S.PointSettings(roi_limits=(0, 0, 0, 1, 1, 1))
+
+
 @pytest.mark.parametrize(("limits", "error"), [((1,), ValueError), ((1, "2"), TypeError), ((3, 2), ValueError)])
 def test_settings(limits, error):
     with pytest.raises(error):
@@ -201,20 +208,129 @@ def test_models_plug_in(spark):
 
     cells = spark.createDataFrame([(0, v, u, float(v in (3, 4) and u in (5, 6))) for v in range(8) for u in range(8)], "image_id int, v int, u int, value double")
     cut = D.tiles(spark.createDataFrame([(0, 8, 8)], "image_id int, width int, height int"), (4, 4), (0, 0))
-    found = M.inferred(M.tile_cells(cells, D.whole_tiles(cut, (4, 4))), lambda: (bright, filled_boxes), "tree.car")
-    whole = D.boxes_to_image(found, cut).select("x0", "y0", "x1", "y1", "label").collect()
+    dealt = M.tile_cells(cells, D.whole_tiles(cut, (4, 4)), (4, 4), (0, 0))
+    found = M.inferred(dealt, lambda: (bright, filled_boxes), "tree.car")
+    whole = D.boxes_to_image(found, cut).select("x0", "y0", "x1", "y1", "class_name").collect()
     assert sorted(map(tuple, whole)) == [(5.0, 3.0, 7.0, 4.0, "tree"), (5.0, 4.0, 7.0, 5.0, "tree")]
     px = found.select("image_id", "tile_id", F.monotonically_increasing_id().alias("det_id"), F.explode("pixels").alias("p")).select("image_id", "tile_id", "det_id", "p.r", "p.c")
     assert {(x.r, x.c) for x in D.masks_to_image(px, cut, 8, 8).collect()} == {(3, 5), (3, 6), (4, 5), (4, 6)}
+    with pytest.raises(Exception, match="one mask a box"):
+        M.inferred(dealt, lambda: (bright, lambda image, boxes: []), "tree.car").collect()
+    below = cut.withColumn("x0", F.col("x0") - 1)
+    with pytest.raises(Exception, match="outside of its image"):
+        D.masks_to_image(px, below, 8, 8).collect()
+
+
+def test_a_cell_knows_its_tiles(spark):
+    cells = spark.createDataFrame([("0/i", v, u, float(v * 23 + u)) for v in range(17) for u in range(23)], "image_id string, v int, u int, value double")
+    cut = D.tiles(spark.createDataFrame([("0/i", 23, 17)], "image_id string, width int, height int"), (8, 6), (5, 2))
+    got = {r.tile_id: r for r in M.tile_cells(cells, cut, (8, 6), (5, 2)).collect()}
+    for t in cut.collect():
+        r = got[t.tile_id]
+        assert sorted(zip(r.v, r.u, r.value, strict=True)) == [(v - t.y0, u - t.x0, float(v * 23 + u)) for v in range(t.y0, t.y1) for u in range(t.x0, t.x1)]
+
+
+def test_only_wanted_boxes_reach_the_segmenter():
+    found = [("pine tree", 0.9, (0, 0, 2, 2)), ("house", 0.9, (0, 0, 2, 2)), ("car", 0.05, (0, 0, 2, 2)), ("car", 0.5, (0, 0, 10, 10))]
+    assert M.wanted(found, ["tree", "car"], 0.5, (10, 10), 0.1) == [("tree", 0.9, (0, 0, 2, 2))]
+
+
+def test_model_input():
+    tile = np.array([[1, np.nan], [3, 2]])
+    assert I.model_input(tile).tolist() == [[0, 1], [1, 0.5]] and I.model_input(tile, "min").tolist() == [[0, 0], [1, 0.5]] and I.model_input(tile, 5.0).tolist() == [[0, 1], [0.5, 0.25]]
+    assert not I.model_input(np.full((2, 2), np.nan)).any() and not I.model_input(np.full((2, 2), 7)).any()
+    with pytest.raises(ValueError, match="fill"):
+        I.model_input(tile, "mean")
+
+
+def test_det_ids_name_boxes_within_an_image(spark):
+    """Two images use the same det_ids."""
+    boxes = [(0, 1, 1, 0.9, 0, 0, 10, 10), (0, 2, 1, 0.8, 0, 0, 10, 10), (1, 2, 1, 0.7, 0, 0, 10, 10), (1, 1, 2, 0.6, 20, 20, 30, 30)]
+    found = spark.createDataFrame(boxes, "image_id int, det_id long, class_id int, score double, x0 int, y0 int, x1 int, y1 int")
+    assert sorted((r.image_id, r.det_id) for r in D.suppressed(found, 0.3).collect()) == [(0, 1), (1, 1), (1, 2)]
+    pixels = spark.createDataFrame([(1, 0, 5, 5), (1, 1, 25, 25)], "det_id long, image_id int, r int, c int")
+    assert sorted((r.image_id, r.class_id, round(r.confidence, 2)) for r in D.painted(pixels, found).collect()) == [(0, 1, 0.9), (1, 2, 0.6)]
+
+
+def test_quantiles(spark):
+    from lumenfold.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(5)
+    groups = {0: rng.normal(size=5000), 1: np.full(40, 2.5), 2: np.array([7.0]), 3: np.concatenate([np.zeros(300), rng.random(20), [1e9]]), 4: rng.integers(0, 3, 500).astype(float)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [(0, float("nan")), (5, float("nan")), (2, None)]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(4)
+    got = {r.g: r for r in quantiles(df, "g", F.col("x"), {"a": 0.05, "b": 0.5, "c": 0.95, "d": 1.0}).collect()}
+    for g, xs in groups.items():
+        assert np.allclose([got[g].a, got[g].b, got[g].c, got[g].d], np.quantile(xs, [0.05, 0.5, 0.95, 1]), rtol=1e-12), g
+    assert got[5].a is None
+
 
 
 def test_whole_run(spark, small):
     points = X.points(spark, small)
-    models = lambda cells: (X.detections(spark, small), X.mask_pixels(spark, small))
-    out = L.run(points, models)
-    assert out.count() == points.count()
-    labelled = out.filter("instance > 0").count()
-    assert labelled == Q.lift_labels(spark, small).filter("instance > 0").count() > 0
+    out = Q.whole_run(spark, small)
+    assert out.count() == points.count() and 0 < out.filter("instance > 0").count() < points.count()
+    settings = S.DetectionSettings(prompt="tree.car", tile=Q.TILE, overlap=Q.OVERLAP, iou_threshold=0.3, process_edges=True, large_share=0.5)
+    both = L.run(points, Q.stub_models, S.PointSettings(range_limits=(0, 12)), S.ImageSettings(width=80, height=None, rotate="auto", method="nanconv", features=("intensity", "z")), settings)
+    inside = P.range_cut(points, (0, 12)).count()
+    assert both.groupBy("image_id").count().count() == 6 and both.count() == 2 * inside and both.filter("instance > 0").count() > 0
+
+
+def test_a_run_on_shrunk_images(spark, small):
+    points = X.points(spark, small)
+    at = P.spherical(points)
+    settings = S.ImageSettings(width=120, height=None, scan_resolution="2.0", reduce=True, features=("intensity",))
+    sizes = L.sized(at, settings, 1.0)
+    for r in sizes.collect():
+        assert 0 < r.factor < 1 and abs(r.spacing - math.radians(2)) < 1e-12
+    cells = L.rendered(at, sizes, settings)
+    for r in cells.groupBy("image_id", "width", "height").agg(F.max("u").alias("u"), F.max("v").alias("v"), F.count("*").alias("n")).collect():
+        assert (r.u + 1, r.v + 1, r.n) == (r.width, r.height, r.width * r.height) and r.width < 120
+    assert L.sized(at, S.ImageSettings(width=120, height=0, scan_resolution="2.0"), 1.0).filter("factor = 1").count() == 3
+    out = L.run(points, Q.stub_models, S.PointSettings(output_resolution=1.0), settings, S.DetectionSettings(prompt="tree.car", tile=(20, 10), overlap=(5, 2), large_share=0.9))
+    assert out.count() == points.count() and out.filter("u >= 0").count() == points.count() and out.filter("instance > 0").count() > 0
+    with pytest.raises(ValueError, match="rasterise"):
+        S.ImageSettings(method="bary_delaunay")
+
+
+def test_spread_to_neighbours(spark):
+    cells = spark.createDataFrame([("a", 0, 0, 2.0), ("a", 0, 2, 4.0)], "image_id string, v int, u int, value double")
+    got = {(r.v, r.u): r.value for r in I.spread_to_neighbours(cells, F.lit(4), F.lit(2)).collect()}
+    assert got == {(0, 0): 2.0, (0, 1): 3.0, (0, 2): 4.0, (0, 3): 4.0, (1, 0): 2.0, (1, 1): 3.0, (1, 2): 4.0, (1, 3): 4.0}
+
+
+def test_pictures(spark, golden):
+    from lumenfold.operators import pictures
+
+    pixels, found = golden
+    found = found.withColumns({"x0": F.lit(1), "y0": F.lit(0), "x1": F.lit(4), "y1": F.lit(3)}).withColumn("class_name", F.lit("tree"))
+    cells = spark.createDataFrame([(0, r, c, 0.5) for r in range(4) for c in range(5)], "image_id int, v int, u int, value double")
+    at = lambda df: {(r.v, r.u): (r.red, r.green, r.blue) for r in df.collect()}
+    ink = lambda k: tuple((k * m + 64) % 256 for m in pictures.COLOUR.values())
+    got = at(pictures.drawn(cells, found, pixels))
+    assert got[3, 4] == (127, 127, 127) and got[0, 0] == tuple((127 + x) // 2 for x in ink(1)) and got[0, 1] == ink(3)
+    assert at(pictures.drawn(cells, found, pixels, outlines=True, boxes=False))[1, 1] == tuple((127 + x) // 2 for x in ink(1))
+    file = pictures.files(pictures.drawn(cells, found, pixels), 5, 4, "sam2", "_sam2", pictures.captions(found)).collect()
+    assert [(f.path, b"tree 0.50; tree 0.75; tree 0.25" in bytes(f.content)) for f in file] == [("sam2/0_sam2.png", True)]
+    assert [f.path for f in pictures.files(pictures.grey(cells, "intensity"), 5, 4, "images").collect()] == ["images/0_intensity.png"]
+
+
+def test_station_files(spark, tmp_path):
+    p = spark.createDataFrame([(i, i * 0.5, -1.0, 2.25, i % 3) for i in range(500)], "point_id long, x double, y double, z double, instance int").repartition(5)
+    ply, text = files.write_station(p, str(tmp_path / "out"), "scan", "intensity", Q.TO_PROJECT, ["x", "y", "z", "instance"])
+    assert ply.endswith("out/scan_intensity_seg.ply") and (tmp_path / "out" / "scan_intensity_seg.ply").read_text().startswith("ply\nformat ascii 1.0\nelement vertex 500\n")
+    assert sorted(map(tuple, files.read_ply(spark, ply).collect())) == sorted(map(tuple, p.collect()))
+    assert (tmp_path / "out" / "scan_T.txt").read_text().split("\n")[0] == "0.86602540 -0.50000000 0.00000000 1.50000000" and text.endswith("scan_T.txt")
+    long = "ply\nformat ascii 1.0\n" + "comment x\n" * 900 + "element vertex 1\nproperty float x\nend_header\n7\n"
+    (tmp_path / "long.ply").write_text(long)
+    assert [r.x for r in files.read_ply(spark, str(tmp_path / "long.ply")).collect()] == [7.0]
+
+
+def test_image_files(spark, tmp_path):
+    for name in ("a.png", "b.png", "c.txt"):
+        (tmp_path / name).write_bytes(I.png(np.zeros((2, 2), np.uint8)))
+    assert sorted(r.path.rsplit("/", 1)[1] for r in files.read_images(spark, str(tmp_path)).collect()) == ["a.png", "b.png"]
+    assert files.output_folders("r")["sam2"] == "r/intermediate/sam2"
 
 
 def test_stream(spark, small, tmp_path):
@@ -241,7 +357,7 @@ def test_png_and_guards(spark):
     assert [list(raw[i * 6 + 1 : i * 6 + 6]) for i in range(3)] == [[80 + u for u in range(5)], [40 + u for u in range(5)], list(range(5))]
     assert I.passes_through((2, 2, 3), 0, 255) and not I.passes_through((2, 2), 0, 255) and not I.passes_through((2, 2, 3), -1, 9)
     assert I.three_channels(np.ones((2, 4))).shape == (2, 4, 3)
-    for bad in (((2,), "uint8"), ((2, 2, 4), "uint8"), ((2, 2), "int64")):
+    for bad in (((2,), "uint8"), ((2, 2, 4), "uint8"), ((2, 2), "int64"), ((2, 2), "float64")):
         with pytest.raises(ValueError, match="image"):
             I.checked(*bad)
 
@@ -249,8 +365,8 @@ def test_png_and_guards(spark):
 def test_everything_plugs_in(spark):
     cells = spark.createDataFrame([(0, v, u, 1.0) for v in range(4) for u in range(4)], "image_id int, v int, u int, value double")
     cut = D.tiles(spark.createDataFrame([(0, 4, 4)], "image_id int, width int, height int"), (4, 4), (0, 0))
-    masks = M.everything(M.tile_cells(cells, cut), lambda: lambda image: [np.argwhere(image > 0)])
-    assert [r.area for r in masks.collect()] == [16]
+    masks = M.everything(M.tile_cells(cells, cut, (4, 4), (0, 0)), lambda: lambda image: [np.argwhere(image == 0)])
+    assert [r.area for r in masks.collect()] == [16]  # a constant tile is 0
 
 
 def test_every_order_is_a_detection(spark, small):
