@@ -35,6 +35,8 @@ from . import common as c
 WINDOW = 1024
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
+#: So many file names are broadcast; a table in more files is joined by shuffle.
+MOST_FILES = 20_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -92,6 +94,7 @@ def placed(docs: DataFrame) -> DataFrame:
     files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))  # a row for each file
     before = Window.orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = c.cut(files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    starts = F.broadcast(starts) if starts.count() <= MOST_FILES else starts
     return rows.join(starts, "_file").select("doc_id", "text", (F.col("_start") + F.col("_at")).alias("place"))
 
 
