@@ -12,9 +12,10 @@ The band bounds the lexicon: a term of it is in at least exp(-HIGH) of all docum
 most exp(HIGH) times the mean number of distinct terms entries, at any corpus size. Up to MOST_TERMS
 its hash table is a constant of the plan; a larger one is joined by shuffle.
 
-Null and empty texts: empty whole hash, like only each other. A text without lexicon terms is
+Defined results: null and empty texts have an empty whole hash and are like only each other. A text without lexicon terms is
 known by the hash of all its terms. The next document follows in descending doc_id, null last,
-equal ids by text; the last one's next is the first, a single one's is itself. Clashing
+equal ids by text; the last one's next is the first, a single one's is itself. Repeated rows have equal fingerprints. A text is split
+whole, in one task, with some 100 bytes of memory a word. An empty table gives an empty one. Clashing
 column names cannot matter: only doc_id and text are read.
 """
 
@@ -33,8 +34,8 @@ LEAST_DOCS = 2
 DRAWS, LEVELS, SHRINK = 12, 4, 4
 SLOTS = 1 << 16
 MOST_TERMS = 1_000_000
-#: Ranges of the key: some for each shuffle partition, so that their sizes even out.
-RANGES_A_PARTITION, LEAST_RANGES, MOST_RANGES = 4, 64, 4000
+#: Ranges of the key: some for each shuffle partition, so that their sizes even out. So many bounds are quantiles; further ranges part theirs evenly.
+RANGES_A_PARTITION, LEAST_RANGES, BOUNDS = 4, 64, 256
 NONE = "------"
 
 
@@ -137,14 +138,21 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, prepare: Callable[[DataFrame], DataFrame], *, key: str, order: list[str], carry: list[str]) -> DataFrame:
     """prepare(docs) with next_<x> for each x of carry, from the following document in descending key, cyclically.
 
-    Documents go to ranges of the key; each range also gets the first document of the one below, so
-    that no task sees more than its range. The range bounds are quantiles of the key.
+    Documents go to ranges of the key, as many as the cluster has use for; each range also gets the first document of the one
+    below, so that no task sees more than its range.
     """
     spark = docs.sparkSession
-    n = max(LEAST_RANGES, min(RANGES_A_PARTITION * c.parts(spark), MOST_RANGES))
-    bounds = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n)).first()[0] or []
+    n = max(LEAST_RANGES, RANGES_A_PARTITION * c.parts(spark))
+    many = min(n, BOUNDS)
+    within = -(-n // many)
+    bounds = docs.agg(F.percentile_approx(key, [i / many for i in range(1, many)], 100 * many)).first()[0] or []
     array = F.array(*[F.lit(x) for x in sorted(set(bounds))]).cast("array<bigint>")
-    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter(array, lambda b: b < F.col(key))))
+    range_ = F.size(F.filter(array, lambda b: b < F.col(key)))
+    if within > 1:
+        low, high = F.try_element_at(array, F.nullif(range_, F.lit(0))), F.get(array, range_)
+        share = F.try_divide(F.col(key).cast("double") - low, high.cast("double") - low)
+        range_ = range_ * within + F.coalesce(F.least(F.lit(within - 1), F.floor(share * within)), F.lit(0))
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(range_)
     dealt = docs.withColumn("_bucket", bucket.cast("int")).withColumn("_extra", F.lit(0))
     heads = dealt.groupBy("_bucket").agg(F.max(key).alias("_head"))  # a row for each range
     ranges = Window.orderBy("_bucket")

@@ -7,8 +7,9 @@ assignment, a sorted interval join links the parts, and a weak part is reported
 complement is: a key beside an access identifier, an endpoint beside an access identifier, an
 assigned secret or a reported key.
 
-A scan reads one whole text at a time; nothing is shuffled. Null and empty texts have no spans;
-repeated rows are scanned alike; other columns, whatever their names, pass beside the scan.
+A scan reads one whole text at a time, in time and memory in proportion to it; nothing is shuffled. Defined results: null and
+empty texts have no spans; repeated rows are scanned alike; spans that start together are told in the order of KINDS; an empty
+table gives an empty one; other columns, whatever their names, pass beside the scan.
 """
 
 from __future__ import annotations

@@ -478,6 +478,22 @@ def test_fingerprints_against_a_plain_version(spark, small, docs):
         assert abs(got[i].near_edited - plain_likeness(mine, other)) < 1e-12 and abs(got[i].near_next - plain_likeness(mine, after)) < 1e-12
 
 
+def test_ranges_grow_with_the_cluster(spark):
+    """More ranges than bounds: the next document is the same."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(5000).select((F.col("id") * F.col("id") % 7919).alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    order = [r.text for r in df.orderBy(F.col("doc_id").desc(), "text").collect()]
+    want = dict(zip(order, order[1:] + order[:1], strict=True))
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        out = imatch.with_next(df, lambda x: x, key="doc_id", order=["text"], carry=["text"])
+        assert {r.text: r.next_text for r in out.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
 def test_large_lexicons_are_joined(spark, small, monkeypatch):
     a = rows(spark, small, "op4_imatch")
     monkeypatch.setattr(imatch, "MOST_TERMS", 10)
