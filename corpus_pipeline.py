@@ -1,4 +1,12 @@
-"""From raw documents to packed training sequences: each stage's rows are the next one's documents."""
+"""From raw documents to packed training sequences: each stage's rows are the next one's documents.
+
+Quality rules reject documents and remove lines; near-duplicate detection leaves one of each group; found secrets become a
+mark; the mix takes each document as often as its source's target says, in training order; packing cuts it into
+sequences in that order. Defined results: null, empty and wordless texts fail the quality rules, so nothing of them is packed; equal rows
+are one document after the second stage, different texts of one doc_id are each judged; rows with a null doc_id are never
+duplicates; a long text passes whole through every stage, in one task at a time; an empty table gives no sequence; columns of documents pass
+through all but the last stage under their names, whatever they are.
+"""
 
 from __future__ import annotations
 
