@@ -32,6 +32,7 @@ from . import common as c
 LOW, HIGH = 1.0, 7.0
 LEAST_DOCS = 2
 DRAWS, LEVELS, SHRINK = 12, 4, 4
+GROUP = 4
 SLOTS = 1 << 16
 MOST_TERMS = 1_000_000
 #: Ranges of the key: some for each shuffle partition, so that their sizes even out. So many bounds are quantiles; further ranges part theirs evenly.
@@ -108,15 +109,21 @@ def fingerprint(met: Column) -> Column:
     """Pieces of a fingerprint: the whole hash (empty for no term), then one for each subset, draw by draw."""
     found = met["found"]
     whole = F.when(F.size(found) > 0, piece(F.transform(found, lambda x: x["term"]), 16)).otherwise(F.coalesce(F.lower(F.lpad(F.hex(met["every"]), 16, "0")), F.lit("")))
-    has = lambda x, at: F.call_function("shiftright", x["mask"], at).bitwiseAND(F.lit(1)) == 1
-
-    def draw(d: Column) -> Column:
-        largest = F.array(F.filter(found, lambda x: has(x, d * LEVELS)))  # an array of one: named once, used LEVELS times
-        level = lambda s, k: F.filter(s, lambda x: has(x, d * LEVELS + k)) if k else s
-        hashed = lambda s: F.when(F.size(s) > 0, piece(F.transform(s, lambda x: x["term"]), 6)).otherwise(F.lit(NONE))
-        return F.flatten(F.transform(largest, lambda s: F.array(*[hashed(level(s, k)) for k in range(LEVELS)])))
-
-    return F.concat(F.array(whole), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), draw)))
+    has = lambda x, bits: x["mask"].bitwiseAND(bits) != 0
+    hashed = lambda s: F.when(F.size(s) > 0, piece(F.transform(s, lambda x: x["term"]), 6)).otherwise(F.lit(NONE))
+    named = lambda s, then: F.get(F.transform(F.array(s), then), 0)  # an array of one: s is found once and used often
+
+    def draw(some: Column, bits: Column) -> Column:
+        """The pieces of one draw: each subset lies in the one before."""
+        level = lambda s, k: F.filter(s, lambda x: has(x, bits[f"b{k}"]))
+        return named(level(some, 0), lambda s: F.array(hashed(s), *[hashed(level(s, k)) for k in range(1, LEVELS)]))
+
+    # Draws go in groups: a pass over all terms for a group, then one over the group's few for each draw.
+    bit = lambda d, k: F.lit(1 << (d * LEVELS + k))
+    groups = [range(g, min(g + GROUP, DRAWS)) for g in range(0, DRAWS, GROUP)]
+    table = F.array(*[F.struct(F.lit(sum(1 << d * LEVELS for d in g)).alias("any"), F.array(*[F.struct(*[bit(d, k).cast("long").alias(f"b{k}") for k in range(LEVELS)]) for d in g]).alias("draws")) for g in groups])
+    pieces = F.transform(table, lambda g: named(F.filter(found, lambda x: has(x, g["any"])), lambda some: F.flatten(F.transform(g["draws"], lambda d: draw(some, d)))))
+    return F.concat(F.array(whole), F.flatten(pieces))
 
 
 def likeness(a: Column, b: Column) -> Column:
