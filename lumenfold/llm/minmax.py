@@ -48,6 +48,8 @@ ROUNDS = 1
 HEAD = 16
 #: A component with more members than this that share a token is not joined with itself.
 MEMBERS = 64
+#: Texts whose sets a Python worker holds at once.
+ROWS_AT_ONCE = 500
 #: Shingles that are hashed at once.
 BLOCK = 2048
 
@@ -96,6 +98,13 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return mixed((mixed(rows) * BAND_ODD).sum(1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, a few at a time: what is made of them is held at once."""
+    for batch in batches:
+        for a in range(0, len(batch), ROWS_AT_ONCE):
+            yield batch.slice(a, ROWS_AT_ONCE)
+
+
 def set_key(shingles: np.ndarray) -> bytes | None:
     """16 bytes that name a whole set; null for the empty one."""
     return xxhash.xxh128_digest(shingles.tobytes()) if len(shingles) else None
@@ -111,7 +120,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for text in batch.column(2):
                 s = shingler(text.as_py())
@@ -130,7 +139,7 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, done = Shingler(size), set()
-        for batch in batches:
+        for batch in slices(batches):
             nodes, found = [], []
             for node, key, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if node not in done and set_key(s := shingler(text.as_py())) == key.as_py():
