@@ -160,6 +160,28 @@ def test_fills(spark):
     assert {x.value for x in I.scaled(I.filled(cells, "max"), 1.0).filter("image_id = 2").collect()} == {0.0}
 
 
+def test_random_fill_against_a_plain_loop(spark, small):
+    """The share of a cell is the hash of seed, image, row and column, each hashed with the hash so far as its seed."""
+    import xxhash
+
+    cells = {(r.image_id, r.v, r.u): r.value for r in X.image_cells(spark, small).collect()}
+    low, high = {}, {}
+    for (i, _, _), x in cells.items():
+        if not math.isnan(x):
+            low[i], high[i] = min(x, low.get(i, x)), max(x, high.get(i, x))
+    filled = 0
+    for r in Q.nan_fill_random(spark, small).collect():
+        x = cells[r.image_id, r.v, r.u]
+        if math.isnan(x):
+            h = 42
+            for n, size in ((3, 4), (r.image_id, 8), (r.v, 4), (r.u, 4)):
+                h = xxhash.xxh64_intdigest(n.to_bytes(size, "little", signed=True), h)
+            x = low[r.image_id] + h % (1 << 30) / (1 << 30) * (high[r.image_id] - low[r.image_id])
+            filled += 1
+        assert abs(r.value - x) < 1e-12
+    assert filled > 1000
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
