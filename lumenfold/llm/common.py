@@ -28,13 +28,20 @@ def words_of(text: Column) -> Column:
 
 
 WRITTEN: list[str] = []
+#: Spark's own switch: an execution that is done leaves no shuffle files.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As cut(), for larger results: columnar, compressed, read back by column."""
+    """As cut(), for larger results: columnar, compressed, read back by column. The shuffle files that led to it go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE)
+    spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE, before)
     WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
