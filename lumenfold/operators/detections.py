@@ -124,9 +124,14 @@ def of_all_tiles(tables: Sequence[DataFrame]) -> DataFrame:
 
 # Masks
 
+def whole_masks(found: DataFrame, per: int = 4) -> DataFrame:
+    """Rows dealt by (image_id, det_id), before they become pixels: what follows mask by mask then moves boxes, not pixels."""
+    return found.repartition(per * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "det_id")
+
+
 def mask_pixels(found: DataFrame) -> DataFrame:
     """Every pixel of the boxes: (det_id, image_id, r, c)."""
-    return found.select("det_id", "image_id", "x0", "x1", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("r")).select("det_id", "image_id", "r", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("c"))
+    return whole_masks(found.select("det_id", "image_id", "x0", "x1", "y0", "y1")).select("det_id", "image_id", "x0", "x1", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("r")).select("det_id", "image_id", "r", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("c"))
 
 
 def distinct_pixels(pixels: DataFrame) -> DataFrame:
@@ -160,10 +165,11 @@ def ranked_by_size(pixels: DataFrame, distinct: bool = False) -> DataFrame:
 def painted(pixels: DataFrame, found: DataFrame) -> DataFrame:
     """(image_id, r, c, instance, class_id, confidence): the smallest mask over a pixel wins; background has no row.
 
-    Painting from large to small leaves the mask of the largest rank, so a maximum says it all.
+    Painting from large to small leaves the mask of the largest rank, so a maximum says it all. The joins are by shuffled
+    hash: Spark takes exploded pixels to be as small as their boxes and would broadcast them.
     """
-    ranks = ranked_by_size(pixels).join(found.select("image_id", "det_id", "class_id", "score"), ["image_id", "det_id"])
-    by = pixels.join(ranks.select("image_id", "det_id", "instance", "class_id", "score"), ["image_id", "det_id"])
+    ranks = ranked_by_size(pixels).join(whole_masks(found.select("image_id", "det_id", "class_id", "score")).hint("shuffle_hash"), ["image_id", "det_id"])
+    by = pixels.join(ranks.select("image_id", "det_id", "instance", "class_id", "score").hint("shuffle_hash"), ["image_id", "det_id"])
     top = by.groupBy("image_id", "r", "c").agg(F.max("instance").alias("instance"), F.max_by("class_id", "instance").alias("class_id"), F.max_by("score", "instance").alias("confidence"))
     return top.withColumn("confidence", F.col("confidence").cast("float"))
 

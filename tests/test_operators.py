@@ -1,5 +1,6 @@
 """Hand-made images, properties, parsers, plans, files, models and streams."""
 
+import itertools
 import json
 import math
 
@@ -193,6 +194,22 @@ def test_plans(spark, small, name):
         assert bad not in plan, bad
 
 
+def under(plan, node):
+    """The lines of a plan below each node of this name."""
+    lines, out = plan.splitlines(), []
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if line.lstrip(" :+-").startswith(node):
+            out += itertools.takewhile(lambda x: depth(x) > depth(line), lines[i + 1 :])  # noqa: B023
+    return out
+
+
+@pytest.mark.parametrize("name", ["painter_merge"])
+def test_pixels_are_never_broadcast(spark, small, name):
+    plan = plan_of(Q.QUERIES[name](spark, small))
+    assert "Generate" in plan and not [x for x in under(plan, "BroadcastExchange") if "Generate" in x]
+
+
 def test_range_cut_reaches_the_scan(spark, tmp_path):
     files.write_points(spark.createDataFrame([(0, 1, 1.0, 2.0, 3.0, 7.0)], "station_id int, point_id long, x double, y double, z double, i double"), str(tmp_path / "p"))
     plan = plan_of(P.range_cut(files.read_points(spark, str(tmp_path / "p")), (0, 10)))
