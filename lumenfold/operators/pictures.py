@@ -37,7 +37,7 @@ def drawn(cells: DataFrame, found: DataFrame, pixels: DataFrame | None = None, o
     grey = F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.coalesce(F.nanvl("value", F.lit(1.0)), F.lit(1.0)) * 255))).cast("int")
     out = cells.select("image_id", "v", "u", *[grey.alias(k) for k in COLOUR])
     if pixels is not None:
-        own = pixels.join(found.select("image_id", "det_id"), ["image_id", "det_id"], "left_semi")
+        own = pixels.join(found.select("image_id", "det_id").hint("shuffle_hash"), ["image_id", "det_id"], "left_semi")
         masks = D.painted(own, found).select("image_id", F.col("r").alias("v"), F.col("c").alias("u"), F.col("class_id").alias("_class"))
         edge = D.contours(own).select("image_id", F.col("r").alias("v"), F.col("c").alias("u"), F.lit(0).alias("_edge")).distinct() if outlines else masks.limit(0).select("image_id", "v", "u", F.lit(0).alias("_edge"))
         blend = lambda k: F.when(F.col("_edge").isNotNull(), 0).when(F.col("_class").isNotNull(), F.floor(F.col(k) * (1 - ALPHA) + colour(F.col("_class"), k) * ALPHA)).otherwise(F.col(k)).cast("int").alias(k)

@@ -204,7 +204,7 @@ def under(plan, node):
     return out
 
 
-@pytest.mark.parametrize("name", ["painter_merge", "lift_labels", "lift_confidence"])
+@pytest.mark.parametrize("name", ["painter_merge", "lift_labels", "lift_confidence", "mask_picture"])
 def test_pixels_are_never_broadcast(spark, small, name):
     plan = plan_of(Q.QUERIES[name](spark, small))
     assert "Generate" in plan and not [x for x in under(plan, "BroadcastExchange") if "Generate" in x]
