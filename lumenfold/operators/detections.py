@@ -124,9 +124,9 @@ def of_all_tiles(tables: Sequence[DataFrame]) -> DataFrame:
 
 # Masks
 
-def whole_masks(found: DataFrame, per: int = 4) -> DataFrame:
+def whole_masks(found: DataFrame, least: int = 64) -> DataFrame:
     """Rows dealt by (image_id, det_id), before they become pixels: what follows mask by mask then moves boxes, not pixels."""
-    return found.repartition(per * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "det_id")
+    return found.repartition(max(least, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "image_id", "det_id")
 
 
 def mask_pixels(found: DataFrame) -> DataFrame:
@@ -146,12 +146,27 @@ def set_pixels(dense: DataFrame, values: str, width: int) -> DataFrame:
 
 
 def contours(pixels: DataFrame) -> DataFrame:
-    """The pixels of each mask with a side on the outside of it: (image_id, det_id, r, c)."""
-    own = pixels.select("image_id", "det_id", "r", "c").distinct()
-    sides = F.array(*[F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))])
-    met = own.select("image_id", "det_id", F.explode(sides).alias("s")).select("image_id", "det_id", "s.r", "s.c")
-    inner = met.groupBy("image_id", "det_id", "r", "c").agg(F.count(F.lit(1)).alias("n")).filter("n = 4").drop("n")
-    return own.join(inner, ["image_id", "det_id", "r", "c"], "left_anti")
+    """The pixels of each mask with a side on the outside of it: (image_id, det_id, r, c).
+
+    Rows of a mask become words of 64 bits. A word meets the words above and below, and the nearest bit of the words
+    beside it, in one aggregation; what has all four sides goes. Null names no mask: its pixels are all on the outside.
+    """
+    mask, bit = ["image_id", "det_id"], lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    words = pixels.groupBy(*mask, "r", F.floor(F.col("c") / 64).alias("b")).agg(F.bit_or(bit(F.pmod("c", F.lit(64)).cast("int"))).alias("w"))
+    w, zero = F.col("w"), F.lit(0).cast("long")
+    to = lambda kind, r, b, bits: F.struct(F.lit(kind).alias("kind"), (F.col("r") + r).alias("r"), (F.col("b") + b).alias("b"), bits.alias("w"))
+    met = F.array(to(0, 0, 0, w), to(1, 1, 0, w), to(2, -1, 0, w), to(3, 0, 1, F.shiftrightunsigned(w, 63)), to(4, 0, -1, F.shiftleft(w, 63)))
+    seen = words.select(*mask, F.explode(met).alias("s")).select(*mask, "s.*").filter(w != 0)
+    own, up, down, left, right = (F.bit_or(F.when(F.col("kind") == k, w).otherwise(zero)).alias(n) for k, n in enumerate(("own", "up", "down", "left", "right")))
+    all_ = seen.groupBy(*mask, "r", "b").agg(own, up, down, left, right)
+    sides = F.shiftleft("own", 1).bitwiseOR(F.col("left")).bitwiseAND(F.shiftrightunsigned("own", 1).bitwiseOR(F.col("right")))
+    inner = F.when(F.col("image_id").isNull() | F.col("det_id").isNull(), zero).otherwise(sides.bitwiseAND(F.col("up")).bitwiseAND(F.col("down")))
+    edge = all_.select(*mask, "r", "b", F.col("own").bitwiseAND(F.bitwise_not(inner)).alias("w")).filter(w != 0)
+    part = lambda by, k, most: F.call_function("shiftright", by, k).bitwiseAND(F.lit(most))
+    eight = F.explode(F.sequence(F.lit(0), F.lit(7)))
+    bytes_ = edge.select(*mask, "r", "b", "w", eight.alias("j")).select(*mask, "r", (F.col("b") * 64 + F.col("j") * 8).alias("c"), part(w, F.col("j") * 8, 255).alias("w")).filter(w != 0)
+    bits = bytes_.select(*mask, "r", "c", "w", eight.alias("j")).filter(part(w, F.col("j"), 1) != 0)
+    return bits.select(*mask, "r", (F.col("c") + F.col("j")).cast(pixels.schema["c"].dataType).alias("c"))
 
 
 def ranked_by_size(pixels: DataFrame, distinct: bool = False) -> DataFrame:

@@ -210,6 +210,20 @@ def test_pixels_are_never_broadcast(spark, small, name):
     assert "Generate" in plan and not [x for x in under(plan, "BroadcastExchange") if "Generate" in x]
 
 
+def test_contours_move_boxes(spark, small):
+    """No mask's pixels, and no rows made of them, are shuffled."""
+    plan = plan_of(Q.mask_contours(spark, small))
+    assert "Generate" in plan and not [x for x in under(plan, "Exchange") if "Generate" in x]
+
+
+def test_contours_of_any_mask(spark):
+    rng = np.random.default_rng(4)
+    own = {(d, int(r), int(c)) for d in range(4) for r, c in zip(rng.integers(-3, 20, 1900), rng.integers(-70, 140, 1900), strict=True)} | {(9, r, c) for r in range(6) for c in range(-66, 131)}
+    rows = [(0, d, r, c) for d, r, c in own]
+    got = sorted(map(tuple, D.contours(spark.createDataFrame(rows + rows[:50], "image_id int, det_id long, r int, c int")).collect()))
+    assert got == sorted((0, d, r, c) for d, r, c in own if not {(d, r + 1, c), (d, r - 1, c), (d, r, c + 1), (d, r, c - 1)} <= own)
+
+
 def test_range_cut_reaches_the_scan(spark, tmp_path):
     files.write_points(spark.createDataFrame([(0, 1, 1.0, 2.0, 3.0, 7.0)], "station_id int, point_id long, x double, y double, z double, i double"), str(tmp_path / "p"))
     plan = plan_of(P.range_cut(files.read_points(spark, str(tmp_path / "p")), (0, 10)))
