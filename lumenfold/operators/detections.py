@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 
 # Tiles
 
@@ -86,27 +90,60 @@ def overlap(a: str, b: str) -> Column:
     return F.try_divide(both, area(a) + area(b) - both)
 
 
-def suppressed(found: DataFrame, threshold: float, keys: Sequence[str] = ("image_id", "class_id"), cell: int = 64) -> DataFrame:
+def in_cells(boxes: DataFrame, sides: tuple[float, float], home: bool) -> DataFrame:
+    """Adds cx, cy of a grid whose cells no box outgrows: a box's own cell by its lower corner, or all own cells of boxes that may meet it."""
+    at = lambda k, side: F.floor(F.col(k) / F.lit(side))
+    (w, h), out = sides, boxes
+    for lo, hi, side, name in (("x0", "x1", w, "cx"), ("y0", "y1", h, "cy")):
+        out = out.withColumn(name, at(lo, side) if home else F.explode(F.sequence(at(lo, side) - 1, at(hi, side))))
+    return out
+
+
+def folded(top: DataFrame, threshold: float, keys: Sequence[str], sides: tuple[float, float]) -> DataFrame:
+    """The rows of ranked boxes (_rank) that no better kept box of their group suppresses."""
+    a, b = in_cells(top, sides, False).alias("a"), in_cells(top, sides, True).alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a.cx") == F.col("b.cx"), F.col("a.cy") == F.col("b.cy"), F.col("a._rank") < F.col("b._rank"), overlap("a", "b") > threshold]
+    over = a.join(b, on=same).groupBy(*[F.col(f"b.{k}").alias(k) for k in keys], F.col("b._rank").alias("_rank")).agg(F.collect_set("a._rank").alias("better"))
+    none = F.array().cast("array<int>")
+    listed = top.select(*keys, "_rank", none.alias("better")).unionByName(over).groupBy(*keys, "_rank").agg(F.flatten(F.collect_list("better")).alias("better"))
+    boxes = F.sort_array(F.collect_list(F.struct("_rank", "better")))
+    step = lambda s, x: F.when(F.arrays_overlap(s, x["better"]), s).otherwise(F.array_append(s, x["_rank"]))
+    kept = listed.groupBy(*keys).agg(boxes.alias("boxes")).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.explode(F.aggregate("boxes", none, step)).alias("_k"))
+    return top.join(kept, [top[k].eqNullSafe(kept[f"_k_{k}"]) for k in keys] + [top["_rank"] == kept["_k"]], "left_semi").drop("_rank")
+
+
+def suppressed(found: DataFrame, threshold: float, keys: Sequence[str] = ("image_id", "class_id"), first: int = 1000, most: int = 16000, small: int = 50000) -> DataFrame:
     """Greedy non-maximum suppression by descending score (ties by det_id), within each image and class.
 
-    Boxes meet in the grid cells that both touch. Each box then knows the better boxes that overlap
-    it; a fold over the ranked boxes of a group keeps those that no kept box suppresses. A det_id names a box
-    within its image only.
+    In rounds: the best boxes left of each group (`first`, up to `most` where few of them overlap) are folded by rank, and what
+    they keep suppresses all others in one join on grid cells. So boxes meet kept boxes, not each other; every box is kept or
+    suppressed in some round. Boxes without area overlap nothing and stay. What a round keeps is broadcast up to `small` rows,
+    else joined by shuffle. A det_id names a box within its image only.
     """
-    keys = list(keys)
+    if threshold < 0:
+        raise ValueError("a threshold below 0 lets boxes suppress others that they do not touch")
+    if threshold >= 1:
+        return found  # no overlap is above 1
+    keys, cols = list(keys), found.columns
+    x, y = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    solid = F.coalesce((x > 0) & (x < math.inf) & (y > 0) & (y < math.inf), F.lit(False))
+    left, out, n, late = found.filter(solid), found.filter(~solid), first, False
+    sides = left.agg(F.max(x).cast("double"), F.max(y).cast("double")).first()
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "det_id"))
-    ranked = found.select(*keys, "det_id", "x0", "y0", "x1", "y1", "score").withColumn("rank", rank)
-    reach = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.greatest(F.col(lo), F.col(hi) - 1) / cell))
-    spots = ranked.select("*", F.explode(reach("x0", "x1")).alias("cx")).select("*", F.explode(reach("y0", "y1")).alias("cy"))
-    a, b = spots.alias("a"), spots.alias("b")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a.cx") == F.col("b.cx"), F.col("a.cy") == F.col("b.cy"), F.col("a.rank") < F.col("b.rank"), overlap("a", "b") > threshold]
-    over = a.join(b, on=same).groupBy(*[F.col(f"b.{k}").alias(k) for k in keys], F.col("b.det_id").alias("det_id")).agg(F.collect_set("a.rank").alias("better"))
-    listed = ranked.select(*keys, "det_id", "rank").join(over, [*keys, "det_id"], "left")
-    boxes = F.sort_array(F.collect_list(F.struct("rank", "det_id", F.coalesce("better", F.array().cast("array<int>")).alias("better"))))
-    start = F.struct(F.array().cast("array<int>").alias("ranks"), F.array().cast("array<bigint>").alias("ids"))
-    step = lambda s, x: F.when(F.arrays_overlap(s["ranks"], x["better"]), s).otherwise(F.struct(F.array_append(s["ranks"], x["rank"]).alias("ranks"), F.array_append(s["ids"], x["det_id"].cast("bigint")).alias("ids")))
-    kept = listed.groupBy(*keys).agg(boxes.alias("boxes")).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.explode(F.aggregate("boxes", start, step)["ids"]).alias("_k"))
-    return found.join(kept, [found[k].eqNullSafe(kept[f"_k_{k}"]) for k in keys] + [found["det_id"] == kept["_k"]], "left_semi")
+    while sides[0] is not None:
+        top = cut(left.withColumn("_rank", rank).filter(F.col("_rank") <= n))
+        new = cut(folded(top, threshold, keys, tuple(sides)))
+        took, kept = top.count(), new.count()
+        if not took:
+            break
+        out = out.unionByName(new)
+        met = in_cells(new.select(*keys, "det_id", "score", "x0", "y0", "x1", "y1"), tuple(sides), False)
+        a, b = in_cells(left, tuple(sides), True).alias("a"), (F.broadcast(met) if kept <= small else met).alias("b")
+        itself = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("det_id", "score", "x0", "y0", "x1", "y1")]
+        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a.cx") == F.col("b.cx"), F.col("a.cy") == F.col("b.cy"), (overlap("a", "b") > threshold) | functools.reduce(Column.__and__, itself)]
+        left = a.join(b, functools.reduce(Column.__and__, same), "left_anti").select(*cols)
+        left, late, n = cut(left) if late else left, True, min(most, 4 * n) if 4 * kept > took else n
+    return out
 
 
 def area_ranked(found: DataFrame) -> DataFrame:

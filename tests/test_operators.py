@@ -88,6 +88,24 @@ def test_suppression_of_nothing(spark, small):
     assert D.suppressed(X.detections(spark, small).limit(0), 0.3).count() == 0
 
 
+@pytest.mark.parametrize(("first", "small"), [(1, 50000), (3, 0)])
+def test_suppression_in_rounds(spark, first, small):
+    """Few boxes a round; crowds, boxes of all sizes, some without area, a det_id twice in a group, scores that tie or are null."""
+    rng = np.random.default_rng(8)
+    boxes = [(0, d, 1, float(rng.integers(9)), x, y, x + int(rng.integers(1, 30) ** (1 + d % 2)), y + int(rng.integers(1, 30))) for d, (x, y) in enumerate(rng.integers(-20, 40, (60, 2)).tolist())]
+    boxes += [(1, d, 2, 0.5, 5, 5, 25, 25) for d in range(40)] + [(1, 77, 2, 0.9, 70, 0, 71, 9), (1, 77, 2, 0.8, 70, 0, 71, 9), (1, 78, 2, 0.9, 5, 5, 5, 25), (1, 79, 2, None, 90, 0, 91, 1), (1, 80, 2, 0.1, None, 0, 9, 9)]
+    found = spark.createDataFrame(boxes, "image_id int, det_id long, class_id int, score double, x0 int, y0 int, x1 int, y1 int")
+    got = D.suppressed(found, 0.3, first=first, small=small)
+    assert got.columns == found.columns
+    rows = got.collect()
+    assert {r.det_id for r in rows if r.image_id == 0} == greedy(found.filter("image_id = 0").collect(), 0.3)
+    assert sorted((r.det_id, r.score) for r in rows if r.image_id == 1 and r.det_id != 79) == [(0, 0.5), (77, 0.9), (78, 0.9), (80, 0.1)]
+    assert [r.score for r in rows if r.det_id == 79] == [None]
+    assert D.suppressed(found, 1.0).count() == len(boxes)
+    with pytest.raises(ValueError, match="threshold"):
+        D.suppressed(found, -0.1)
+
+
 def test_rotation_and_back(spark, small):
     p = X.points(spark, small)
     there = P.rotated(P.rotated(p, 37.5), -37.5).select("point_id", F.col("x").alias("x2"), F.col("y").alias("y2"))
