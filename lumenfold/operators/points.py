@@ -7,6 +7,7 @@ asin(z / r) above the horizon, azimuth atan2(y, x); limits are inclusive.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,11 +16,27 @@ from pyspark.sql import functions as F
 
 
 
+#: What pi has beyond its double.
+PI_REST = 1.2246467991473532e-16
+
+
+def azimuth(y: Column, x: Column, near: float = 1e-9) -> Column:
+    """atan2, to the last digit beside the axes and diagonals, where histograms have borders and atan2 differs between libraries.
+
+    There it is an eighth of a turn and a tangent so small that it is its own angle; differences of near equals are exact.
+    """
+    a, b = F.abs(y), F.abs(x)
+    beside = lambda eighths, rest: F.signum(y) * (F.lit(eighths * math.pi / 4) + (F.lit(eighths * PI_REST / 4) + rest))
+    diagonal = F.try_divide(a - b, a + b)
+    axis = F.when((a <= b * near) & (x < 0) & (y != 0), beside(4, -a / b)).when((b <= a * near) & (a > 0), beside(2, -x / a))
+    return axis.when((F.abs(diagonal) <= near) & (x > 0), beside(1, diagonal)).when((F.abs(diagonal) <= near) & (x < 0), beside(3, -diagonal)).otherwise(F.atan2(y, x))
+
+
 def spherical(points: DataFrame) -> DataFrame:
     """Adds r, elev, azim (radians). A point at the origin has null elevation."""
     x, y, z = (F.col(k) for k in "xyz")
     r = F.sqrt(x * x + y * y + z * z)
-    return points.withColumns({"r": r, "elev": F.asin(F.try_divide(z, r)), "azim": F.atan2(y, x)})
+    return points.withColumns({"r": r, "elev": F.asin(F.try_divide(z, r)), "azim": azimuth(y, x)})
 
 
 def range_cut(points: DataFrame, limits: tuple[float, float] | None) -> DataFrame:

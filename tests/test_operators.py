@@ -106,6 +106,14 @@ def test_suppression_in_rounds(spark, first, small):
         D.suppressed(found, -0.1)
 
 
+def test_azimuth_to_the_last_digit_beside_axes_and_diagonals(spark):
+    """Sums of hundredths lie beside them by rounding alone; a histogram of 1 degree has its borders there."""
+    near = [(i, i / 100 - 10.01, s * ((i + 4) / 100 - 9.97 - 0.08)) for i in range(2003) for s in (1, -1)]
+    rows = near + [(i, x, -y) for i, x, y in near] + [(i, a * 3.7, b * 1.3e-15) for i, a in enumerate((1, -1)) for b in (1, -1)] + [(9, b * 1.3e-15, 3.7) for b in (1, -1)] + [(9, 0.0, 0.0), (9, -2.0, 0.0), (9, 0.0, -2.0), (9, 3.0, 4.0)]
+    got = P.spherical(spark.createDataFrame([(*r, 1.0) for r in rows], "i int, x double, y double, z double")).select("x", "y", "azim").collect()
+    assert len(got) == len(rows) and [r for r in got if r.azim != math.atan2(r.y, r.x)] == []
+
+
 def test_rotation_and_back(spark, small):
     p = X.points(spark, small)
     there = P.rotated(P.rotated(p, 37.5), -37.5).select("point_id", F.col("x").alias("x2"), F.col("y").alias("y2"))
