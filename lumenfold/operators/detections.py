@@ -182,28 +182,37 @@ def set_pixels(dense: DataFrame, values: str, width: int) -> DataFrame:
     return cells.select("image_id", F.floor(F.col("p") / width).cast("int").alias("r"), (F.col("p") % width).cast("int").alias("c"))
 
 
+def words(rows: DataFrame, keys: Sequence[str], place: Column, by: str) -> DataFrame:
+    """(keys, by, w): bit i of word `by` is set where a row has the place 64 * by + i."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    return rows.groupBy(*keys, F.floor(place / 64).alias(by)).agg(F.bit_or(bit).alias("w"))
+
+
+def set_bits(rows: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
+    """(keys, p): the places that words() was given; bytes without a bit are not opened."""
+    part = lambda k, most: F.call_function("shiftright", F.col("w"), k).bitwiseAND(F.lit(most))
+    eight, j = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"), F.col("j")
+    bytes_ = rows.select(*keys, by, "w", eight).select(*keys, (F.col(by) * 64 + j * 8).alias("p"), part(j * 8, 255).alias("w")).filter("w <> 0")
+    return bytes_.select(*keys, "p", "w", eight).filter(part(j, 1) != 0).select(*keys, (F.col("p") + j).alias("p"))
+
+
 def contours(pixels: DataFrame) -> DataFrame:
     """The pixels of each mask with a side on the outside of it: (image_id, det_id, r, c).
 
     Rows of a mask become words of 64 bits. A word meets the words above and below, and the nearest bit of the words
     beside it, in one aggregation; what has all four sides goes. Null names no mask: its pixels are all on the outside.
     """
-    mask, bit = ["image_id", "det_id"], lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
-    words = pixels.groupBy(*mask, "r", F.floor(F.col("c") / 64).alias("b")).agg(F.bit_or(bit(F.pmod("c", F.lit(64)).cast("int"))).alias("w"))
+    mask = ["image_id", "det_id"]
     w, zero = F.col("w"), F.lit(0).cast("long")
     to = lambda kind, r, b, bits: F.struct(F.lit(kind).alias("kind"), (F.col("r") + r).alias("r"), (F.col("b") + b).alias("b"), bits.alias("w"))
     met = F.array(to(0, 0, 0, w), to(1, 1, 0, w), to(2, -1, 0, w), to(3, 0, 1, F.shiftrightunsigned(w, 63)), to(4, 0, -1, F.shiftleft(w, 63)))
-    seen = words.select(*mask, F.explode(met).alias("s")).select(*mask, "s.*").filter(w != 0)
+    seen = words(pixels, [*mask, "r"], F.col("c"), "b").select(*mask, F.explode(met).alias("s")).select(*mask, "s.*").filter(w != 0)
     own, up, down, left, right = (F.bit_or(F.when(F.col("kind") == k, w).otherwise(zero)).alias(n) for k, n in enumerate(("own", "up", "down", "left", "right")))
     all_ = seen.groupBy(*mask, "r", "b").agg(own, up, down, left, right)
     sides = F.shiftleft("own", 1).bitwiseOR(F.col("left")).bitwiseAND(F.shiftrightunsigned("own", 1).bitwiseOR(F.col("right")))
     inner = F.when(F.col("image_id").isNull() | F.col("det_id").isNull(), zero).otherwise(sides.bitwiseAND(F.col("up")).bitwiseAND(F.col("down")))
     edge = all_.select(*mask, "r", "b", F.col("own").bitwiseAND(F.bitwise_not(inner)).alias("w")).filter(w != 0)
-    part = lambda by, k, most: F.call_function("shiftright", by, k).bitwiseAND(F.lit(most))
-    eight = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    bytes_ = edge.select(*mask, "r", "b", "w", eight.alias("j")).select(*mask, "r", (F.col("b") * 64 + F.col("j") * 8).alias("c"), part(w, F.col("j") * 8, 255).alias("w")).filter(w != 0)
-    bits = bytes_.select(*mask, "r", "c", "w", eight.alias("j")).filter(part(w, F.col("j"), 1) != 0)
-    return bits.select(*mask, "r", (F.col("c") + F.col("j")).cast(pixels.schema["c"].dataType).alias("c"))
+    return set_bits(edge, [*mask, "r"], "b").withColumn("c", F.col("p").cast(pixels.schema["c"].dataType)).drop("p")
 
 
 def ranked_by_size(pixels: DataFrame, distinct: bool = False) -> DataFrame:
@@ -236,15 +245,19 @@ def lifted(points: DataFrame, labels: DataFrame, by: str = "station_id") -> Data
 # Run lengths
 
 def run_lengths(pixels: DataFrame, height: int, width: int) -> DataFrame:
-    """(image_id, det_id, counts): alternating lengths of empty and set runs in column-major order, empty first."""
-    by = Window.partitionBy("image_id", "det_id")
-    placed = pixels.select("image_id", "det_id", (F.col("c") * height + F.col("r")).alias("p")).distinct()
-    islands = placed.withColumn("k", F.col("p") - F.row_number().over(by.orderBy("p"))).groupBy("image_id", "det_id", "k").agg(F.min("p").alias("start"), F.count(F.lit(1)).cast("int").alias("len"))
-    gap = F.col("start") - F.coalesce(F.lag(F.col("start") + F.col("len")).over(by.orderBy("start")), F.lit(0))
-    runs = islands.withColumn("gap", gap).groupBy("image_id", "det_id").agg(F.sort_array(F.collect_list(F.struct("start", "gap", "len"))).alias("runs"), F.max(F.col("start") + F.col("len")).alias("end"))
-    pairs = F.flatten(F.transform("runs", lambda x: F.array(x["gap"].cast("int"), x["len"])))
-    rest = F.lit(height * width) - F.col("end")
-    return runs.select("image_id", "det_id", F.when(rest > 0, F.array_append(pairs, rest.cast("int"))).otherwise(pairs).alias("counts"))
+    """(image_id, det_id, counts): alternating lengths of empty and set runs in column-major order, empty first.
+
+    A run turns where a bit differs from the one before it; the lengths lie between the turns.
+    """
+    mask, w, zero = ["image_id", "det_id"], F.col("w"), F.lit(0).cast("long")
+    met = F.array(F.struct(F.lit(0).alias("kind"), F.col("b"), w.alias("w")), F.struct(F.lit(1).alias("kind"), (F.col("b") + 1).alias("b"), F.shiftrightunsigned(w, 63).alias("w")))
+    seen = words(pixels, mask, F.col("c") * height + F.col("r"), "b").select(*mask, F.explode(met).alias("s")).select(*mask, "s.*").filter(w != 0)
+    own, before = (F.bit_or(F.when(F.col("kind") == k, w).otherwise(zero)).alias(n) for k, n in enumerate(("own", "before")))
+    turns = seen.groupBy(*mask, "b").agg(own, before).select(*mask, "b", F.col("own").bitwiseXOR(F.shiftleft("own", 1).bitwiseOR(F.col("before"))).alias("w"))
+    listed = set_bits(turns, mask, "b").groupBy(*mask).agg(F.sort_array(F.collect_list(F.col("p").cast("int"))).alias("t"))
+    lengths = F.transform("t", lambda x, i: x - F.when(i > 0, F.get("t", i - 1)).otherwise(0))
+    rest = F.lit(height * width) - F.element_at("t", -1)
+    return listed.select(*mask, F.when(rest > 0, F.array_append(lengths, rest)).otherwise(lengths).alias("counts"))
 
 
 def from_run_lengths(encoded: DataFrame, height: int) -> DataFrame:
@@ -268,14 +281,24 @@ def batches(found: DataFrame, n: int, by: str = "image_id") -> DataFrame:
     return found.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy("det_id")) - 1) / n).cast("int"))
 
 
-def documents(found: DataFrame, encoded: DataFrame, names: DataFrame, width: int, height: int) -> DataFrame:
-    """(image_id, json): one annotation document an image, detections in order of det_id."""
-    rows = found.join(encoded, ["image_id", "det_id"]).join(names, "class_id")
-    one = F.struct("det_id", F.struct(F.col("class_name"), F.array("x0", "y0", "x1", "y1").alias("bbox"), F.struct(F.array(F.lit(height), F.lit(width)).alias("size"), F.col("counts")).alias("segmentation"), "score").alias("a"))
-    listed = rows.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["a"]).alias("annotations"))
-    path = F.concat(F.lit("images/"), F.col("image_id"), F.lit(".png"))
-    doc = F.struct(path.alias("image_path"), "annotations", F.lit("xyxy").alias("box_format"), F.lit(width).alias("img_width"), F.lit(height).alias("img_height"))
-    return listed.select("image_id", F.to_json(doc).alias("json"))
+def documents(found: DataFrame, encoded: DataFrame, names: DataFrame, width: int, height: int, pieces: int = 256) -> DataFrame:
+    """(image_id, json): one annotation document an image, detections in order of det_id.
+
+    Annotations become text at once and pieces of a document over ranges of det_id, so that its last task joins a few hundred
+    texts. That task and the writer hold the document several times.
+    """
+    rows = whole_masks(found).join(encoded.hint("shuffle_hash"), ["image_id", "det_id"]).join(F.broadcast(names), "class_id")  # as many names as the prompt has classes
+    low, high = found.agg(F.min("det_id"), F.max("det_id")).first()
+    step = max(1, -(-((high or 0) - (low or 0) + 1) // pieces))
+    one = F.to_json(F.struct(F.col("class_name"), F.array("x0", "y0", "x1", "y1").alias("bbox"), F.struct(F.array(F.lit(height), F.lit(width)).alias("size"), F.col("counts")).alias("segmentation"), "score"))
+    joined = lambda c, t: F.array_join(F.transform(F.sort_array(F.collect_list(c)), t), ",")
+    dealt = rows.select("image_id", F.floor((F.col("det_id") - F.lit(low or 0)) / step).alias("piece"), F.struct("det_id", one.alias("t")).alias("a"))
+    texts = dealt.groupBy("image_id", "piece").agg(joined("a", lambda x: x["t"]).alias("t"))
+    path = F.to_json(F.struct(F.concat(F.lit("images/"), F.col("image_id"), F.lit(".png")).alias("image_path")))
+    head, tail = F.concat(F.substr(path, F.lit(1), F.length(path) - 1), F.lit(',"annotations":[')), f'],"box_format":"xyxy","img_width":{width},"img_height":{height}}}'
+    listed = texts.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("piece", "t"))).alias("l"))
+    ends = lambda x, i: F.concat(F.when(i == 0, head).otherwise(""), x["t"], F.when(i == F.size("l") - 1, tail).otherwise(""))
+    return listed.select("image_id", F.array_join(F.transform("l", ends), ",").alias("json"))
 
 
 def class_document(names: DataFrame) -> DataFrame:

@@ -236,12 +236,31 @@ def test_pixels_are_never_broadcast(spark, small, name):
     assert "Generate" in plan and not [x for x in under(plan, "BroadcastExchange") if "Generate" in x]
 
 
-def test_contours_move_boxes(spark, small):
+@pytest.mark.parametrize("name", ["mask_contours", "rle_encode"])
+def test_boxes_move_instead_of_pixels(spark, small, name):
     """No mask's pixels, and no rows made of them, are shuffled."""
-    plan = plan_of(Q.mask_contours(spark, small))
+    plan = plan_of(Q.QUERIES[name](spark, small))
     assert "Generate" in plan and not [x for x in under(plan, "Exchange") if "Generate" in x]
 
 
+def test_run_lengths_sort_no_pixels(spark, small):
+    assert "Window" not in plan_of(Q.annotations_json(spark, small))
+
+
+def test_documents_in_pieces(spark):
+    """More pieces than ids, and one for all; ids far apart, an id without a mask, a class without a name, signs that JSON escapes."""
+    boxes = [("a/\"b", d, 1 + d % 3, d / 7, d % 50, 0, d % 50 + 2, 3) for d in (-5, 0, 3, 4, 10**12)] + [("c", 3, 2, 0.5, 0, 0, 1, 1), ("c", 4, 1, 0.5, 0, 0, 1, 1)]
+    found = spark.createDataFrame(boxes, "image_id string, det_id long, class_id int, score double, x0 int, y0 int, x1 int, y1 int")
+    encoded = spark.createDataFrame([(b[0], b[1], [1, 2, 3]) for b in boxes if b[:2] != ("c", 4)], "image_id string, det_id long, counts array<int>")
+    names = spark.createDataFrame([(1, 'one "1"'), (2, "two")], "class_id int, class_name string")
+    docs = [{r.image_id: r.json for r in D.documents(found, encoded, names, 6, 4, pieces).collect()} for pieces in (1, 3, 256)]
+    assert docs[0] == docs[1] == docs[2] and set(docs[0]) == {'a/"b', "c"}
+    for image, text in docs[0].items():
+        want = [{"class_name": {1: 'one "1"', 2: "two"}[b[2]], "bbox": list(b[4:]), "segmentation": {"size": [4, 6], "counts": [1, 2, 3]}, "score": b[3]} for b in boxes if b[0] == image and b[2] < 3 and b[:2] != ("c", 4)]
+        assert json.loads(text) == {"image_path": f"images/{image}.png", "annotations": want, "box_format": "xyxy", "img_width": 6, "img_height": 4}
+    assert D.documents(found.limit(0), encoded, names, 6, 4).count() == 0
+
+
 def test_contours_of_any_mask(spark):
     rng = np.random.default_rng(4)
     own = {(d, int(r), int(c)) for d in range(4) for r, c in zip(rng.integers(-3, 20, 1900), rng.integers(-70, 140, 1900), strict=True)} | {(9, r, c) for r in range(6) for c in range(-66, 131)}
