@@ -103,8 +103,12 @@ def field_of_view(points: DataFrame, by: str = "station_id") -> DataFrame:
 
 
 def with_view(points: DataFrame, fov: DataFrame, by: str = "station_id") -> DataFrame:
-    """A row for each station meets its points; Spark broadcasts it while its measured size allows."""
-    return points.join(fov, by)
+    """A row for each station meets its points; Spark broadcasts it while its measured size allows.
+
+    An outer join never broadcasts its left side: Spark takes a table of few columns to be smaller than the view made of
+    it and would broadcast the points. Points of no station go; those of a station without a view have nulls in its place.
+    """
+    return points.filter(F.col(by).isNotNull()).join(fov, by, "left")
 
 
 def pixels(points: DataFrame, width: int | Column, height: int | Column) -> DataFrame:

@@ -236,6 +236,19 @@ def test_pixels_are_never_broadcast(spark, small, name):
     assert "Generate" in plan and not [x for x in under(plan, "BroadcastExchange") if "Generate" in x]
 
 
+@pytest.mark.parametrize("name", ["lift_labels"])
+def test_views_are_broadcast_not_points(spark, small, name):
+    plan = plan_of(Q.QUERIES[name](spark, small))
+    sides = [line for line in plan.splitlines() if "BroadcastHashJoin [station_id" in line]
+    assert sides and all("LeftOuter, BuildRight" in line for line in sides)
+
+
+def test_points_without_a_station_or_a_view(spark):
+    points = spark.createDataFrame([(0, 1, 0.5, 0.5), (1, None, 0.0, 0.0), (2, 2, 1.0, 1.0), (3, 1, 0.0, 0.0), (4, 1, 1.0, 1.0)], "point_id long, station_id int, azim double, elev double")
+    at = P.pixels(P.with_view(points, P.field_of_view(points.filter("station_id = 1 OR station_id IS NULL"))), 3, 5)
+    assert sorted((r.point_id, r.valid, r.u, r.v) for r in at.collect()) == [(0, True, 1, 2), (2, False, -1, -1), (3, True, 0, 0), (4, True, 2, 4)]
+
+
 @pytest.mark.parametrize("name", ["mask_contours", "rle_encode"])
 def test_boxes_move_instead_of_pixels(spark, small, name):
     """No mask's pixels, and no rows made of them, are shuffled."""
