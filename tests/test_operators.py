@@ -236,7 +236,7 @@ def test_pixels_are_never_broadcast(spark, small, name):
     assert "Generate" in plan and not [x for x in under(plan, "BroadcastExchange") if "Generate" in x]
 
 
-@pytest.mark.parametrize("name", ["lift_labels"])
+@pytest.mark.parametrize("name", ["lift_labels", "lift_confidence"])
 def test_views_are_broadcast_not_points(spark, small, name):
     plan = plan_of(Q.QUERIES[name](spark, small))
     sides = [line for line in plan.splitlines() if "BroadcastHashJoin [station_id" in line]
