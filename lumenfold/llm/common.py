@@ -30,18 +30,26 @@ def words_of(text: Column) -> Column:
 WRITTEN: list[str] = []
 #: Spark's own switch: an execution that is done leaves no shuffle files.
 FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: And the bytes of rows at which it sends a batch to a Python worker.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """As cut(), for larger results: columnar, compressed, read back by column. The shuffle files that led to it go at once."""
+def written(df: DataFrame, batch: str | None = None) -> DataFrame:
+    """As cut(), for larger results: columnar, compressed, read back by column. The shuffle files that led to it go at once.
+
+    batch: what a Python worker on the way gets at once, as "4m"; every row still goes, a longer one by itself.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    before = spark.conf.get(FREE)
-    spark.conf.set(FREE, "true")
+    now = {FREE: "true"} | ({BATCH: batch} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in now}
     try:
+        for k, v in now.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(FREE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
