@@ -62,6 +62,19 @@ def forget(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of results, one a document, that go into a file.
+ROWS_A_FILE = 25_000
+
+
+def in_files(df: DataFrame, docs: int) -> DataFrame:
+    """df, dealt to as many tasks as the results of so many documents fill files, instead of a file for each task before.
+
+    On a local file system Spark starts three processes (chmod) for each file it writes, and until one runs its own program it shows its
+    executor's whole memory as its own. No row is moved by a key, so none can crowd a task.
+    """
+    return df.repartition(max(1, -(-docs // ROWS_A_FILE)))
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -35,6 +35,8 @@ DRAWS, LEVELS, SHRINK = 12, 4, 4
 GROUP = 4
 SLOTS = 1 << 16
 MOST_TERMS = 1_000_000
+#: Files of the lexicon, which is a small part of the terms that are counted for it.
+FILES = 8
 #: Ranges of the key: some for each shuffle partition, so that their sizes even out. So many bounds are quantiles; further ranges part theirs evenly.
 RANGES_A_PARTITION, LEAST_RANGES, BOUNDS = 4, 64, 256
 NONE = "------"
@@ -60,12 +62,11 @@ def membership(term: Column) -> Column:
     return bits
 
 
-def lexicon(docs: DataFrame) -> DataFrame:
-    """(term code, mask) of the terms in the band."""
-    n = docs.count()
+def lexicon(docs: DataFrame, n: int) -> DataFrame:
+    """(term code, mask) of the terms in the band; n: the number of docs."""
     used = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     band = used.filter(F.col("df").between(max(LEAST_DOCS, n * math.exp(-HIGH)), max(LEAST_DOCS, n * math.exp(-LOW))))
-    return c.cut(band.select("term", membership(F.col("term")).alias("mask")))
+    return c.cut(band.select("term", membership(F.col("term")).alias("mask")).repartition(FILES))
 
 
 def hashed_array(lex: DataFrame) -> DataFrame:
@@ -80,7 +81,8 @@ class Lexicon:
     """Looks up the lexicon terms of texts: sorted array of (term code, mask)."""
 
     def __init__(self, docs: DataFrame):
-        self.lex = lexicon(docs)
+        self.docs = docs.count()
+        self.lex = lexicon(docs, self.docs)
         self.small = self.lex.count() <= MOST_TERMS
         self.array = c.cut(hashed_array(self.lex)) if self.small else None
 
@@ -181,7 +183,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "pieces", "next_pieces")
     rows = printed(rows, "edited", "edited_pieces")
     said = lambda x: F.array_join(x, "")
-    return rows.select(
+    rows = rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), said("pieces").alias("fingerprint"), said("edited_pieces").alias("edited_fingerprint"),
         likeness(F.col("pieces"), F.col("edited_pieces")).alias("near_edited"), likeness(F.col("pieces"), F.col("next_pieces")).alias("near_next"),
     )
+    return c.in_files(rows, words.docs)

@@ -1,6 +1,7 @@
 """Odd tables: every query answers, for every row, without a crash."""
 
 import hashlib
+from pathlib import Path
 
 import pytest
 from conftest import write_docs
@@ -104,6 +105,24 @@ def test_native_plans(spark, small, name):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "NestedLoop"))
 
 
+@pytest.mark.parametrize("name", ["op4_imatch"])
+def test_few_files(spark, small, tmp_path, name):
+    """Each file costs processes: results and the tables between jobs have files by their size, not one for each of many tasks."""
+    shared = Path(common.shared_dir(spark).removeprefix("file:"))
+    files = lambda path: {x for x in path.rglob("*part-*") if x.suffix != ".crc"}
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, there = {k: spark.conf.get(k) for k in held}, files(shared)
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        llm.QUERIES[name](spark, small).write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files(tmp_path / "out")) == 1
+    assert 0 < len(files(shared) - there) < 20
+
+
 def test_importing_needs_no_session():
     import subprocess
     import sys
