@@ -205,7 +205,7 @@ def frequent(docs: DataFrame, length: int) -> np.ndarray:
             many = n >= OFTEN
             yield pa.RecordBatch.from_arrays([pa.array([None, *gram[many].view(np.int64).tolist()], pa.int64()), pa.array([docs_, *n[many].tolist()], pa.int64())], names=["gram", "n"])
 
-    counts = c.cut(docs.select("d", "t", "text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    counts = c.cut(docs.select("d", "t", "text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).coalesce(FILES))
     total = counts.filter("gram is null").first()
     rows = counts.filter((F.col("gram").isNotNull()) & (F.col("n") >= SHARE * total["n"])).collect() if total else []
     return np.sort(np.array([r["gram"] for r in rows], np.int64).view(U))
@@ -214,6 +214,8 @@ def frequent(docs: DataFrame, length: int) -> np.ndarray:
 #: A place: start << 10 | number of windows << 2 | flags; few bytes a row, in the order of start.
 AGAIN, HOT = 1, 2
 MOST_WINDOWS = 255
+#: Files of the counts of grams, of which there are few.
+FILES = 8
 ROW = "d long, t long, place long, gram long, span long, check long"
 
 
@@ -311,7 +313,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs; length: 4 to 400."""
-    keys = keyed(docs)
+    keys, n = keyed(docs), docs.count()
     here = F.struct("d", "t", "place")
     found = sampled(keys, length, frequent(keys, length), max(64, c.parts(docs.sparkSession)))
     by_gram, by_span = Window.partitionBy("gram"), Window.partitionBy("gram", "span", "check").orderBy("d", "t", "place")
@@ -319,14 +321,14 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     told = told.withColumns({"low": F.min("check").over(by_gram), "high": F.max("check").over(by_gram)})
     has = lambda flag: F.col("place").bitwiseAND(flag) != 0
     told = told.select("d", "t", "place", (has(AGAIN) | (F.col("first") != here)).alias("repeat"), (has(HOT) | (F.col("low") != F.col("high"))).alias("differs"))
-    told = c.written(told.filter("repeat or differs"))
+    told = c.written(c.in_files(told.filter("repeat or differs"), n))
     spans = told.filter("repeat").select("d", "t", "place")
 
     open_ = listed(told.filter("not repeat"), "todo")
     order = Window.partitionBy("name", "check").orderBy("d", "t", "place")
     again = windows(keys.join(open_, ["d", "t"]), length).withColumn("first", F.first(here).over(order)).filter(has(AGAIN) | (F.col("first") != here))
     every = listed(spans.unionByName(again.select("d", "t", "place")), "gone")
-    return finished(keys.join(every, ["d", "t"], "left"), length)  # both joins read one exchange of the texts
+    return c.in_files(finished(keys.join(every, ["d", "t"], "left"), length), n)  # both joins read one exchange of the texts
 
 
 def finished(docs: DataFrame, length: int) -> DataFrame:

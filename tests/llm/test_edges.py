@@ -105,7 +105,7 @@ def test_native_plans(spark, small, name):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "NestedLoop"))
 
 
-@pytest.mark.parametrize("name", ["op4_imatch"])
+@pytest.mark.parametrize("name", ["op4_imatch", "op7_suffix_cover"])
 def test_few_files(spark, small, tmp_path, name):
     """Each file costs processes: results and the tables between jobs have files by their size, not one for each of many tasks."""
     shared = Path(common.shared_dir(spark).removeprefix("file:"))
